@@ -92,12 +92,12 @@ def sketch(elements: np.ndarray, t: int) -> np.ndarray:
         h = mix(elements, i)
         fresh = np.full(t, none, np.uint64)
         if i < t:
-            np.minimum.at(fresh, (h % np.uint64(t)).astype(np.int64), h >> np.uint64(8))
+            np.minimum.at(fresh, (h % np.uint64(t)).astype(np.int64), h >> np.uint64(16))
         else:
-            fresh[i - t] = h.min() >> np.uint64(8)
+            fresh[i - t] = h.min() >> np.uint64(16)
         # A round's values come after all values of earlier rounds, so they fill empty bins only.
         put = (bins == none) & (fresh != none)
-        bins[put] = fresh[put] ^ np.uint64(i << 56)
+        bins[put] = fresh[put] ^ np.uint64(i << 48)
         empty -= int(put.sum())
         if not empty:
             break
