@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 600_000
+#: Marks that stand behind words; an apostrophe is none, for it starts contractions.
+MARKS = ".,!?;:|"
 #: Sequences with room that the local search looks at together.
 SEARCH_BINS = 192
 #: Rounds of the local search over a group.
@@ -37,7 +40,11 @@ SEARCH_ROUNDS = 30
 
 
 class ChunkTokenizer:
-    """Ids of whole texts, from a table of chunks."""
+    """Ids of whole texts, from a table of chunks.
+
+    Most chunks are letters with some marks behind them.  Letters and marks are always split apart, so
+    such a chunk's ids are those of both parts, and many words of letters are encoded in one call.
+    """
 
     def __init__(self, path: str):
         import os
@@ -45,22 +52,54 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _add_words(self, words: list[str]) -> None:
+        """Words of letters only: each is one unit of the tokenizer, and its tokens carry its number."""
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+            if len(owner) and owner[-1] == len(part) - 1:
+                ends = np.searchsorted(owner, np.arange(1, len(part) + 1)) * 4
+                raw = ids.tobytes()
+                self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+            else:
+                self.words.update((w, self._ids(w)) for w in part)
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.known) + len(chunks) > MAX_CHUNKS:
+            self.known, self.words = {"": b""}, {"": b""}
+        known, words, simple, fresh = self.known, self.words, [], set()
+        for chunk in chunks:
+            word = chunk.rstrip(MARKS)
+            # Python lower-cases some letters by their place in a word, the tokenizer does not.
+            low = word.lower() if word.isascii() else word
+            if word.isalpha() and (word.isascii() or word.lower().isalpha() and is_normalized("NFC", word)):
+                simple.append((chunk, low, chunk[len(word) :]))
+                if low not in words:
+                    fresh.add(low)
+            else:
+                known[chunk] = self._ids(chunk)
+        self._add_words(list(fresh))
+        for chunk, low, marks in simple:
+            if marks not in words:
+                words[marks] = self._ids(marks)
+            known[chunk] = words[low] + words[marks]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text, without special tokens."""
         chunked = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({c for chunks in chunked for c in chunks if c not in known})
-        if len(known) + len(new) > MAX_CHUNKS:
-            known.clear()
-            known[""] = b""
-            new = list({c for chunks in chunked for c in chunks if c})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4") for chunks in chunked]
+        missing = set().union(*chunked).difference(self.known)
+        if missing:
+            self._learn(missing if len(self.known) + len(missing) <= MAX_CHUNKS else set().union(*chunked))
+        lookup = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(lookup, chunks)), "<u4") for chunks in chunked]
 
 
 def tokenizer_path(name: str) -> str:
