@@ -240,7 +240,10 @@ def _with_kept(docs: DataFrame, doc_id: str, text: str, fn, extra: tuple[str, ..
 def _dedup_by_join(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray, gone: DataFrame, min_chars: int, keep_first: bool) -> DataFrame:
     """The same for any number of confirmed keys: suspected lines meet them in a shuffle join."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    own = "__row"
+    while own in docs.columns:
+        own += "_"
+    numbered = cut(docs.withColumn(own, F.monotonically_increasing_id()))
 
     def lines(batches):
         for batch in batches:
@@ -248,10 +251,10 @@ def _dedup_by_join(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray,
             for row, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 keys = list({k for k in line_keys(raw)[1] if _usable(k, min_chars)})
                 out += [(row, keys[j]) for j in np.flatnonzero(suspected(shared.value, keys))] if keys else []
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["__row", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["at", "key"])
 
-    hits = numbered.select("__row", text).mapInArrow(lines, "__row long, key binary").join(gone, "key")
-    per_doc = hits.groupBy("__row").agg(F.collect_list(F.struct("key", "first")).alias("__gone"))  # one document's own lines
+    hits = numbered.select(own, text).mapInArrow(lines, "at long, key binary").join(gone, "key").withColumnRenamed("at", own)
+    per_doc = hits.groupBy(own).agg(F.collect_list(F.struct("key", "first")).alias("__gone"))  # one document's own lines
 
     def drop(batches):
         for batch in batches:
@@ -260,7 +263,7 @@ def _dedup_by_join(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray,
                 got.append(_kept(t, i, {p["key"]: p["first"] for p in pairs or []}, keep_first))
             yield _append(batch.select(list(range(2)) + list(range(3, batch.num_columns))), got)
 
-    joined = numbered.join(per_doc, "__row", "left").drop("__row")
+    joined = numbered.join(per_doc, own, "left").drop(own)
     return _with_kept(joined, doc_id, text, drop, extra=("__gone",))
 
 

@@ -1,0 +1,251 @@
+"""The operators against brute force, and their defined cases."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lodestrand.llm import chat_format, decontaminate, language_id, line_dedup, near_dedup, neighbours, packing, secret_scan, toxicity, url_filter
+from lodestrand.llm.common import cut
+
+DOCS = "doc_id long, text string, __row string, c0 string, n int"
+
+
+def frame(spark, texts, start=0):
+    """Documents with extra columns of clashing names."""
+    return spark.createDataFrame([(start + i, t, "x", "y", i) for i, t in enumerate(texts)], DOCS)
+
+
+def corpus(seed, n=60):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}é" if i % 7 == 0 else f"w{i}" for i in range(400)]
+    texts = [None, "", " \n ", "one", "ONE", "w1 w2\n w1 W2 \n\nw1 w2"]
+    base = [" ".join(rng.choices(vocabulary, k=60)) for _ in range(8)]
+    while len(texts) < n:
+        words = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 6])):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(rng.choice([" ", "\n"]).join(words).replace("w5 ", rng.choice(["W5 ", "w5 "])))
+    texts.append("w3 " * 4000)
+    return texts
+
+
+@pytest.mark.parametrize("block", [3000, 7])
+def test_near_duplicates(spark, block):
+    rows = list(enumerate(corpus(1)))
+    got = near_dedup.near_duplicates(frame(spark, [t for _, t in rows]), percent=85, block=block).collect()
+    assert sorted(tuple(r) for r in got) == sorted(near_dedup.brute_force(rows))
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    long = " ".join(f"v{i}" for i in range(40))
+    df = spark.createDataFrame([(5, long), (5, long), (7, long + " "), (None, long), (9, None), (9, "other words")], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(-1, -1, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True), (9, 9, True)]
+    assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 1300).astype(np.uint64)
+    a, b = np.unique(pool[:1000]), np.unique(pool[300:])
+    agree = (near_dedup.sketch(a, 500) == near_dedup.sketch(b, 500)).mean()
+    assert agree == pytest.approx(700 / 1300, abs=0.08)
+    assert len(set(near_dedup.sketch(a[:3], 290))) > 3
+
+
+@pytest.mark.parametrize("max_keys", [1000, 0])
+def test_line_dedup(spark, max_keys):
+    texts = [f"Head\n {t or ''}\t\nfoot é\nHEAD" if i % 3 else t for i, t in enumerate(corpus(2, 40))]
+    got = line_dedup.dedup_lines(frame(spark, texts), min_docs=10, max_keys=max_keys).collect()
+    mine = sorted((r.doc_id, r["__lines"], r["__dropped"], hashlib.sha256(r["__kept"].encode()).hexdigest()) for r in got)
+    assert mine == sorted(line_dedup.brute_force(list(enumerate(texts))))
+    assert got[0]["c0"] == "y" and set(DOCS.replace(",", "").split()[::2]) <= set(got[0].asDict())
+
+
+@pytest.mark.parametrize("max_keys", [1000, 0])
+def test_line_dedup_keeps_the_first(spark, max_keys):
+    df = spark.createDataFrame([(i, f"own {i}\nShared\nshared ") for i in range(12)], "doc_id long, text string")
+    got = {r.doc_id: r["__kept"] for r in line_dedup.dedup_lines(df, keep_first=True, max_keys=max_keys).collect()}
+    assert got[0] == "own 0\nShared" and all(got[i] == f"own {i}" for i in range(1, 12))
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_decontaminate(spark):
+    rng = random.Random(4)
+    texts = corpus(3, 40)
+    items = [(1, None), (2, ""), (3, "One!"), (None, "w1 w2")]
+    items += [(10 + i, " ".join(texts[k].split()[3:n])) for i, (k, n) in enumerate(((6, 30), (7, 13), (8, 9), (9, 60)))]
+    items += [(10, items[4][1])]
+    texts += [f"x {items[4][1].upper()}, y", "w1-W2"] + [" ".join(rng.choices(["a", "b"], k=50))]
+    items.append((30, "a b a b"))
+    docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (10**6, 30):
+        out = decontaminate.find_contamination(docs, bench, block_words=block_words)
+        got = out.select("doc_id", "__words", decontaminate.hit_words().alias("h"), F.size("__items").alias("k"), F.sha2(F.array_join("__items", ","), 256).alias("s")).collect()
+        want = [w[:5] for w in decontaminate.brute_force(list(enumerate(texts)), items)]
+        assert sorted(tuple(r) for r in got) == sorted(want)
+    assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
+    assert decontaminate.find_contamination(docs, bench.limit(0)).where(F.size("__hits") > 0).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="aAé .,'!\n\t12ΣİßK한\u0301#<|", max_size=30), max_size=8))
+def test_chunk_tokenizer_equals_the_tokenizer(texts):
+    encoder = packing.ChunkTokenizer(packing.tokenizer_path("word_bpe_49k.json"))
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert got.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing(spark):
+    texts = corpus(5, 80)
+    tokenizer = packing.ChunkTokenizer(packing.tokenizer_path("word_bpe_49k.json")).tokenizer
+    got = packing.pack(frame(spark, texts), length=256, group_size=30).toPandas()
+    for doc, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        own = got[got.doc_id == doc].sort_values("piece")
+        assert own.start.tolist() == list(range(0, len(ids), 256)) and own.length.sum() == len(ids)
+        assert own.ids_crc32.tolist() == [zlib.crc32(ids[s : s + 256].tobytes()) for s in own.start]
+    fill = got.groupby("sequence_id").length.sum()
+    assert fill.max() <= 256 and len(fill) <= 1.05 * got.length.sum() / 256 + 4
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == np.r_[0, own.length.cumsum()[:-1]].tolist()
+    assert packing.pack(frame(spark, []), length=256).count() == 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=60))
+def test_local_search_keeps_items_and_never_adds_bins(lengths):
+    first = packing.best_fit(lengths, 100)
+    better = packing.local_search([list(b) for b in first], lengths, 100)
+    assert sorted(i for b in better for i in b) == list(range(len(lengths)))
+    assert len(better) <= len(first) and all(sum(lengths[i] for i in b) <= 100 for b in better)
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.com/en/7x?q#f", "https://a.com/en/", "https://com/en/1", "x://net/de/8", "x://a.example.net/de/80", "x://xexample.net/de/8", "x://example.org?/es/", "x://a.org/es/", "ftp://www.bad.site/p/", "ftp://bad.site/p", "ftp://bad.site/p/q"]
+    pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls * 2)], "page_id long, url string, host string, path string")
+    listed = spark.createDataFrame([("http://m.bad.site/p",)], "url string")
+    entries = url_filter.rule_table(spark, url_filter.RULES).unionByName(url_filter.listed_urls(listed))
+    rows = sorted(tuple(r) for r in url_filter.filter_urls(pages, entries).collect())
+    got = [(r[3], r[4]) for r in rows[: len(urls)]]
+    free, block = (None, "allow"), (None, "block")
+    assert got == [free, free, free, free, ("example.com/en/7", "allow"), ("com/en/", "block"), ("com/en/", "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), free, ("org/es/", "block"), block, block, free]
+    assert len(rows) == 2 * len(urls) and rows[4][1:3] == ("www.example.com", "/en/7x")
+    assert url_filter.filter_urls(pages, entries.limit(0)).where("verdict = 'block'").count() == 0
+
+
+def test_template_language():
+    def render(template, messages):
+        out = []
+        chat_format.compile_template(template)(messages, lambda text, inside: out.append((text, inside)))
+        return "".join(t for t, _ in out)
+
+    two = [{"role": "a", "text": "x"}, {"role": "b", "text": "y"}]
+    assert render("{% for m in messages %}{{ loop.index }}{{ m['role'] | upper }}{% if not loop.last %},{% endif %}{% endfor %}", two) == "1A,2B"
+    assert render("{% set a = 'p' + \"q\" %}{% if a == 'pq' and 1 < 2 %}{{ a }}{% elif true %}no{% else %}no{% endif %}", []) == "pq"
+    assert chat_format.fold(chat_format.parse("a{{ 'b' + 'c' }}{% if 1 == 2 %}x{% else %}d{% endif %}")) == ("block", [("text", "abcd")])
+    assert render("{{ messages.__class__ }}{{ nothing.at.all }}", []) == ""
+    for bad in ("{{ f() }}", "{% import os %}", "{% for m in messages %}", "{{ 'a' | shell }}", "{{ }}", "{% endif %}"):
+        with pytest.raises(chat_format.TemplateError):
+            chat_format.compile_template(bad)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a: b\n", ""]), st.text(alphabet="\\#< />:\nturnUA é")), max_size=5))
+def test_chat_round_trip(turns):
+    parts, back = [], chat_format.ReadBack()
+
+    def sink(text, inside):
+        parts.append(text)
+        back(text, inside)
+
+    chat_format.compile_template(chat_format.TEMPLATE)([{"role": r, "text": t} for r, t in turns], sink)
+    assert chat_format.read_turns("".join(parts)) == turns and back.turns == len(turns)
+    assert back.loss_hash.hexdigest() == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
+
+
+def test_formatted_chats(spark):
+    rows = spark.createDataFrame([(1, 1, "assistant", "b#"), (1, 0, "user", None), (None, None, None, "z"), (1, 1, "assistant", "b#")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.format_chats(rows).collect()}
+    assert chat_format.read_turns(got[1].formatted) == [("user", ""), ("assistant", "b#"), ("assistant", "b#")]
+    assert [got[1].formatted[s.start : s.end] for s in got[1].loss_spans] == ["b\\#", "b\\#"] and got[None].loss_spans == []
+    digest = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_format.chat_digests(rows).collect()}
+    assert digest == {1: (3, 4), None: (1, 0)} and chat_format.chat_digests(rows.limit(0)).count() == 0
+
+
+def test_language(spark):
+    texts = [("en", "the cat and the dog"), ("de", "der hund und die katze"), ("en", "this is the house"), ("de", "das ist das haus")] * 3
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, "text", "lang", 1000)
+    asked = spark.createDataFrame([(0, "the house", "de"), (1, "die hunde", "en"), (2, None, "en"), (3, "123 !", "en"), (4, "thet", "x"), (5, "die " * 9000, "x")], "doc_id long, text string, c1 string")
+    got = {r.doc_id: (r["__lang"], r["__score"]) for r in language_id.predict(asked, "text", model).collect()}
+    assert [got[i][0] for i in range(6)] == ["en", "de", "und", "und", "en", "de"] and all(0 <= s <= 1 for _, s in got.values())
+    empty = language_id.train(docs.limit(0), "text", "lang", 10)
+    assert language_id.predict(asked, "text", empty).where("__lang <> 'und'").count() == 0
+
+
+def test_toxicity_grammar():
+    grammar = toxicity.Grammar({"zorg", "blick$"})
+    counts = lambda t: dict(zip(toxicity.PATTERNS, grammar.patterns(t), strict=True))
+    assert counts("What an idiot.")[toxicity.INSULT] == 1
+    assert counts("you are an idiot")[toxicity.AIMED] == 1
+    assert counts("you are not an idiot")[toxicity.WEAK] == 1
+    assert counts("Not here. Idiot!")[toxicity.INSULT] == 1
+    assert counts('he wrote that an idiot came')[toxicity.TOLD] == 1
+    assert counts("they will kill you")[toxicity.MENACE] >= 1
+    assert counts("a zorgian and a blick, no blicker")[toxicity.INSULT] == 2
+    assert sum(grammar.patterns(None)) == sum(grammar.patterns("fine words")) == 0
+
+
+def test_toxicity_learns_and_holds_out(spark):
+    rng = random.Random(8)
+    plain = [f"p{i}q" for i in range(300)]
+    texts, marks = [], []
+    for i in range(400):
+        words = rng.choices(plain, k=30)
+        toxic = i % 5 == 0
+        if toxic:
+            words.insert(rng.randrange(30), f"grumx{rng.choice('abcdef')}{rng.choice('xyz')}")
+        texts.append(" ".join(words))
+        marks.append((i, int(toxic)))
+    docs, labels = frame(spark, [*texts, None, ""]), spark.createDataFrame(marks[:300], "doc_id long, toxic int")
+    terms, weights = toxicity.train(docs, labels)
+    got = {r.doc_id: r["__score"] for r in toxicity.score_texts(docs, "text", terms, weights).collect()}
+    assert all((got[i] >= toxicity.THRESHOLD) == bool(y) for i, y in marks) and got[400] == got[401] < 0.1
+    none, prior = toxicity.train(docs, labels.limit(0))
+    assert none == set() and prior[0] == toxicity.BASE
+
+
+def test_secret_scan(spark):
+    dictionary = {"order", "value", "count", "commit"}
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    docs = frame(spark, [f'the token = "{key}" is', "card 4952935900253052 here", f"commit {key} of it", None, "", "short1"])
+    findings = spark.createDataFrame(secret_scan.labelled_findings(dictionary), "label double, " + ", ".join(f"{f} double" for f in secret_scan.FEATURES))
+    got = {r.doc_id: r for r in secret_scan.scan(docs, secret_scan.train(spark, findings), dictionary).collect()}
+    assert {i: r.secret for i, r in got.items()} == {0: True, 1: False, 2: False}
+    assert got[0].start == 13 and got[0].sha256 == hashlib.sha256(key.encode()).hexdigest()
+
+
+def test_neighbours_recall(spark):
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(20, 16))[rng.integers(0, 20, 1500)] + rng.normal(size=(1500, 16))).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(2000, None), (2100, []), (2200, [0.0] * 16), (2300, [float("nan")] * 16), (None, [1.0] * 16), (2400, [1.0]), (2500, [None] * 16), (0, rows[0][1])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, v array<double>")
+    pts = cut(neighbours.points(df, "vec_id", "v"))
+    assert pts.count() == 1500
+    found = neighbours.search(pts, neighbours.neighbour_graph(pts), pts.where("id % 100 = 0"), top=10).toPandas()
+    want = neighbours.brute_force(rows)
+    own = found.groupby("query_id").vec_id.apply(set).to_dict()
+    assert np.mean([len(own[q] & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
+    few = cut(neighbours.points(df.where("vec_id < 3"), "vec_id", "v"))
+    got = neighbours.search(few, neighbours.neighbour_graph(few), few.where("id % 100 = 0"), top=10).collect()
+    assert [(r.query_id, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1), (0, 2)]
+    none = cut(neighbours.points(df.limit(0), "vec_id", "v"))
+    assert neighbours.search(none, neighbours.neighbour_graph(none), none, top=10).count() == 0
