@@ -249,3 +249,15 @@ def test_neighbours_recall(spark):
     assert [(r.query_id, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1), (0, 2)]
     none = cut(neighbours.points(df.limit(0), "vec_id", "v"))
     assert neighbours.search(none, neighbours.neighbour_graph(none), none, top=10).count() == 0
+
+
+def test_neighbours_copies(spark):
+    """A vector that most rows share is one node, and its copies rank by id."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0, 0.0] if i % 3 else rng.standard_normal(3).tolist()) for i in range(300)]
+    pts = cut(neighbours.points(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v"))
+    found = neighbours.nearest(pts, pts.where("id % 100 = 0"), top=10).collect()
+    got = {q: [(r.vec_id, pytest.approx(r.score)) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100, 200)}
+    assert {q: [(i, d) for i, d in near] for q, near in neighbours.brute_force(rows).items()} == got
+    none = pts.limit(0)
+    assert neighbours.nearest(none, none, top=10).count() == 0
