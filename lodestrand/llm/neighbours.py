@@ -127,8 +127,11 @@ def leaves(pts: DataFrame, n: int, dim: int, tables: int) -> DataFrame:
     return dealt.join(sizes, ["t", "cell"]).groupBy("t", "cell", sub).agg(F.collect_list(member).alias("members")).select("members")
 
 
-def neighbour_graph(pts: DataFrame, k: int = 14, tables: int = 3, rounds: int = 3) -> DataFrame:
-    """NN-descent: (src, dst, d) with the k nearest found of every point; d is the squared distance."""
+def neighbour_graph(pts: DataFrame, k: int = 20, tables: int = 3, rounds: int = 10, settled: float = 0.002) -> DataFrame:
+    """NN-descent: (src, dst, d) with the k nearest found of every point; d is the squared distance.
+
+    Rounds end when one lowers the sum of all distances by less than the share ``settled``, or after ``rounds``.
+    """
     first = pts.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
 
     def as_floats(batches):
@@ -140,6 +143,7 @@ def neighbour_graph(pts: DataFrame, k: int = 14, tables: int = 3, rounds: int =
     packed = cut(pts.mapInArrow(as_floats, "id long, vec binary"))
     graph = cut(_keep_nearest(leaves(packed, first.n, first.dim or 0, tables).mapInArrow(_local_joins(k), EDGES), k))
     reverse_rank = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", "v")))
+    total = graph.agg(F.sum("d")).first()[0] or 0.0
     for _ in range(rounds):
         worst = graph.groupBy("src").agg(F.when(F.count("*") >= k, F.max("d")).alias("worst"))
         nodes = packed.join(worst, F.col("id") == F.col("src"), "left").select(F.col("id").alias("u"), F.coalesce("worst", F.lit(float("inf"))).alias("worst"), "vec")
@@ -149,10 +153,13 @@ def neighbour_graph(pts: DataFrame, k: int = 14, tables: int = 3, rounds: int =
         groups = near.join(nodes, "u").groupBy("v").agg(F.collect_list(member).alias("members"))  # at most 2 k members
         found = groups.select("members").mapInArrow(_local_joins(k), EDGES)
         graph = cut(_keep_nearest(graph.union(found), k))
+        was, total = total, graph.agg(F.sum("d")).first()[0] or 0.0
+        if was - total <= settled * was:
+            break
     return graph
 
 
-def search(pts: DataFrame, graph: DataFrame, queries: DataFrame, top: int, pool: int = 96, expand: int = 32, max_rounds: int = 40) -> DataFrame:
+def search(pts: DataFrame, graph: DataFrame, queries: DataFrame, top: int, pool: int = 256, expand: int = 256, max_rounds: int = 40) -> DataFrame:
     """Greedy graph search for ``queries`` (ids of points): query_id, rank, vec_id, score."""
     links = graph.select("src", "dst").union(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     links = cut(links.repartition("src"))
