@@ -3,9 +3,9 @@
 Documents are tokenized and cut into pieces in one narrow pass; only the pieces' ids and lengths
 shuffle.  Pieces are dealt at random (by a hash) into groups of about ``group_size`` and each group
 is packed by itself: full pieces fill a sequence, the others are placed best-fit (longest first, into
-the fullest sequence with room) and then improved: among underfull sequences a move, a one-for-one
-or a two-for-one exchange is made when it raises the sum of squared fills, until no exchange helps;
-sequences that become empty go.  A group of thousands of pieces loses at most about one sequence to
+the fullest sequence with room) and then improved: among all underfull sequences a move, a one-for-one
+or a two-for-one exchange is made when it raises the sum of squared fills, until no exchange helps or
+the group has no more sequences than its tokens need; sequences that become empty go.  A group of thousands of pieces loses at most about one sequence to
 its neighbours, so more groups cost next to nothing and no task grows with the input.
 
 Tokenizing: the tokenizer drops white space and never joins text across it, so a text is split
@@ -33,10 +33,6 @@ from .common import read
 MAX_CHUNKS = 600_000
 #: Marks that stand behind words; an apostrophe is none, for it starts contractions.
 MARKS = ".,!?;:|"
-#: Sequences with room that the local search looks at together.
-SEARCH_BINS = 192
-#: Rounds of the local search over a group.
-SEARCH_ROUNDS = 30
 
 
 class ChunkTokenizer:
@@ -145,64 +141,113 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(a: list[int], b: list[int], la: int, lb: int, lengths: list[int], size: int) -> bool:
-    """Make the exchange between bins ``a`` (fuller) and ``b`` that raises the squared fill most."""
-    spare = size - la
-    best, chosen = 0, None
-    for y in b:  # a move, or one item of a for one of b
-        gain = lengths[y]
-        if best < gain <= spare:
-            best, chosen = gain, ((), (y,))
-        for x in a:
-            gain = lengths[y] - lengths[x]
-            if best < gain <= spare:
-                best, chosen = gain, ((x,), (y,))
-    if best < spare:  # two of one bin for one of the other
-        for one, two, sign in ((a, b, 1), (b, a, -1)):
-            for i, y in enumerate(two):
-                for z in two[i + 1 :]:
-                    for x in one:
-                        gain = sign * (lengths[y] + lengths[z] - lengths[x])
-                        if best < gain <= spare:
-                            best, chosen = gain, ((x,), (y, z)) if sign > 0 else ((y, z), (x,))
-    if chosen is None:
-        return False
-    for out, into, moved in ((a, b, chosen[0]), (b, a, chosen[1])):
-        for x in moved:
-            out.remove(x)
-            into.append(x)
-    return True
+class _OpenBins:
+    """The underfull bins, with what each can give: its items, and the sums of two of them.
+
+    ``lengths`` and ``bin_of`` list the items; ``pairs`` has (sum, item, item, bin) of each bin, one row per
+    distinct sum.  ``stamp`` is when a bin last changed, ``seen`` when it was last tried as a giver.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
+        self.size = size
+        self.items = np.array([i for b in bins for i in b], np.int64)
+        self.lengths = np.array(lengths, np.int64)[self.items]
+        at = np.cumsum([0, *map(len, bins)])
+        self.bins = [list(range(a, b)) for a, b in zip(at[:-1], at[1:], strict=True)]
+        self.bin_of = np.repeat(np.arange(len(bins)), np.diff(at))
+        self.fill = np.array([self.lengths[a:b].sum() for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
+        self.pairs = np.concatenate([np.empty((4, 0), np.int64), *map(self._pairs, range(len(bins)))], axis=1)
+        self.clock = 1
+        self.stamp, self.seen = np.ones(len(bins), np.int64), np.zeros(len(bins), np.int64)
+
+    def _pairs(self, b: int) -> np.ndarray:
+        own = np.array(self.bins[b], np.int64)
+        i, j = np.triu_indices(len(own), 1)
+        sums, first = np.unique(self.lengths[own[i]] + self.lengths[own[j]], return_index=True)
+        return np.stack([sums, own[i[first]], own[j[first]], np.full(len(sums), b)])
+
+    def _best(self, given: np.ndarray, taken: np.ndarray, takers: np.ndarray, giver: int) -> tuple[int, int, int]:
+        """The greatest raise of the squared fill, and the places in ``given`` and ``taken`` that make it."""
+        if not len(given) or not len(taken):
+            return 0, 0, 0
+        fill = self.fill[takers]
+        gain = given[:, None] - taken
+        raised = np.where((gain > 0) & (gain <= self.size - fill), gain * (gain + (fill - self.fill[giver])), 0)
+        at = int(raised.argmax())
+        y, x = divmod(at, len(taken))
+        return int(raised[y, x]), y, x
+
+    def improve(self, giver: int) -> bool:
+        """Make the best exchange in which ``giver`` gives to any other bin, if one helps."""
+        since, self.seen[giver] = self.seen[giver], self.clock
+        if not self.bins[giver]:
+            return False
+        # Without a change of its own, only bins that changed after the last try can offer anything new.
+        fresh = self.fill < self.size
+        fresh[giver] = False
+        if self.stamp[giver] <= since:
+            fresh &= self.stamp > since
+        takers = np.flatnonzero(fresh & (self.fill > 0))
+        if not len(takers):
+            return False
+        own = np.array(self.bins[giver], np.int64)
+        _, first = np.unique(self.lengths[own], return_index=True)
+        own = own[first]
+        two = self._pairs(giver)
+        single = np.flatnonzero(fresh[self.bin_of])
+        double = self.pairs[:, fresh[self.pairs[3]]]
+        ones, homes = self.lengths[single], self.bin_of[single]
+        tried = [
+            self._best(self.lengths[own], np.zeros(len(takers), np.int64), takers, giver),
+            self._best(self.lengths[own], ones, homes, giver),
+            self._best(two[0], ones, homes, giver),
+            self._best(self.lengths[own], double[0], double[3], giver),
+        ]
+        kind = max(range(4), key=lambda k: tried[k][0])
+        raised, y, x = tried[kind]
+        if not raised:
+            return False
+        gives = two[1:3, y].tolist() if kind == 2 else [int(own[y])]
+        takes, taker = ([], takers[x]) if kind == 0 else (double[1:3, x].tolist(), double[3, x]) if kind == 3 else ([int(single[x])], homes[x])
+        self._swap(giver, int(taker), gives, takes)
+        return True
+
+    def _swap(self, giver: int, taker: int, gives: list[int], takes: list[int]) -> None:
+        for out, into, moved in ((giver, taker, gives), (taker, giver, takes)):
+            for i in moved:
+                self.bins[out].remove(i)
+                self.bins[into].append(i)
+                self.bin_of[i] = into
+                self.fill[out] -= self.lengths[i]
+                self.fill[into] += self.lengths[i]
+        self.clock += 1
+        self.stamp[[giver, taker]] = self.clock
+        others = (self.pairs[3] != giver) & (self.pairs[3] != taker)
+        self.pairs = np.concatenate([self.pairs[:, others], self._pairs(giver), self._pairs(taker)], axis=1)
 
 
 def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
-    """Exchange items between underfull bins until nothing raises the squared fill (or the rounds end).
+    """Exchange items between underfull bins until no exchange raises the sum of squared fills.
 
-    Moving g > 0 tokens into the fuller of two bins always raises the sum of squares.  The emptiest
-    bins, ``SEARCH_BINS`` at most in a round, give to the fullest underfull ones first.
+    Every underfull bin gives to every other, the emptiest first, and passes go on until a full one
+    changes nothing.  They end before only when even a perfect packing could not save a bin.  A full
+    bin takes part in no exchange that raises the squares.
     """
-    done = [b for b in bins if sum(lengths[i] for i in b) == size]
-    open_ = [b for b in bins if sum(lengths[i] for i in b) < size]
-    for _ in range(SEARCH_ROUNDS):
-        if len(open_) < 2 or sum(size - sum(lengths[i] for i in b) for b in open_) < size:
-            break  # even a perfect packing could not save a bin
-        open_.sort(key=lambda b: sum(lengths[i] for i in b))
-        head, tail = open_[:SEARCH_BINS], open_[SEARCH_BINS:]
-        fill = [sum(lengths[i] for i in b) for b in head]
+    sums = [sum(lengths[i] for i in b) for b in bins]
+    done = [b for b, s in zip(bins, sums, strict=True) if s == size]
+    open_ = [b for b, s in zip(bins, sums, strict=True) if s < size]
+    least = -(-sum(s for s in sums if s < size) // size)
+    if len(open_) <= least:
+        return done + open_
+    state = _OpenBins(open_, lengths, size)
+    left, changed = len(open_), True
+    while changed and left > least:
         changed = False
-        for giver in range(len(head)):
-            for taker in range(len(head) - 1, giver, -1):
-                while fill[taker] < size and head[giver] and fill[taker] >= fill[giver] and _exchange(head[taker], head[giver], fill[taker], fill[giver], lengths, size):
-                    total = fill[taker] + fill[giver]
-                    fill[taker] = sum(lengths[i] for i in head[taker])
-                    fill[giver] = total - fill[taker]
-                    changed = True
-                if not head[giver]:
-                    break
-        done += [b for b, f in zip(head, fill, strict=True) if f == size]
-        open_ = [b for b, f in zip(head, fill, strict=True) if 0 < f < size] + tail
-        if not changed:
-            break
-    return done + open_
+        for giver in np.argsort(state.fill, kind="stable").tolist():
+            while left > least and state.improve(giver):
+                changed = True
+                left -= not state.bins[giver]
+    return done + [state.items[b].tolist() for b in state.bins if b]
 
 
 def pack_group(frame: pd.DataFrame, size: int) -> pd.DataFrame:
