@@ -23,17 +23,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines in 10 documents or more stay in the first of them only; every document stays."""
+    """Lines in 10 documents or more stay in the first of them only; documents that had text and lose all of it go."""
     out = line_dedup.dedup_lines(docs, keep_first=True)
+    emptied = F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)) & ~F.col("__kept").rlike(r"\S")
     kept = F.when(F.col("text").isNotNull(), F.col("__kept"))
-    return out.withColumn("text", kept).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return out.where(~emptied).withColumn("text", kept).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (similarity 0.8 on five words): the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NULL").unionByName(docs.join(kept, "doc_id", "left_semi").select(docs.columns))
-    return named
+    """One row of each group stays (similarity 0.8 on five words): the one with the smallest id, a null id last.
+
+    Rows are judged by numbers of their own, so rows that share an id, or have none, are told apart.  The
+    numbers follow the scan of ``docs``, written files that give the same ones each time.
+    """
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = near_dedup.near_duplicates(numbered, doc_id=row, percent=80).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)
+    first = groups.join(numbered.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order).alias("first"))
+    return numbered.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

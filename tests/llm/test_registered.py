@@ -33,3 +33,17 @@ def test_stages(spark, tmp_path):
             assert 100 < docs.count() <= before
             before = docs.count()
     assert docs.select("doc_id").distinct().count() == before
+
+
+def test_copies_in_large_groups_leave_one_row(spark, tmp_path):
+    """Twelve copies with ids, one of them twice, eleven without; rows without text and a shared id are no copies."""
+    rows = [(i, "Shared one\n\nshared two") for i in [*range(3, 15), 3]] + [(20, None), (21, " \n"), (22, "own words of one"), (22, "other words of another")]
+    rows += [(None, f"None {k}") for k in (1, 1, 2)] + [(None, "no id\nhas it")] * 11
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("line_dedup", "near_dedup"):
+        stages[name](spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    got = sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
+    want = [(-1, "None 1"), (-1, "None 2"), (-1, "no id\nhas it"), (3, "Shared one\n\nshared two"), (20, ""), (21, " \n"), (22, "other words of another"), (22, "own words of one")]
+    assert got == want
