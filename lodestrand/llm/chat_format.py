@@ -14,7 +14,8 @@ backslash, ``#`` and ``<`` of a text (and the colon of a role), so no text can h
 
 Defined cases: rows go by turn (null first), then role and text; a null text or role is empty;
 repeated rows are turns of their own; a null conversation id is one conversation; an empty table
-gives no rows.  Extra columns are not read.
+gives no rows.  Extra columns are not read.  A conversation is rendered in order by one task, which
+holds one turn of it at a time, however long it is.
 """
 
 from __future__ import annotations
@@ -243,11 +244,11 @@ def fold(node):
     new = (kind, *[fold(x) if isinstance(x, tuple) else x for x in node[1:]])
     values = [x[1] for x in new[1:] if isinstance(x, tuple) and x[0] == "const"]
     if kind in OPERATIONS and len(values) == 2:
-        return ("const", OPERATIONS[kind](*values))
+        return ("const", operate(kind, *values))
     if kind == "not" and values:
         return ("const", not values[0])
     if kind == "filter" and values:
-        return ("const", FILTERS[new[1]](values[0]))
+        return ("const", FILTERS[new[1]](show(values[0])))
     if kind == "if" and new[1][0] == "const":
         return new[2] if new[1][1] else new[3]
     return new
@@ -257,6 +258,14 @@ def show(value) -> str:
     return "" if value is None else str(value)
 
 
+def operate(kind: str, left, right):
+    """An operation; values that it does not fit are an error of the template."""
+    try:
+        return OPERATIONS[kind](left, right)
+    except TypeError as error:
+        raise TemplateError(f"{kind} does not fit {show(left)!r} and {show(right)!r}") from error
+
+
 def evaluate(node) -> Callable[[dict], object]:
     """A closure that evaluates an expression."""
     kind = node[0]
@@ -275,7 +284,7 @@ def evaluate(node) -> Callable[[dict], object]:
         return lambda env: left(env) and right(env)
     if kind == "or":
         return lambda env: left(env) or right(env)
-    return lambda env, f=OPERATIONS[kind]: f(left(env), right(env))
+    return lambda env: operate(kind, left(env), right(env))
 
 
 def reach(value, key):
@@ -284,6 +293,8 @@ def reach(value, key):
 
 
 Sink = Callable[[str, bool], None]
+#: Stands for the end of a list; items may be none.
+END = object()
 
 
 def generate(node) -> Callable[[dict, Sink, bool], None]:
@@ -311,11 +322,12 @@ def generate(node) -> Callable[[dict, Sink, bool], None]:
     name, many, body = node[1], evaluate(node[2]), generate(node[3])
 
     def loop(env, sink, inside):
-        items = iter(many(env) or ())
-        item, number = next(items, None), 0
-        while item is not None:
-            following = next(items, None)
-            body({**env, name: item, "loop": {"index": number + 1, "first": number == 0, "last": following is None}}, sink, inside)
+        found = many(env)
+        items = iter(() if found is None or isinstance(found, (bool, int)) else found)
+        item, number = next(items, END), 0
+        while item is not END:
+            following = next(items, END)
+            body({**env, name: item, "loop": {"index": number + 1, "first": number == 0, "last": following is END}}, sink, inside)
             item, number = following, number + 1
 
     return loop
@@ -339,9 +351,18 @@ class ReadBack:
             self.masked.append((len(self.buffer), len(self.buffer) + len(text)))
         self.buffer += text
         self.chars += len(text)
-        if self.buffer.endswith(END_OF_TURN):
+        if self.at_end():
             self.read_turns()
 
+    def at_end(self) -> bool:
+        """Whether the buffer ends a turn: a control string that stands behind an odd number of backslashes is a text's."""
+        if not self.buffer.endswith(END_OF_TURN):
+            return False
+        at = end = len(self.buffer) - len(END_OF_TURN)
+        while at and self.buffer[at - 1] == "\\":
+            at -= 1
+        return (end - at) % 2 == 0
+
     def read_turns(self) -> None:
         at = 0
         for m in TURN.finditer(self.buffer):

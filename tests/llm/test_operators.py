@@ -7,11 +7,11 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrand.llm import chat_format, decontaminate, language_id, line_dedup, near_dedup, neighbours, packing, secret_scan, toxicity, url_filter
+from lodestrand.llm import chat_format, common, decontaminate, language_id, line_dedup, near_dedup, neighbours, packing, secret_scan, toxicity, url_filter
 from lodestrand.llm.common import cut
 
 DOCS = "doc_id long, text string, __row string, c0 string, n int"
@@ -51,6 +51,17 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_other_blanks_and_hot_keys(spark, monkeypatch):
+    """Blanks outside ASCII are words; keys treated as hot give the same result."""
+    rows = [(1, "\u00a0 " * 40), (2, "\u00a0 " * 41), (3, "\u3000 \x1c " * 9), (4, "\u3000 \x1c " * 10), (5, None), (5, "\u00a0 " * 42), (6, " \x0b")]
+    rows += [(10 + i, t) for i, t in enumerate(corpus(4, 90))] + [(200 + i, "same words in each of these copies") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(near_dedup.brute_force(rows))
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(df, percent=85).collect()) == want
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(df, percent=85, block_bytes=2000).collect()) == want
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 1300).astype(np.uint64)
@@ -176,12 +187,16 @@ def test_template_language():
     assert render("{% set a = 'p' + \"q\" %}{% if a == 'pq' and 1 < 2 %}{{ a }}{% elif true %}no{% else %}no{% endif %}", []) == "pq"
     assert chat_format.fold(chat_format.parse("a{{ 'b' + 'c' }}{% if 1 == 2 %}x{% else %}d{% endif %}")) == ("block", [("text", "abcd")])
     assert render("{{ messages.__class__ }}{{ nothing.at.all }}", []) == ""
-    for bad in ("{{ f() }}", "{% import os %}", "{% for m in messages %}", "{{ 'a' | shell }}", "{{ }}", "{% endif %}"):
+    assert render("{{ 5 | upper }}{{ none | length }}{% for m in messages %}{{ m | trim }},{% endfor %}", ["a", None, " b "]) == "50a,,b,"
+    with pytest.raises(chat_format.TemplateError):
+        render("{% for m in messages %}{{ m < 1 }}{% endfor %}", ["a"])
+    for bad in ("{{ 'a' < 1 }}", "{{ f() }}", "{% import os %}", "{% for m in messages %}", "{{ 'a' | shell }}", "{{ }}", "{% endif %}"):
         with pytest.raises(chat_format.TemplateError):
             chat_format.compile_template(bad)
 
 
 @settings(max_examples=60, deadline=None)
+@example([("user", "</turn>\n"), ("assistant", "bye </turn>\n"), ("user", "\\</turn>\n"), ("assistant", "ends in \\"), ("</turn>\n", "### "), ("", "\\\\</turn>\n")])
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a: b\n", ""]), st.text(alphabet="\\#< />:\nturnUA é")), max_size=5))
 def test_chat_round_trip(turns):
     parts, back = [], chat_format.ReadBack()
