@@ -15,11 +15,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+def shared_checkpoints(spark: SparkSession) -> str:
+    """The checkpoint folder: the cluster's ``spark.checkpoint.dir``; one of our own only in local mode."""
     sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,6 +32,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column of ``taken`` has it (in any case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+#: A key with no more rows than this is never treated as hot.
+HOT_ROWS = 1000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
+    """The keys of ``counts`` (keys, n) with over a thousandth of ``total`` rows: 999 at most; None without any."""
+    if total <= HOT_ROWS:
+        return None
+    found = cut(counts.where(F.col("n") > max(HOT_ROWS, total // 1000)).select(*keys))
+    return None if found.isEmpty() else found
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Inner or left join with a table that has each key once.
+
+    The rows of ``hot`` keys (see ``hot_keys``; at most 999, so the broadcast is bounded) stay where they are; the
+    others shuffle.  ``left`` is read twice when there are hot keys.
+    """
+    if hot is None:
+        return left.join(right, keys, how)
+    few = F.broadcast(hot)
+    warm = left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how)
+    return warm.unionByName(left.join(few, keys, "left_anti").join(right, keys, how))
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z and nothing else; pure ASCII strings take the faster built-in."""
     plain = F.length(column) == F.octet_length(column)

@@ -6,22 +6,27 @@
    compete for bin j.  Rounds end when every bin is filled, so no bin stays empty and each
    coordinate agrees between two sets with probability equal to their Jaccard similarity, with
    concentration as strong as for independent draws.
-2. Equal word sequences form a class, represented by its smallest id (only a digest shuffles).
+2. Equal word sequences form a class, represented by its smallest id (only a digest shuffles).  A
+   class is dealt by a salt into parts of its own smallest ids, so copies of a third of all rows
+   never meet in one task; only the parts' ids take part in what follows.
 3. Bands of ``rows`` coordinates give bucket keys.  A bucket links its members to its smallest id
    (no pairs within a bucket), and the links' connected components are candidate clusters: two
    representatives that share a bucket are in the same cluster.
-4. Texts of the representatives in clusters shuffle by cluster.  A task compares members that
+4. Texts of the representatives in clusters go to their clusters.  A task compares members that
    share a bucket on their full sets, most alike first, and skips pairs already connected.  A
-   cluster of more than ``block`` members is split into blocks and each pair of blocks is a group, so
-   that no task holds more than 2 * ``block`` texts.
-5. Verified links give the components; class members take their representative's.
+   cluster of more than ``block`` members or ``block_bytes`` of text is split into blocks and each pair of
+   blocks is a group, so that no task holds more than about two blocks of either measure.
+5. Verified links give the components; class members take their part's.
+
+Joins on a node, a bucket or a component treat keys with many rows apart (``join_unique``).
 
 The number of bands is the smallest for which a pair at the threshold is missed with a probability
 of at most ``MISS``.
 
-Defined cases: a text without words (null, empty, blank) has an empty set and is linked with
-nothing; fewer words than a shingle form one shingle; repeated rows and ids share a component;
-a row with a null id has a null component and is kept.  Extra columns are not read.
+Defined cases: words are parted by ASCII blanks alone, so other blanks are words; a text without
+words (null, empty, blank) has an empty set and is linked with nothing; fewer words than a shingle
+form one shingle; repeated rows and ids share a component; a row with a null id has a null component
+and is kept; an empty table gives no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, read
+from .common import as_bytes, cut, hot_keys, join_unique, read
 
 BAND_ROWS = 5
 MISS = 1e-5
@@ -115,7 +120,8 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, n_bands: int) -> DataFrame:
-    """Per row: id, number of shingles, digest of the word sequence, bucket keys."""
+    """Per row: id, number of shingles, bytes of text, digest of the word sequence, bucket keys."""
+    names = ["doc_id", "n", "bytes", "digest", "keys"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def sign(batches):
@@ -123,36 +129,37 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, n_bands: i
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                out = [part.column(0), [], [], []]
+                out: list[tuple] = []
                 for raw in as_bytes(part.column(1)):
                     own = (raw or b"").lower().split()
                     if not own:
-                        out[1].append(0), out[2].append(None), out[3].append(None)
+                        out.append((0, 0, None, None))
                         continue
                     got = shingles(known.of(own), shingle)
-                    out[1].append(len(got))
-                    out[2].append(xxhash.xxh3_128_digest(b" ".join(own)))
-                    out[3].append(band_keys(sketch(got, n_bands * BAND_ROWS)))
-                yield pa.RecordBatch.from_arrays([out[0], *[pa.array(c, k) for c, k in zip(out[1:], kinds[1:], strict=True)]], ["doc_id", "n", "digest", "keys"])
+                    out.append((len(got), len(raw), xxhash.xxh3_128_digest(b" ".join(own)), band_keys(sketch(got, n_bands * BAND_ROWS))))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]], names)
 
     fed = docs.select(F.col(doc_id).cast("long"), F.col(text))
-    return fed.mapInArrow(sign, "doc_id long, n long, digest binary, keys array<long>")
+    return fed.mapInArrow(sign, "doc_id long, n long, bytes long, digest binary, keys array<long>")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of a link table: (id, component), component the smallest id.
 
-    Smallest-neighbour propagation with a jump along labels in each round; a hub's links are only
-    ever reduced by min(), so a node with any number of links is no bottleneck.
+    Smallest-neighbour propagation with a jump along labels in each round.  A hub's links and a large
+    component's members are the hot keys of the two joins.
     """
     both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
     labels = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")))
+    hubs = hot_keys(both.groupBy("y").agg(F.count("*").alias("n")), ["y"], both.count())
+    nodes = labels.count()
     while True:
-        near = both.join(labels.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        lower = labels.join(near, "x").select("x", F.col("l").alias("was"), F.least("l", "m").alias("l"))
+        large = hot_keys(labels.groupBy("l").agg(F.count("*").alias("n")), ["l"], nodes)
+        near = join_unique(both, labels.select(F.col("x").alias("y"), "l"), ["y"], hubs).groupBy("x").agg(F.min("l").alias("m"))
         jump = labels.select(F.col("x").alias("l"), F.col("l").alias("j"))
-        new = cut(lower.join(jump, "l", "left").select("x", "was", F.least(F.col("l"), F.coalesce("j", "l")).alias("l")))
-        if not new.where("was <> l").limit(1).count():
+        jumped = join_unique(labels, jump, ["l"], large, "left").select("x", F.col("l").alias("was"), F.least(F.col("l"), F.coalesce("j", "l")).alias("l"))
+        new = cut(jumped.join(near, "x").select("x", "was", F.least("l", "m").alias("l")))
+        if new.where("was <> l").isEmpty():
             return new.select(F.col("x").alias("id"), F.col("l").alias("component"))
         labels = new.drop("was")
 
@@ -203,43 +210,72 @@ def verified_links(ids: np.ndarray, texts: list[bytes], crossing: np.ndarray | N
     return links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, block: int = 3000) -> DataFrame:
+#: Members of clusters that a broadcast may carry to the texts (each a few numbers); more go by shuffle.
+MAX_BROADCAST_ROWS = 300_000
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, block: int = 3000, block_bytes: int = 24 << 20) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     signed = cut(signatures(docs, doc_id, text, shingle, bands(percent)))
+    rows = signed.count()
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(max(8, rows // 100_000)))
     linked = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    # An id may have rows with different texts: it then belongs to several classes.
-    owners = linked.select("digest", F.col("doc_id").alias("own")).join(classes.select("digest", "rep"), "digest").where("own <> rep").select(F.col("rep").alias("a"), F.col("own").alias("b")).distinct()
-
-    rows = classes.select("rep", F.explode("keys").alias("bucket"))
-    least = rows.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("bucket", "a")
-    stars = rows.join(least, "bucket").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    parts = cut(linked.groupBy("digest", salt.alias("salt")).agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"), F.max("bytes").alias("bytes")))
+    classes = parts.groupBy("digest").agg(F.min("low").alias("rep"), F.min_by("keys", "low").alias("keys"), F.max("bytes").alias("bytes"))
+    classes = cut(classes.select("digest", "rep", "keys", "bytes"))
+    owners = parts.select("digest", "low").join(classes.select("digest", "rep"), "digest").where("low <> rep").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    members = linked.select("doc_id", "n", "digest", salt.alias("salt")).join(parts.select("digest", "salt", "low"), ["digest", "salt"]).select("doc_id", "n", "low")
+    # An id may have rows with different texts: it then ties its classes together.
+    several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("n > 1")
+    repeated = not several.isEmpty()
+    if repeated:
+        own = cut(members.join(several.where("d0 <> d1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "low").distinct())
+        least = cut(own.groupBy("doc_id").agg(F.min("low").alias("a"), F.count("*").alias("n")))
+        tied = join_unique(own, least.select("doc_id", "a"), ["doc_id"], hot_keys(least, ["doc_id"], own.count())).where("a <> low")
+        owners = owners.unionByName(tied.select("a", F.col("low").alias("b")))
+
+    buckets = classes.select("rep", F.explode("keys").alias("bucket"))
+    least = cut(buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1"))
+    common = hot_keys(least, ["bucket"], least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    stars = join_unique(buckets, least.select("bucket", "a"), ["bucket"], common).where("rep > a").select("a", F.col("rep").alias("b")).distinct()
     clusters = components(stars)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
+    # A representative of several classes stands for each of their texts.
+    sized = clusters.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("bytes").alias("bytes")), "id")
+    sizes = cut(sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
     # Blocks of a large cluster; a member goes to the group of its block with each other block.
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
-    parts = clusters.join(sizes, "component").select("id", "component", mine.alias("own"), n_blocks.alias("blocks"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    parts = parts.select("id", "component", "own", "blocks", F.explode(others).alias("other"))
-    pair = F.struct("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    routed = parts.where("blocks = 1 OR own <> other OR blocks > 1").select("id", "own", pair.alias("group"))
+    n_blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("int")
+    split = sizes.select("component", n_blocks.alias("blocks"))
+    held = join_unique(clusters, split, ["component"], hot_keys(sizes, ["component"], clusters.count()))
+    held = held.select("id", "component", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    routed = cut(held.select("id", "own", F.col("component").alias("c"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")))
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    chosen = texts.join(routed, "id").select("id", "own", "text", F.col("group.component").alias("c"), F.col("group.p").alias("p"), F.col("group.q").alias("q"))
+    chosen = texts.join(F.broadcast(routed) if routed.count() <= MAX_BROADCAST_ROWS else routed, "id")
+    if repeated:
+        chosen = chosen.dropDuplicates()
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["id", "text"])
-        frame = frame[frame["text"].str.strip() != ""]
+        raw = [t.encode() for t in frame["text"]]
+        some = np.array([bool(t.split()) for t in raw], bool)
+        frame, raw = frame[some], [t for t, s in zip(raw, some, strict=True) if s]
         crossing = None if frame["p"].iloc[:1].eq(frame["q"].iloc[:1]).all() else frame["own"].to_numpy()
-        links = verified_links(frame["id"].to_numpy(), [t.encode() for t in frame["text"]], crossing, shingle, percent, WordHashes())
+        links = verified_links(frame["id"].to_numpy(), raw, crossing, shingle, percent, WordHashes())
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     found = chosen.groupBy("c", "p", "q").applyInPandas(verify, "a long, b long")
     comps = components(found.where("a <> b").unionByName(owners))
-    out = signed.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    labelled = members.join(comps.withColumnRenamed("id", "low"), "low", "left").select("doc_id", "n", F.coalesce("component", "low").alias("component_id"))
+    bare = signed.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n")
+    if repeated:
+        # Rows without words share the component of their id's other rows.
+        ids = cut(bare.select("doc_id").distinct())
+        known = labelled.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        counts = bare.groupBy("doc_id").agg(F.count("*").alias("n"))
+        bare = join_unique(bare, known, ["doc_id"], hot_keys(counts, ["doc_id"], bare.count()), "left")
+    else:
+        bare = bare.withColumn("component_id", F.col("doc_id"))
+    out = labelled.unionByName(bare.withColumn("component_id", F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
