@@ -53,8 +53,9 @@ def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None
     """The keys of ``counts`` (keys, n) with over a thousandth of ``total`` rows: 999 at most; None without any."""
     if total <= HOT_ROWS:
         return None
-    found = cut(counts.where(F.col("n") > max(HOT_ROWS, total // 1000)).select(*keys))
-    return None if found.isEmpty() else found
+    found = counts.where(F.col("n") > max(HOT_ROWS, total // 1000)).select(*keys)
+    rows = found.collect()
+    return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:

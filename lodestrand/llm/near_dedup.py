@@ -18,7 +18,7 @@
    blocks is a group, so that no task holds more than about two blocks of either measure.
 5. Verified links give the components; class members take their part's.
 
-Joins on a node, a bucket or a component treat keys with many rows apart (``join_unique``).
+Joins on a bucket or a component treat keys with many rows apart (``join_unique``).
 
 The number of bands is the smallest for which a pair at the threshold is missed with a probability
 of at most ``MISS``.
@@ -146,22 +146,21 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, n_bands: i
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of a link table: (id, component), component the smallest id.
 
-    Smallest-neighbour propagation with a jump along labels in each round.  A hub's links and a large
-    component's members are the hot keys of the two joins.
+    Every round a node takes the least label of its neighbours and of the node its own label names: both
+    are lookups in one table, so a round is one join and one minimum.  A hub's links or a large
+    component's members make a hot key of that join's long side, which adaptive execution splits over tasks
+    (the labels have each key once); the minimum is combined before its shuffle.
     """
-    both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    labels = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")))
-    hubs = hot_keys(both.groupBy("y").agg(F.count("*").alias("n")), ["y"], both.count())
-    nodes = labels.count()
+    both = cut(links.select(F.col(a).alias("k"), F.col(b).alias("x")).unionByName(links.select(F.col(b).alias("k"), F.col(a).alias("x"))).distinct())
+    labels = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("k")).alias("l")))
+    asked = both.withColumn("was", F.lit(None).cast("long"))
     while True:
-        large = hot_keys(labels.groupBy("l").agg(F.count("*").alias("n")), ["l"], nodes)
-        near = join_unique(both, labels.select(F.col("x").alias("y"), "l"), ["y"], hubs).groupBy("x").agg(F.min("l").alias("m"))
-        jump = labels.select(F.col("x").alias("l"), F.col("l").alias("j"))
-        jumped = join_unique(labels, jump, ["l"], large, "left").select("x", F.col("l").alias("was"), F.least(F.col("l"), F.coalesce("j", "l")).alias("l"))
-        new = cut(jumped.join(near, "x").select("x", "was", F.least("l", "m").alias("l")))
-        if new.where("was <> l").isEmpty():
-            return new.select(F.col("x").alias("id"), F.col("l").alias("component"))
-        labels = new.drop("was")
+        lookups = asked.unionByName(labels.select(F.col("l").alias("k"), "x", F.col("l").alias("was")))
+        found = lookups.join(labels.select(F.col("x").alias("k"), "l"), "k")
+        labels = cut(found.groupBy("x").agg(F.min("l").alias("l"), F.max("was").alias("was")))
+        if labels.where("was <> l").isEmpty():
+            return labels.select(F.col("x").alias("id"), F.col("l").alias("component"))
+        labels = labels.drop("was")
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
