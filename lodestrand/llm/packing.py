@@ -5,15 +5,19 @@ shuffle.  Pieces are dealt at random (by a hash) into groups of about ``group_si
 is packed by itself: full pieces fill a sequence, the others are placed best-fit (longest first, into
 the fullest sequence with room) and then improved: among all underfull sequences a move, a one-for-one
 or a two-for-one exchange is made when it raises the sum of squared fills, until no exchange helps or
-the group has no more sequences than its tokens need; sequences that become empty go.  A group of thousands of pieces loses at most about one sequence to
-its neighbours, so more groups cost next to nothing and no task grows with the input.
+the group has no more sequences than its tokens need; sequences that become empty go.  What the groups
+leave (sequences less than ``LOOSE`` full) is dealt into groups again, whole sequences together, and
+the local search goes on among those, level by level, until one group holds all that is left or a
+level no longer halves the number of groups.  No task grows with the input.
 
 Tokenizing: the tokenizer drops white space and never joins text across it, so a text is split
 at blanks and line ends, and each distinct chunk is encoded once for each task (the table of known chunks
 is emptied when it reaches ``MAX_CHUNKS``).
 
-Defined cases: a null or empty text is the end token alone; repeated rows are packed each for
-itself; an empty table packs to no rows.  Only the id and the text are read.
+Defined cases: a null or empty text is the end token alone; a null id is kept; repeated rows are packed
+each for itself; texts of any length are cut whole; equal lengths go by row and piece, where rows are
+numbered by the scan (so a table that is split otherwise may be packed otherwise, and as well); an
+empty table packs to no rows.  Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 MAX_CHUNKS = 600_000
 #: Marks that stand behind words; an apostrophe is none, for it starts contractions.
@@ -250,32 +254,81 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[l
     return done + [state.items[b].tolist() for b in state.bins if b]
 
 
-def pack_group(frame: pd.DataFrame, size: int) -> pd.DataFrame:
-    """Sequence number and offset for the pieces of one group."""
+#: Sequences filled less than this share are offered to the next level.
+LOOSE = 0.95
+PLACED = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"]
+SCHEMA = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
+
+
+def pack_group(frame: pd.DataFrame, size: int, first_id: int) -> pd.DataFrame:
+    """Sequences, offsets and fills for the pieces of one group: of its sequences if it has some, else best-fit ones."""
     frame = frame.sort_values(["length", "row", "piece"], ascending=[False, True, True], ignore_index=True)
     lengths = frame["length"].tolist()
-    sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-    for number, items in enumerate(local_search(best_fit(lengths, size), lengths, size)):
+    if "sequence_id" in frame:
+        bins = [own.tolist() for own in frame.groupby("sequence_id", sort=True).indices.values()]
+    else:
+        bins = best_fit(lengths, size)
+    sequence, offset, fill = (np.zeros(len(frame), np.int64) for _ in range(3))
+    for number, items in enumerate(local_search(bins, lengths, size)):
         at = 0
         for i in items:
             sequence[i], offset[i] = number, at
             at += lengths[i]
-    return frame.assign(sequence_id=frame["part"] * (1 << 32) + sequence, offset=offset)
+        fill[items] = at
+    return frame.assign(sequence_id=first_id + sequence, offset=offset, fill=fill)[PLACED]
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 0, group_size: int = 4000) -> DataFrame:
     """Pack all documents into sequences of at most ``length`` tokens; one row per piece."""
-    groups = max(1, -(-docs.count() // group_size))
-    cut_pieces = pieces(docs, doc_id, text, length, tokenizer, end_id)
-    dealt = cut_pieces.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        return pack_group(frame, length)[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+    def placed(dealt: DataFrame, level: int) -> DataFrame:
+        def place(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            return pack_group(frame.drop(columns="part"), length, (level << 56) + (int(key[0]) << 32))
 
-    return dealt.groupBy("part").applyInPandas(place, schema)
+        return cut(dealt.groupBy("part").applyInPandas(place, SCHEMA))
+
+    groups = max(1, -(-docs.count() // group_size))
+    dealt = pieces(docs, doc_id, text, length, tokenizer, end_id).withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
+    done, loose = [], placed(dealt, 0)
+    for level in range(1, 64):
+        if groups == 1:
+            break
+        done.append(loose.where(F.col("fill") >= LOOSE * length))
+        rest = loose.where(F.col("fill") < LOOSE * length)
+        left = max(1, -(-rest.count() // group_size))
+        if left * 2 > groups:
+            done.append(rest)
+            loose = None
+            break
+        groups = left
+        loose = placed(rest.drop("offset", "fill").withColumn("part", F.pmod(F.xxhash64("sequence_id"), F.lit(groups))), level)
+    out = loose
+    for part in done:
+        out = part if out is None else out.unionByName(part)
+    return out.drop("row", "fill")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, in sequences of 2048 tokens."""
     return pack(read(spark, sf_dir, "documents"))
+
+
+def fewest_bins(lengths: list[int], size: int) -> int:
+    """The least number of bins, by trying all placements, for tests with few items."""
+    order, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def put(i: int, fills: list[int]) -> None:
+        if len(fills) >= best[0]:
+            return
+        if i == len(order):
+            best[0] = len(fills)
+            return
+        for b in range(len(fills)):
+            if fills[b] + order[i] <= size and fills[b] not in fills[:b]:
+                fills[b] += order[i]
+                put(i + 1, fills)
+                fills[b] -= order[i]
+        put(i + 1, [*fills, order[i]])
+
+    put(0, [])
+    return best[0]
