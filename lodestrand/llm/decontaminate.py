@@ -7,13 +7,17 @@ table from the words at a pattern's end to the patterns that end so, which are t
 for word.  A document is scanned once for each pattern length (one, for items of ``width`` words
 or more).
 
-The items are a query set: they go to the tasks in broadcast blocks of at most ``block_words``
-pattern words, one narrow pass over the documents for each block, so any number of items is
-handled and no document is shuffled.
+The items are a query set.  Their texts are dealt by a hash into blocks of about ``block_words`` words (a long
+item's windows into several), and only one block at a time comes through the driver, is broadcast and is
+freed after its pass over the documents.  With one block, as a rule, that is one narrow pass; with
+more, each pass keeps only the hits, which are then put back to their documents.  No document is
+shuffled by its words.
 
 Defined cases: null or empty texts have no words, hit nothing and are not contaminated; items
 without words or with a null id take no part; repeated items count once; repeated document rows
-are judged alike.  Extra columns stay as they are.
+are judged alike; texts and items of any length are read whole; without items or documents there are
+no hits or no rows.  Extra columns stay as they are; the results are the last three columns, ``__words``,
+``__hits`` and ``__items``, with underscores behind them where such columns are there.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read
+from .common import as_bytes, cut, fresh, read
 
 #: Word bytes are 0-9, a-z (A-Z lower-cased) and all non-ASCII bytes; the rest separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -75,54 +79,111 @@ def windows(item_words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     return [tuple(item_words[i : i + width]) for i in range(len(item_words) - width + 1)]
 
 
-def pattern_blocks(items: DataFrame, item_id: str, text: str, width: int, block_words: int) -> list[dict]:
-    """The patterns, in blocks: length -> pattern -> ids of its items."""
-    blocks: list[dict] = [{}]
-    size = 0
-    rows = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    for row in rows.toLocalIterator():
-        for window in windows(words(row.t.encode()), width):
-            if size > block_words:
-                blocks.append({})
-                size = 0
-            own = blocks[-1].setdefault(len(window), {})
-            size += 0 if window in own else len(window)
-            own.setdefault(window, set()).add(str(row.i))
-    return [b for b in blocks if b]
-
-
-def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_words: int = 20_000_000) -> DataFrame:
-    """All rows of ``docs`` with ``__words`` (count), ``__hits`` (runs of hit words: start, end) and
-    ``__items`` (ids, as strings, of items with a window in the text)."""
-    out = docs.select("*", F.lit(0).cast("long").alias("__words"), F.array().cast("array<struct<start:int,end:int>>").alias("__hits"), F.array().cast("array<string>").alias("__items"))
-    names, kinds = out.columns, [f.dataType.simpleString() for f in out.schema.fields]
-    plain = [f"c{i}" for i in range(len(names))]
-    at = names.index(text)
-    sc = docs.sparkSession.sparkContext
-    for block in pattern_blocks(items, item_id, item_text, width, block_words) or [{}]:
-        shared = sc.broadcast({n: {p: frozenset(i) for p, i in own.items()} for n, own in block.items()})
-
-        def scan(batches, shared=shared):
+RUNS = "array<struct<start:int,end:int>>"
+
+
+def item_slices(items: DataFrame, item_id: str, text: str, width: int, most: int) -> DataFrame:
+    """(i, part, t, n): the words of every item once, in slices of ``most`` windows that overlap by ``width`` - 1 words."""
+
+    def cut_up(batches):
+        for batch in batches:
+            out = []
+            for i, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                own = words(raw)
+                for part, k in enumerate(range(0, max(1, len(own) - width + 1), most) if own else ()):
+                    some = own[k : k + most + width - 1]
+                    out.append((i, part, b" ".join(some), len(some)))
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], ["i", "part", "t", "n"])
+
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    return rows.mapInArrow(cut_up, "i string, part int, t binary, n long")
+
+
+def patterns_of(rows: list, width: int) -> dict:
+    """length -> pattern -> ids of its items."""
+    out: dict[int, dict[tuple, set]] = {}
+    for row in rows:
+        for window in windows(bytes(row.t).split(), width):
+            out.setdefault(len(window), {}).setdefault(window, set()).add(row.i)
+    return {n: {p: frozenset(i) for p, i in own.items()} for n, own in out.items()}
+
+
+def _mark(tables: list[WuManber], own: list[bytes]) -> tuple[list[dict], list[str]]:
+    """Runs of hit words, and the items found."""
+    hit, got = bytearray(len(own)), set()
+    for table in tables:
+        table.search(own, hit, got)
+    return _runs(hit) if got else [], sorted(got)
+
+
+def _runs(hit: bytearray) -> list[dict]:
+    return [{"start": m.start(), "end": m.end()} for m in re.finditer(b"\x01+", hit)]
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_words: int = 250_000) -> DataFrame:
+    """All rows of ``docs`` with three more columns: the number of words, the runs of hit words (start, end)
+    and the ids, as strings, of items with a window in the text."""
+    names, sc = docs.columns, docs.sparkSession.sparkContext
+    slices = cut(item_slices(items, item_id, item_text, width, max(1, block_words // 8)))
+    blocks = max(1, -(-(slices.agg(F.sum("n")).first()[0] or 0) // block_words))
+    block = F.pmod(F.xxhash64("i", "part"), F.lit(blocks))
+    run = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    plain = [f"c{i}" for i in range(len(names) + 3)]
+    kinds = [f.dataType.simpleString() for f in docs.schema.fields] + ["long", RUNS, "array<string>"]
+    schema = ", ".join(f"{p} {k}" for p, k in zip(plain, kinds, strict=True))
+    at, ends = names.index(text), (fresh(names, "__words"), fresh(names, "__hits"), fresh(names, "__items"))
+
+    def whole(shared):
+        def scan(batches):
             tables = [WuManber(n, p) for n, p in shared.value.items()]
             for batch in batches:
-                count, hits, ids = [], [], []
-                before = zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
-                for raw, (runs, found) in zip(as_bytes(batch.column(at)), before, strict=True):
-                    own = words(raw)
-                    hit, got = bytearray(len(own)), set(found)
-                    for r in runs:
-                        hit[r["start"] : r["end"]] = b"\x01" * (r["end"] - r["start"])
-                    for table in tables:
-                        table.search(own, hit, got)
-                    count.append(len(own))
-                    hits.append([{"start": m.start(), "end": m.end()} for m in re.finditer(b"\x01+", hit)] if got else [])
-                    ids.append(sorted(got))
-                run = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-                new = [pa.array(count, pa.int64()), pa.array(hits, pa.list_(run)), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], plain)
-
-        out = out.toDF(*plain).mapInArrow(scan, ", ".join(f"{p} {k}" for p, k in zip(plain, kinds, strict=True))).toDF(*names)
-    return out
+                own = [words(raw) for raw in as_bytes(batch.column(at))]
+                got = [_mark(tables, w) for w in own]
+                new = [pa.array(list(map(len, own)), pa.int64()), pa.array([g[0] for g in got], pa.list_(run)), pa.array([g[1] for g in got], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], plain)
+
+        return scan
+
+    if blocks == 1:
+        shared = sc.broadcast(patterns_of(slices.collect(), width))  # block_words words at most
+        return docs.toDF(*plain[:-3]).mapInArrow(whole(shared), schema).toDF(*names, *ends)
+
+    def some(shared):
+        def scan(batches):
+            tables = [WuManber(n, p) for n, p in shared.value.items()]
+            for batch in batches:
+                got = [(row, *_mark(tables, words(raw))) for row, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)]
+                got = [g for g in got if g[2]]
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int64(), pa.list_(run), pa.list_(pa.string())))], ["row", "runs", "ids"])
+
+        return scan
+
+    numbered = cut(docs.toDF(*plain[:-3]).withColumn("row", F.monotonically_increasing_id()))
+    found = []
+    for b in range(blocks):
+        shared = sc.broadcast(patterns_of(slices.where(block == b).collect(), width))  # about block_words words
+        found.append(cut(numbered.select("row", plain[at]).mapInArrow(some(shared), f"row long, runs {RUNS}, ids array<string>")))
+        shared.destroy()
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    # A document has one row per block at most.
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+
+    def finish(batches):
+        for batch in batches:
+            count, runs = [], []
+            for raw, own in zip(as_bytes(batch.column(at)), batch.column(len(names)).to_pylist(), strict=True):
+                hit = bytearray(len(words(raw)))
+                for r in own or ():
+                    hit[r["start"] : r["end"]] = b"\x01" * (r["end"] - r["start"])
+                count.append(len(hit))
+                runs.append(_runs(hit))
+            ids = pa.array([i or [] for i in batch.column(len(names) + 1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(count, pa.int64()), pa.array(runs, pa.list_(run)), ids], plain)
+
+    return numbered.join(hits, "row", "left").select(*plain[:-3], "runs", "ids").mapInArrow(finish, schema).toDF(*names, *ends)
 
 
 def hit_words(column: str = "__hits"):
