@@ -1,14 +1,21 @@
 """URL filter: a blocked Bloom filter of listed keys, then an exact hash join.
 
 Listed keys are rules (host suffix and path prefix, with a verdict) and whole canonical URLs
-(blocked).  Every URL expands to the few keys that could list it (its host's suffixes times the
-path lengths that rules use, and its canonical form); a Bloom block, fetched by one hash, discards
-nearly all of them, and the rest meet the list in a hash join on the key itself, which removes the
-filter's false positives.  DataFrame functions only.
+(blocked).  Every URL expands to the few keys that could list it: for each shape that a rule has
+(labels of its host, characters of its path) the host's last labels and the path's beginning, and its
+canonical form.  A Bloom block of 64 bits, fetched by one hash, discards nearly all of them, and the rest
+meet the list in a hash join on the key itself, which removes the filter's false positives.  The blocks
+travel packed, by broadcast, while they take at most ``MAX_FILTER_BYTES`` (33 million keys); a longer list's
+filter is joined by shuffle.  DataFrame functions only.
+
+The list is counted, and results are written to the checkpoint folder, while the plan is built: the
+sizes decide between broadcast and shuffle, where keys and URLs with many rows go apart.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, and no entry fits
-it.  Repeated rows are judged alike, each row once.  An empty list allows everything.  Columns
-other than the id and the url are not read, so their names cannot clash.
+it.  Repeated rows are judged alike, each row once.  Of entries listed twice the weightier counts, of
+equal ones ``block``.  An empty list allows everything; an empty table gives no rows; urls of any length
+and hosts of any number of labels are judged whole.  Columns other than the id and the url are not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -16,11 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read
+from .common import ascii_lower, cut, hot_keys, join_unique, read
 
 BITS_PER_KEY = 16
+#: Blocks of 64 bits in a packed row of the filter.
+CHUNK = 1024
+MAX_FILTER_BYTES = 64 << 20
 #: Tables of more rows than this are joined by shuffle instead of broadcast.
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 300_000
 
 #: The rules of the registered query (verdict, host and path prefix).
 RULES = [
@@ -30,6 +40,10 @@ RULES = [
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 ]
+#: The listed URLs of the registered query are every page below LISTED_PAGES of these hosts and sections.
+LISTED_HOSTS = ["casino-win.example.com", "casino-win.example.net", "casino-win.example.org", "blog.casino-win.example.com", "blog.casino-win.example.net", "blog.casino-win.example.org"]
+LISTED_SECTIONS = ["en", "de", "fr", "es"]
+LISTED_PAGES = 10_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -42,8 +56,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def canonical(host: Column, path: Column) -> Column:
-    """Canonical URL: host without a leading www. or m., path without trailing slashes."""
-    return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, "/+$", ""))
+    """Canonical URL: host without a leading www. or m., path without trailing slashes and then .html."""
+    return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(F.regexp_replace(path, "/+$", ""), r"\.html$", ""))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -53,7 +67,7 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def listed_urls(urls: DataFrame, url: str = "url") -> DataFrame:
-    """Blocked canonical URLs as listed entries; weaker than any rule, and without a rule name."""
+    """A table of URLs to block as listed entries; weaker than any rule, and without a rule name."""
     host, path = url_parts(F.col(url))
     key = F.concat(F.lit("u:"), canonical(host, path)).alias("key")
     entry = urls.where(host != "").select(key).distinct()
@@ -68,10 +82,22 @@ def _mask(key: Column) -> Column:
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
-def bloom_blocks(entries: DataFrame, n_blocks: int) -> DataFrame:
-    """The filter as rows (block, bits); only blocks with a set bit have a row."""
-    block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block")
-    return entries.select(block, _mask(F.col("key")).alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("bits"))
+def _block(key: Column, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n_blocks))
+
+
+def bloom_filter(entries: DataFrame, n_blocks: int) -> DataFrame:
+    """The filter in packed rows: chunk, and the bits of its CHUNK blocks in order."""
+    blocks = entries.select(_block(F.col("key"), n_blocks).alias("block"), _mask(F.col("key")).alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("bits"))
+    placed = blocks.select(F.expr(f"block div {CHUNK}").alias("chunk"), F.pmod("block", F.lit(CHUNK)).cast("int").alias("at"), "bits")
+    held = placed.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("own"))  # CHUNK entries at most
+    return held.select("chunk", F.transform(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.coalesce(F.element_at("own", i), F.lit(0).cast("long"))).alias("bits"))
+
+
+def _could_list(shapes: list, host: Column, path: Column) -> Column:
+    """The keys that could list a URL."""
+    rules = [F.concat(F.lit("r:"), F.substring_index(host, ".", -s["labels"]), F.substring(path, 1, s["chars"])) for s in shapes]
+    return F.array_distinct(F.array(*rules, F.concat(F.lit("u:"), canonical(host, path))))
 
 
 def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -79,38 +105,52 @@ def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", u
 
     The longest fitting rule decides; else a listed canonical URL is blocked; else it is allowed.
     """
-    counted = entries.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("rule").isNotNull(), F.length(F.regexp_extract("rule", "/.*$", 0)))).alias("lens")).first()
-    n, lens = counted["n"], sorted(counted["lens"])
-    n_blocks = max(1, n * BITS_PER_KEY // 64)
-    small = n <= MAX_BROADCAST_ROWS
-    sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    order = F.max(F.struct("weight", "verdict", "rule")).alias("best")
+    listed = cut(entries.groupBy("key").agg(order).select("key", "best.weight", "best.rule", "best.verdict"))
+    rule_host = F.regexp_extract("rule", "^[^/]*", 0)
+    shape = F.struct(F.size(F.split(rule_host, r"\.")).alias("labels"), (F.length("rule") - F.length(rule_host)).alias("chars"))
+    counted = listed.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("rule").isNotNull(), shape)).alias("shapes")).first()  # a shape per form of rule
+    n_blocks = max(1, counted["n"] * BITS_PER_KEY // 64)
+
+    def sized(df: DataFrame, small: bool) -> DataFrame:
+        return F.broadcast(df) if small else df
 
     host, path = url_parts(F.col(url_col))
     judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array(*[F.substring("path", 1, k) for k in lens]) if lens else F.array().cast("array<string>")
-    rules = F.flatten(F.transform(suffixes, lambda s: F.transform(F.array_distinct(prefixes), lambda p: F.concat(F.lit("r:"), s, p))))
-    keys = F.array_append(rules, F.concat(F.lit("u:"), canonical(F.col("host"), F.col("path"))))
-    tried = judged.where("host <> ''").select("host", "path", F.explode(keys).alias("key"))
-    tried = tried.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)))
-
+    tried = judged.where("host <> ''").select("host", "path", F.explode(_could_list(sorted(counted["shapes"]), F.col("host"), F.col("path"))).alias("key"))
+    block = _block(F.col("key"), n_blocks)
+    tried = tried.withColumn("block", block).withColumn("chunk", F.expr(f"block div {CHUNK}"))
     mask = _mask(F.col("key"))
-    possible = tried.join(sized(bloom_blocks(entries, n_blocks)), "block").where(F.col("bits").bitwiseAND(mask) == mask)
-    exact = possible.select("host", "path", "key").join(sized(entries.dropDuplicates(["key"])), "key")
-    best = F.max(F.struct("weight", "rule", "verdict")).alias("best")
-    found = exact.groupBy("host", "path").agg(best)
-    return judged.join(found, ["host", "path"], "left").select(
-        id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict")
-    )
+    bits = F.element_at("bits", (F.pmod("block", F.lit(CHUNK)) + 1).cast("int"))
+    met = tried.join(sized(bloom_filter(listed, n_blocks), n_blocks * 8 <= MAX_FILTER_BYTES), "chunk")
+    possible = met.where(bits.bitwiseAND(mask) == mask).select("host", "path", "key")
+    if counted["n"] <= MAX_BROADCAST_ROWS:
+        exact = possible.join(F.broadcast(listed), "key")
+    else:
+        once = cut(possible.distinct())
+        exact = join_unique(once, listed, ["key"], hot_keys(once.groupBy("key").agg(F.count("*").alias("n")), ["key"], once.count()))
+    found = cut(exact.groupBy("host", "path").agg(F.max(F.struct("weight", "rule", "verdict")).alias("best")))
+    if found.count() <= MAX_BROADCAST_ROWS:
+        out = judged.join(F.broadcast(found), ["host", "path"], "left")
+    else:
+        urls = judged.groupBy("host", "path").agg(F.count("*").alias("n"))
+        out = join_unique(judged, found, ["host", "path"], hot_keys(urls, ["host", "path"], judged.count()), "left")
+    return out.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+
+
+def listed_pages(spark: SparkSession) -> DataFrame:
+    """The listed URLs of the registered query, made by rule; most are the URL of no page."""
+    numbers = spark.range(LISTED_PAGES * len(LISTED_HOSTS) * len(LISTED_SECTIONS))
+    host = F.element_at(F.array(*map(F.lit, LISTED_HOSTS)), (F.pmod("id", F.lit(len(LISTED_HOSTS))) + 1).cast("int"))
+    section = F.element_at(F.array(*map(F.lit, LISTED_SECTIONS)), (F.pmod(F.expr(f"id div {len(LISTED_HOSTS)}"), F.lit(len(LISTED_SECTIONS))) + 1).cast("int"))
+    page = F.expr(f"id div {len(LISTED_HOSTS) * len(LISTED_SECTIONS)}").cast("string")
+    return numbers.select(F.concat(F.lit("https://"), host, F.lit("/"), section, F.lit("/"), page).alias("url"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judge all ``pages``; listed besides the rules: every canonical URL under a casino host."""
-    pages = read(spark, sf_dir, "pages")
-    feed = pages.where(url_parts(F.col("url"))[0].rlike(r"(^|\.)casino"))
-    entries = rule_table(spark, RULES).unionByName(listed_urls(feed))
-    return filter_urls(pages, entries)
+    """Judge all ``pages`` by the rules and the list of 240,000 canonical URLs."""
+    entries = rule_table(spark, RULES).unionByName(listed_urls(listed_pages(spark)))
+    return filter_urls(read(spark, sf_dir, "pages"), entries)
 
 
 OP5_SQL = """
@@ -124,11 +164,13 @@ WITH parts AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM parts
 ), keyed AS (
-  SELECT *, regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '/+$', '') AS canon,
+  SELECT *, regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(regexp_replace(path, '/+$', ''), '[.]html$', '') AS canon,
          row_number() OVER () AS rid
   FROM judged
 ), feed AS (
-  SELECT DISTINCT canon FROM keyed WHERE regexp_matches(host, '(^|[.])casino')
+  SELECT s || 'casino-win.example.' || t || '/' || l || '/' || n AS canon
+  FROM (SELECT unnest(['', 'blog.']) AS s), (SELECT unnest(['com', 'net', 'org']) AS t),
+       (SELECT unnest(['en', 'de', 'fr', 'es']) AS l), (SELECT unnest(range(0, 10000)) AS n)
 ), rules(verdict, rhost, rpath) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
          ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
