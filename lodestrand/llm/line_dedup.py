@@ -7,14 +7,16 @@
    the partition, shuffle for exact confirmation (documents per key, first document).
 3. Documents lose the lines of confirmed keys (all, or all but the first occurrence).
 
-The filter is sized from a count of lines, up to ``max_bits``; past it, more lines are suspected
-and confirmed exactly, so results never depend on it.  Confirmed keys are broadcast while their
-count and bytes are within bounds; past them the lines of suspected keys join the confirmed ones
-by shuffle.
+The filter is sized from a count of lines, up to ``max_bits`` (2 ** 29: 64 MB); past it, more lines are
+suspected and confirmed exactly, so results never depend on it.  Confirmed keys are broadcast while
+their count and bytes are within bounds; past them the lines of suspected keys join the confirmed
+ones by shuffle, keys with many rows apart.
 
 Defined cases: a document is a row, so repeated rows count each; a null or empty text is one empty
 line; a null id is a document too (it comes last when the first occurrence is chosen; rows that
-share the first id each keep the line's first place).  Extra columns stay as they are.
+share the first id each keep the line's first place); texts of any length are read whole; an empty
+table gives no rows.  Extra columns stay as they are; the results are the last three columns, ``__lines``,
+``__dropped`` and ``__kept``, with underscores behind them where such columns are there.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, read
+from .common import as_bytes, cut, fresh, hot_keys, join_unique, read
 
 STRIP = b" \t\n\x0b\x0c\r"
 SLICE_BITS = 1 << 16
@@ -76,14 +78,9 @@ class Marker:
 
     def slices(self) -> Iterator[tuple[int, bool, bytes]]:
         for name, flt in ((False, self.once), (True, self.twice)):
-            byte = np.flatnonzero(flt)
-            spread = np.unpackbits(flt[byte, None], axis=1, bitorder="little")
-            row, bit = np.nonzero(spread)
-            at = byte[row] * 8 + bit
-            owner = at // SLICE_BITS
-            for part in np.split(at, np.flatnonzero(np.diff(owner)) + 1):
-                if len(part):
-                    yield int(part[0]) // SLICE_BITS, name, _pack(part % SLICE_BITS)
+            parts = flt.reshape(-1, SLICE_BITS // 8)
+            for number in np.flatnonzero(parts.any(axis=1)):
+                yield int(number), name, _pack(np.flatnonzero(np.unpackbits(parts[number], bitorder="little")))
 
 
 def _pack(at: np.ndarray) -> bytes:
@@ -201,8 +198,8 @@ def _kept(text: bytes | None, doc_id: int | None, gone: dict[bytes, int], keep_f
     return len(lines), len(lines) - len(stay), SPLIT.join(stay)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, max_bits: int = 1 << 27, max_keys: int = 200_000, max_key_bytes: int = 32 << 20) -> DataFrame:
-    """All rows of ``docs`` with ``__lines``, ``__dropped`` and ``__kept``, the text that stays."""
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, max_bits: int = 1 << 29, max_keys: int = 200_000, max_key_bytes: int = 32 << 20) -> DataFrame:
+    """All rows of ``docs`` with three more columns: its lines, those dropped, and the text that stays."""
     spark = docs.sparkSession
     bitmap = twice_filter(docs, text, min_chars, max_bits)
     gone = cut(repeated_keys(docs, doc_id, text, bitmap, min_docs, min_chars))
@@ -225,25 +222,22 @@ def _append(batch: pa.RecordBatch, got: list[tuple[int, int, bytes]]) -> pa.Reco
     return pa.RecordBatch.from_arrays([*batch.columns[2:], *new], [f"c{i}" for i in range(batch.num_columns + 1)])
 
 
-def _with_kept(docs: DataFrame, doc_id: str, text: str, fn, extra: tuple[str, ...] = ()) -> DataFrame:
+def _with_kept(docs: DataFrame, doc_id: str, text: str, fn) -> DataFrame:
     """Run ``fn`` over (id, text, *every column) and put the columns' names and types back."""
     names = docs.columns
     given = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = {n: f"c{i}" for i, n in enumerate(names)}
     kinds = [f.dataType.simpleString() for f in docs.schema.fields]
-    keep = [i for i, n in enumerate(names) if n not in extra]
-    schema = ", ".join([f"c{j} {kinds[i]}" for j, i in enumerate(keep)] + [f"c{len(keep)} long, c{len(keep) + 1} long, c{len(keep) + 2} string"])
-    fed = given.select(F.col(at[doc_id]).cast("long").alias("i"), F.col(at[text]).alias("t"), *[F.col(at[n]).alias(f"x{n}") for n in extra], *[f"c{i}" for i in keep])
-    return fed.mapInArrow(fn, schema).toDF(*[names[i] for i in keep], "__lines", "__dropped", "__kept")
+    schema = ", ".join([f"c{i} {k}" for i, k in enumerate([*kinds, "long", "long", "string"])])
+    fed = given.select(F.col(f"c{names.index(doc_id)}").cast("long").alias("i"), F.col(f"c{names.index(text)}").alias("t"), *given.columns)
+    return fed.mapInArrow(fn, schema).toDF(*names, *[fresh(names, n) for n in ("__lines", "__dropped", "__kept")])
 
 
 def _dedup_by_join(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray, gone: DataFrame, min_chars: int, keep_first: bool) -> DataFrame:
     """The same for any number of confirmed keys: suspected lines meet them in a shuffle join."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    own = "__row"
-    while own in docs.columns:
-        own += "_"
-    numbered = cut(docs.withColumn(own, F.monotonically_increasing_id()))
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    numbered = cut(docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()))
 
     def lines(batches):
         for batch in batches:
@@ -251,20 +245,25 @@ def _dedup_by_join(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray,
             for row, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 keys = list({k for k in line_keys(raw)[1] if _usable(k, min_chars)})
                 out += [(row, keys[j]) for j in np.flatnonzero(suspected(shared.value, keys))] if keys else []
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["at", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["row", "key"])
 
-    hits = numbered.select(own, text).mapInArrow(lines, "at long, key binary").join(gone, "key").withColumnRenamed("at", own)
-    per_doc = hits.groupBy(own).agg(F.collect_list(F.struct("key", "first")).alias("__gone"))  # one document's own lines
+    rows = cut(numbered.select("row", plain[names.index(text)]).mapInArrow(lines, "row long, key binary"))
+    common = hot_keys(gone.select("key", "n"), ["key"], rows.count())
+    hits = join_unique(rows, gone.select("key", "first"), ["key"], common)
+    per_doc = hits.groupBy("row").agg(F.collect_list(F.struct("key", "first")).alias("gone"))  # one document's own lines
 
     def drop(batches):
         for batch in batches:
             got = []
             for i, t, pairs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 got.append(_kept(t, i, {p["key"]: p["first"] for p in pairs or []}, keep_first))
-            yield _append(batch.select(list(range(2)) + list(range(3, batch.num_columns))), got)
+            yield _append(batch.select([0, 1, *range(3, batch.num_columns)]), got)
 
-    joined = numbered.join(per_doc, own, "left").drop(own)
-    return _with_kept(joined, doc_id, text, drop, extra=("__gone",))
+    joined = numbered.join(per_doc, "row", "left")
+    kinds = [f.dataType.simpleString() for f in docs.schema.fields] + ["long", "long", "string"]
+    fed = joined.select(F.col(plain[names.index(doc_id)]).cast("long").alias("i"), F.col(plain[names.index(text)]).alias("t"), "gone", *plain)
+    out = fed.mapInArrow(drop, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
+    return out.toDF(*names, *[fresh(names, n) for n in ("__lines", "__dropped", "__kept")])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
