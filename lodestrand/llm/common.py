@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write to a table of its own in the shared folder and read that.
+
+    For loops: a checkpoint hands the constraints of its plan on, and those of round upon round make planning
+    slower and slower; a table hands on nothing.
+    """
+    path = f"{shared_checkpoints(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """``name``, with underscores behind it until no column of ``taken`` has it (in any case)."""
     used = {t.lower() for t in taken}

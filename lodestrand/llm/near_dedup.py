@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, hot_keys, join_unique, read
+from .common import as_bytes, cut, hot_keys, join_unique, read, stored
 
 BAND_ROWS = 5
 MISS = 1e-5
@@ -151,13 +151,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     component's members make a hot key of that join's long side, which adaptive execution splits over tasks
     (the labels have each key once); the minimum is combined before its shuffle.
     """
-    both = cut(links.select(F.col(a).alias("k"), F.col(b).alias("x")).unionByName(links.select(F.col(b).alias("k"), F.col(a).alias("x"))).distinct())
-    labels = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("k")).alias("l")))
+    # Written once before it is mirrored: links may come out otherwise when they are computed again.
+    one = stored(links.select(F.col(a).alias("k"), F.col(b).alias("x")).distinct())
+    both = one.unionByName(one.select(F.col("x").alias("k"), F.col("k").alias("x")))
+    labels = stored(both.groupBy("x").agg(F.least(F.col("x"), F.min("k")).alias("l")))
     asked = both.withColumn("was", F.lit(None).cast("long"))
     while True:
         lookups = asked.unionByName(labels.select(F.col("l").alias("k"), "x", F.col("l").alias("was")))
         found = lookups.join(labels.select(F.col("x").alias("k"), "l"), "k")
-        labels = cut(found.groupBy("x").agg(F.min("l").alias("l"), F.max("was").alias("was")))
+        labels = stored(found.groupBy("x").agg(F.min("l").alias("l"), F.max("was").alias("was")))
         if labels.where("was <> l").isEmpty():
             return labels.select(F.col("x").alias("id"), F.col("l").alias("component"))
         labels = labels.drop("was")
@@ -257,6 +259,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raw = [t.encode() for t in frame["text"]]
         some = np.array([bool(t.split()) for t in raw], bool)
         frame, raw = frame[some], [t for t, s in zip(raw, some, strict=True) if s]
+        order = np.argsort(frame["id"].to_numpy(), kind="stable")
+        frame, raw = frame.iloc[order], [raw[i] for i in order]
         crossing = None if frame["p"].iloc[:1].eq(frame["q"].iloc[:1]).all() else frame["own"].to_numpy()
         links = verified_links(frame["id"].to_numpy(), raw, crossing, shingle, percent, WordHashes())
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
