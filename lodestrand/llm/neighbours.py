@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_keys, join_unique, read
+from .common import cut, hot_keys, join_unique, read, stored
 
 LEAF = 256
 EDGES = "src long, dst long, d float, new boolean"
@@ -158,8 +158,8 @@ def neighbour_graph(pts: DataFrame, k: int = 20, tables: int = 6, rounds: int =
     when the share of new edges is at most ``settled``, or after ``rounds``.
     """
     first = pts.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    packed = cut(packed_vectors(pts))
-    graph = cut(_keep_nearest(leaves(packed, first.n, first.dim or 0, tables).mapInArrow(_local_joins(k), EDGES), k))
+    packed = stored(packed_vectors(pts))
+    graph = stored(_keep_nearest(leaves(packed, first.n, first.dim or 0, tables).mapInArrow(_local_joins(k), EDGES), k))
     own = F.row_number().over(Window.partitionBy("src", "new").orderBy("d", "dst"))
     reverse = F.row_number().over(Window.partitionBy("v", "new").orderBy(F.xxhash64("u", "v")))
     for _ in range(rounds):
@@ -178,7 +178,7 @@ def neighbour_graph(pts: DataFrame, k: int = 20, tables: int = 6, rounds: int =
         groups = join_unique(near, nodes, ["u"], hubs).groupBy("v").agg(F.collect_list(member).alias("members"))  # at most 4 * sample members
         found = groups.select("members").mapInArrow(_local_joins(k), EDGES)
         tried = ranked.select("src", "dst", "d", (F.col("new") & (F.col("r") > sample)).alias("new"))
-        graph = cut(_keep_nearest(tried.unionByName(found), k))
+        graph = stored(_keep_nearest(tried.unionByName(found), k))
     return graph.select("src", "dst", "d")
 
 
@@ -187,8 +187,8 @@ def search(pts: DataFrame, graph: DataFrame, queries: DataFrame, top: int, pool:
     k = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
     degree = (graph.groupBy("src").count().agg(F.max("count")).first()[0] or 1) * 2
     back = graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d").withColumn("r", k).where(F.col("r") <= degree)
-    links = cut(graph.select("src", "dst").union(back.select("src", "dst")).repartition("src").distinct())
-    asked = cut(queries.select(F.col("id").alias("q")).join(pts, F.col("q") == F.col("id")).select("q", F.col("v").alias("qv")))
+    links = stored(graph.select("src", "dst").union(back.select("src", "dst")).repartition("src").distinct())
+    asked = stored(queries.select(F.col("id").alias("q")).join(pts, F.col("q") == F.col("id")).select("q", F.col("v").alias("qv")))
     by_near = Window.partitionBy("q").orderBy("d", "node")
     frontier = asked.select("q", F.col("q").alias("node"))
     kept = asked.select("q", F.col("q").alias("node"), F.lit(None).cast("double").alias("d"), F.lit(True).alias("open")).limit(0)
@@ -198,7 +198,7 @@ def search(pts: DataFrame, graph: DataFrame, queries: DataFrame, top: int, pool:
         scored = reached.join(pts, F.col("node") == F.col("id")).join(asked, "q").select("q", "node", distance(F.col("v"), F.col("qv")).alias("d"), F.lit(True).alias("open"))
         pooled = kept.union(scored).withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= pool)
         turn = F.row_number().over(Window.partitionBy("q").orderBy(F.col("open").desc(), "d", "node"))
-        state = cut(pooled.withColumn("now", F.col("open") & (turn <= expand)).drop("r"))
+        state = stored(pooled.withColumn("now", F.col("open") & (turn <= expand)).drop("r"))
         frontier = state.where("now").select("q", "node")
         kept = state.select("q", "node", "d", (F.col("open") & ~F.col("now")).alias("open"))
         if frontier.isEmpty():
