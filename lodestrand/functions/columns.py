@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -37,6 +37,65 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column of ``taken`` has it (in any case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def finite(x: Column) -> Column:
+    """Whether a number is there and is neither NaN nor infinite."""
+    return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf"))
+
+
+def same_text(x: Column, text: str) -> Column:
+    """Equality that disregards case and outer blanks."""
+    return F.lower(F.trim(x)) == text.strip().lower()
+
+
+def holds_text(x: Column, text: str) -> Column:
+    """Whether a text is contained, in any case."""
+    return F.contains(F.lower(x), F.lit(text.lower()))
+
+
+def checked_range(x: Column, low: float, high: float, what: str) -> Column:
+    """x; a value outside low..high raises, null stays null."""
+    error = F.raise_error(F.concat(F.lit(f"{what} out of range: "), x.cast("string"))).cast("double")
+    return F.when(x.isNull() | x.between(low, high), x.cast("double")).otherwise(error)
+
+
+def recode(x: Column, labels: dict) -> Column:
+    """A label for each listed value; null for others."""
+    return F.create_map(*[F.lit(v) for pair in labels.items() for v in pair])[x]
+
+
+def number_text(x: Column, pattern: str = "%.10g", missing: str = "NA") -> Column:
+    """A number by a pattern; a text for null and NaN."""
+    return F.when(finite(x), F.format_string(pattern, x.cast("double"))).otherwise(F.lit(missing))
+
+
+def or_null(x: Column) -> Column:
+    """Null for NaN."""
+    return F.when(~F.isnan(x), x)
+
+
+def percent_effect(beta: Column) -> Column:
+    """The change of a response in per cent that a coefficient on its logarithm means."""
+    return F.expm1(beta) * 100
+
+
+def detrended_sd(residual: str) -> Column:
+    """An aggregate: the sample standard deviation of detrended residuals."""
+    return F.stddev_samp(residual)
+
+
+def singleton(x: Column) -> Column:
+    """An aggregate: the only row's value, null for none or several."""
+    return F.when(F.count("*") == 1, F.min(x))
+
+
 def clamp(x: Column, low: float | None = None, high: float | None = None) -> Column:
     """x within physical bounds; null stays null."""
     out = x if low is None else F.when(x.isNotNull(), F.greatest(x, F.lit(float(low))))
@@ -107,6 +166,23 @@ def t_probability(t: pd.Series, df: pd.Series) -> pd.Series:
     return out.where(good, None)
 
 
+def t_quantile(df: np.ndarray, tail: float = 0.05) -> np.ndarray:
+    """The t whose two tails hold ``tail``, by bisection."""
+    df = np.asarray(df, float)
+    low, high = np.zeros_like(df), np.full_like(df, 1e3)
+    for _ in range(80):
+        mid = (low + high) / 2
+        over = t_two_sided(mid, df) > tail
+        low, high = np.where(over, mid, low), np.where(over, high, mid)
+    return (low + high) / 2
+
+
+@pandas_udf(DoubleType())
+def normal_probability(z: pd.Series) -> pd.Series:
+    """Two-sided tail probability of a standard normal value."""
+    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore").astype(float)
+
+
 def spearman_p(rho: Column, n: Column) -> Column:
     """Asymptotic two-sided p-value of a rank correlation (n - 2 degrees of freedom)."""
     t = rho * F.sqrt(ratio((n - 2).cast("double"), F.greatest(1 - rho * rho, F.lit(1e-300))))
@@ -119,5 +195,18 @@ def hashed_index(rep: Column, pos: Column, seed: int, n: Column) -> Column:
     return F.pmod(mixed.cast("long"), n.cast("long"))
 
 
-def number_range(spark: SparkSession, n: int, name: str, partitions: int | None = None):
-    return spark.range(0, n, 1, partitions).withColumnRenamed("id", name)
+def hashed_normal(rep: Column, pos: Column, seed: int) -> Column:
+    """A standard normal draw that depends on its arguments alone (Box-Muller on two squared congruences)."""
+    m = 2147483647
+
+    def uniform(a: int, b: int, c: int, extra: int) -> Column:
+        w = F.pmod(rep.cast("long") * a + pos.cast("long") * b + F.lit(seed + extra).cast("long"), F.lit(m))
+        return (F.pmod(F.pmod(w * w, F.lit(m)) * c + w, F.lit(m)) + 1) / F.lit(float(m + 1))
+
+    u, v = uniform(7919, 104729, 48271, 0), uniform(15485863, 32452843, 69621, 12345)
+    return F.sqrt(-2 * F.log(u)) * F.cos(v * (2 * math.pi))
+
+
+def number_range(spark: SparkSession, n: int, name: str, partitions: int | None = None, start: int = 0) -> DataFrame:
+    """``n`` whole numbers from ``start`` (years, say)."""
+    return spark.range(start, start + n, 1, partitions).withColumnRenamed("id", name)

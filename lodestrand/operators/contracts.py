@@ -35,6 +35,36 @@ def enforce(checks: DataFrame) -> None:
         raise ValueError(f"failed checks: {', '.join(sorted(failed))}")
 
 
+def reconcile(totals: DataFrame, published: DataFrame, keys: list[str], value: str, tolerance: float = 0.0) -> DataFrame:
+    """Each published total beside ours (null if we have none), and whether they agree."""
+    ours = totals.select(*keys, F.col(value).alias("ours"))
+    both = published.select(*keys, F.col(value).alias("published")).join(ours, keys, "left")
+    return both.withColumn("agrees", F.coalesce(F.abs(F.col("ours") - F.col("published")) <= tolerance, F.lit(False)))
+
+
+def gate_table(df: DataFrame, gates: dict[str, tuple[str, Column, Column]]) -> DataFrame:
+    """Checks on the table as a whole (name -> (category, aggregate, condition on ``value``)): check_id, category, value, passed."""
+    counted = df.agg(*[a.cast("double").alias(n) for n, (_, a, _) in gates.items()])
+    long = counted.unpivot([], list(gates), "check_id", "value")
+    category = F.create_map(*[F.lit(x) for n, (c, _, _) in gates.items() for x in (n, c)])
+    passed = F.coalesce(*[F.when(F.col("check_id") == n, F.coalesce(test, F.lit(False))) for n, (_, _, test) in gates.items()])
+    return long.select("check_id", category[F.col("check_id")].alias("category"), "value", passed.alias("passed"))
+
+
+def completeness(df: DataFrame, by: list[str], expected: DataFrame) -> DataFrame:
+    """Rows of each expected group (keys and ``expected``) and whether it has them all; groups without rows count 0."""
+    have = df.groupBy(*by).agg(F.count("*").alias("rows"))
+    out = expected.join(have, by, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return out.withColumn("complete", F.col("rows") == F.col("expected"))
+
+
+def not_empty(df: DataFrame, what: str) -> DataFrame:
+    """The table; raises if it has no row."""
+    if df.isEmpty():
+        raise ValueError(f"{what} is empty")
+    return df
+
+
 def coverage(df: DataFrame, by: list[str], date: str, least: int) -> DataFrame:
     """Groups with fewer than ``least`` distinct days."""
     return df.groupBy(*by).agg(F.count_distinct(date).alias("days")).where(F.col("days") < least)

@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
-from ..functions.columns import correlation, ratio, spearman_p
+from ..functions.columns import correlation, finite, fresh, ratio, spearman_p
 
 
 def midrank(value: str, by: list[str]) -> Column:
@@ -18,26 +21,28 @@ def midrank(value: str, by: list[str]) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str], p: bool = False) -> DataFrame:
-    """Rank correlation of the complete pairs of each group: n, rho (and p)."""
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, midrank(x, by).alias("__x"), midrank(y, by).alias("__y"))
+    """Rank correlation of the finite pairs of each group: n, rho (and p)."""
+    ranked = df.where(finite(F.col(x)) & finite(F.col(y))).select(*by, midrank(x, by).alias("__x"), midrank(y, by).alias("__y"))
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("__x", "__y").alias("rho"))
     return out.withColumn("p", spearman_p(F.col("rho"), F.col("n"))) if p else out
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], ties: list[str], out: str = "q") -> DataFrame:
-    """Step-up adjusted p-values within a family."""
+    """Step-up adjusted p-values within a family (a family is sorted in one task: a row per test)."""
     own = Window.partitionBy(*family)
-    scaled = df.withColumn("__r", F.row_number().over(own.orderBy(p, *ties))).withColumn("__s", F.col(p) * F.count("*").over(own) / F.col("__r"))
-    least = F.min("__s").over(own.orderBy("__r").rowsBetween(0, Window.unboundedFollowing))
-    return scaled.withColumn(out, F.least(least, F.lit(1.0))).drop("__r", "__s")
+    r, s = fresh(df.columns, "__r"), fresh(df.columns, "__s")
+    scaled = df.withColumn(r, F.row_number().over(own.orderBy(p, *ties))).withColumn(s, F.col(p) * F.count("*").over(own) / F.col(r))
+    least = F.min(s).over(own.orderBy(r).rowsBetween(0, Window.unboundedFollowing))
+    return scaled.withColumn(out, F.least(least, F.lit(1.0))).drop(r, s)
 
 
 def holm(df: DataFrame, p: str, family: list[str], ties: list[str], level: float = 0.05, out: str = "holm") -> DataFrame:
     """Step-down adjusted p-values within a family, and whether they are below the level."""
     own = Window.partitionBy(*family)
-    scaled = df.withColumn("__r", F.row_number().over(own.orderBy(p, *ties))).withColumn("__s", F.col(p) * (F.count("*").over(own) - F.col("__r") + 1))
-    most = F.max("__s").over(own.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0))
-    return scaled.withColumn(out, F.least(most, F.lit(1.0))).withColumn("passed", F.col(out) < level).drop("__r", "__s")
+    r, s = fresh(df.columns, "__r"), fresh(df.columns, "__s")
+    scaled = df.withColumn(r, F.row_number().over(own.orderBy(p, *ties))).withColumn(s, F.col(p) * (F.count("*").over(own) - F.col(r) + 1))
+    most = F.max(s).over(own.orderBy(r).rowsBetween(Window.unboundedPreceding, 0))
+    return scaled.withColumn(out, F.least(most, F.lit(1.0))).withColumn("passed", F.col(out) < level).drop(r, s)
 
 
 def pairs(df: DataFrame, t: str, v: str, by: list[str]) -> DataFrame:
@@ -75,25 +80,92 @@ def kendall_p(n: int, s: int, tie_sizes: list[int]) -> float:
     return 2 * (1 - NormalDist().cdf(abs(s) / math.sqrt(variance)))
 
 
+@pandas_udf(DoubleType())
+def kendall_probability(n: pd.Series, s: pd.Series, tied: pd.Series) -> pd.Series:
+    """``kendall_p`` of each row; ``tied`` is the sum of k (k - 1) (2 k + 5) over the ties."""
+    out = []
+    for count, total, ties in zip(n, s, tied, strict=True):
+        if not ties and count <= 33:
+            out.append(mahonian_p(int(count), int(total)))
+        else:
+            variance = (count * (count - 1) * (2 * count + 5) - ties) / 18
+            out.append(math.erfc(abs(total) / math.sqrt(2 * variance)) if variance > 0 else None)
+    return pd.Series(out, dtype=float)
+
+
+def tie_sums(df: DataFrame, v: str, by: list[str]) -> DataFrame:
+    """n and the sum of k (k - 1) (2 k + 5) over the ties of each series."""
+    k = fresh(by, "__k")
+    return df.groupBy(*by, v).agg(F.count("*").alias(k)).groupBy(*by).agg(F.sum(k).alias("n"), F.sum(F.expr(f"{k} * ({k} - 1) * (2 * {k} + 5)")).alias("tied"))
+
+
 def theil_sen(df: DataFrame, t: str, v: str, by: list[str], z: float = 1.959964) -> DataFrame:
-    """Median pairwise slope and its rank confidence limits: n, slope, low, high."""
-    slopes = pairs(df, t, v, by).select(*by, F.try_divide(F.col("v1") - F.col("v0"), (F.col("t1") - F.col("t0")).cast("double")).alias("slope"))
-    sizes = df.groupBy(*by, v).count().groupBy(*by).agg(F.sum("count").alias("n"), F.sum(F.expr("count * (count - 1) * (2 * count + 5)")).alias("tied"))
-    ordered = slopes.groupBy(*by).agg(F.percentile("slope", F.lit(0.5)).alias("slope"), F.sort_array(F.collect_list("slope")).alias("__all"))
-    joined = ordered.join(sizes, by).withColumn("__m", F.size("__all"))
+    """Median pairwise slope and its rank confidence limits: n, slope, low, high.
+
+    The order statistics are picked from the ranked slopes, a sort that spills, so no group is gathered.
+    """
+    slopes = pairs(df, t, v, by).select(*by, F.try_divide(F.col("v1") - F.col("v0"), (F.col("t1") - F.col("t0")).cast("double")).alias("slope")).where("slope IS NOT NULL")
+    own = Window.partitionBy(*by)
+    ranked = slopes.select("*", (F.row_number().over(own.orderBy("slope")) - 1).alias("r"), F.count("*").over(own).alias("m"))
     spread = F.expr(f"{z}D * sqrt((n * (n - 1) * (2 * n + 5) - tied) / 18.0D)")
-    high = F.least(F.rint((F.col("__m") + spread) / 2), F.col("__m") - F.lit(1.0)).cast("int")
-    low = F.greatest(F.rint((F.col("__m") - spread) / 2) - 1, F.lit(0.0)).cast("int")
-    return joined.select(*by, "n", "slope", F.get("__all", low).alias("low"), F.get("__all", high).alias("high"))
+    high = F.least(F.rint((F.col("m") + spread) / 2), F.col("m") - F.lit(1.0)).cast("int")
+    low = F.greatest(F.rint((F.col("m") - spread) / 2) - 1, F.lit(0.0)).cast("int")
+    middle = (F.col("r") == F.expr("(m - 1) div 2")) | (F.col("r") == F.expr("m div 2"))
+    picked = {"slope": F.avg(F.when(middle, F.col("slope"))), "low": F.max(F.when(F.col("r") == low, F.col("slope"))), "high": F.max(F.when(F.col("r") == high, F.col("slope")))}
+    return ranked.join(tie_sums(df, v, by), by).groupBy(*by).agg(F.max("n").alias("n"), *[c.alias(k) for k, c in picked.items()])
+
+
+def trend(df: DataFrame, t: str, v: str, by: list[str], ends: int = 5) -> DataFrame:
+    """The trend of each series: n, first and last t, tau, p, slope and its limits, intercept, means of the first and last
+    ``ends`` values and their change in per cent."""
+    rows = df.where(finite(F.col(t)) & finite(F.col(v))).select(*by, t, v)
+    tau = kendall(rows, t, v, by).join(tie_sums(rows, v, by), by)
+    tau = tau.select(*by, "tau", kendall_probability(F.col("n").cast("double"), F.col("s").cast("double"), F.col("tied").cast("double")).alias("p"))
+    lines = theil_sen(rows, t, v, by)
+    own = Window.partitionBy(*by)
+    placed = rows.join(lines.select(*by, "slope"), by).select("*", F.row_number().over(own.orderBy(t)).alias("a"), F.row_number().over(own.orderBy(F.desc(t))).alias("b"))
+    mean = {"first_mean": F.avg(F.when(F.col("a") <= ends, F.col(v))), "last_mean": F.avg(F.when(F.col("b") <= ends, F.col(v)))}
+    rest = placed.groupBy(*by).agg(F.min(t).alias("first"), F.max(t).alias("last"), F.percentile(F.col(v) - F.col("slope") * F.col(t), F.lit(0.5)).alias("intercept"), *[c.alias(k) for k, c in mean.items()])
+    return lines.join(tau, by).join(rest, by).withColumn("change_pct", 100 * (ratio(F.col("last_mean"), F.col("first_mean")) - 1))
 
 
 def leave_one_out(df: DataFrame, x: str, y: str, by: list[str], key: str) -> DataFrame:
-    """Rank correlation without each key in turn: by, omitted, rho."""
+    """Rank correlation without each key in turn: by, omitted, rho (n * n rows by definition: for annual series)."""
     omitted = df.select(*by, F.col(key).alias("omitted")).distinct()
     rows = df.select(*by, key, x, y).join(omitted, by).where(F.col(key) != F.col("omitted"))
     return spearman(rows, x, y, [*by, "omitted"]).drop("n")
 
 
+def leave_one_out_summary(df: DataFrame, x: str, y: str, by: list[str], key: str) -> DataFrame:
+    """by, n_full, rho, and over the omissions: least and greatest rho, and how many change its sign."""
+    full = spearman(df, x, y, by).withColumnRenamed("n", "n_full")
+    each = leave_one_out(df, x, y, by, key).withColumnRenamed("rho", "rho_without").join(full, by)
+    changed = F.count_if(F.signum("rho_without") != F.signum("rho"))
+    return each.groupBy(*by, "n_full", "rho").agg(F.min("rho_without").alias("rho_min"), F.max("rho_without").alias("rho_max"), changed.alias("sign_changes"))
+
+
+def temporal_sensitivity(df: DataFrame, x: str, y: str, t: str, by: list[str], trigger: float = 0.3) -> DataFrame:
+    """What a trend in time does to a rank correlation: n, rho, rho_detrended, lag-1 correlations of the ranks and of their
+    residuals, direction, change of magnitude in per cent, and, where a residual lag-1 reaches ``trigger``, the
+    share of circular shifts that are as extreme (else null)."""
+    from .timeseries import circular_shifts
+
+    rows = df.where(finite(F.col(x)) & finite(F.col(y))).select(*by, F.col(t).cast("double").alias("t"), midrank(x, by).alias("rx"), midrank(y, by).alias("ry"))
+    flat = detrended(rows, ["rx", "ry"], "t", by)
+    before = Window.partitionBy(*by).orderBy("t")
+    columns = ["rx", "ry", "rx_r", "ry_r"]
+    lagged = flat.select("*", *[F.lag(c).over(before).alias(f"{c}_b") for c in columns])
+    lag1 = [correlation(F.when(F.col(f"{c}_b").isNotNull(), F.col(c)), F.col(f"{c}_b")).alias(f"lag1_{c}") for c in columns]
+    cells = lagged.groupBy(*by).agg(F.count("*").alias("n"), correlation("rx", "ry").alias("rho"), correlation("rx_r", "ry_r").alias("rho_detrended"), *lag1)
+    triggered = (F.abs("lag1_rx_r") >= trigger) | (F.abs("lag1_ry_r") >= trigger)
+    shifts = circular_shifts(flat, "rx_r", "ry_r", by, ["t"]).join(cells.select(*by, "rho_detrended"), by)
+    extreme = shifts.groupBy(*by).agg((F.count_if(F.abs("r") >= F.abs("rho_detrended") - 1e-12) / F.count("*")).alias("p_shift"))
+    direction = F.when(F.signum("rho") == F.signum("rho_detrended"), "retained").otherwise("reversed")
+    change = 100 * ratio(F.abs("rho_detrended") - F.abs("rho"), F.abs("rho"))
+    out = cells.join(extreme, by).withColumns({"triggered": triggered, "direction": direction, "magnitude_change_pct": change})
+    return out.withColumn("p_shift", F.when(F.col("triggered"), F.col("p_shift")))
+
+
 def detrended(df: DataFrame, columns: list[str], t: str, by: list[str]) -> DataFrame:
     """Residuals of each column after a straight line in t (``<column>_r``)."""
     own = Window.partitionBy(*by)

@@ -6,15 +6,15 @@ by series and replicate; nothing but statistics leaves the tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation, hashed_index
+from ..functions.columns import correlation, hashed_index, hashed_normal
 from .rankstats import midrank
 
 
 def positioned(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Rows with their position in the series and its length."""
+    """Rows with their position in the series (``pos``) and its length (``n``), in the place of columns of those names."""
     own = Window.partitionBy(*by).orderBy(*order)
     return df.select(*[c for c in df.columns if c not in ("pos", "n")], (F.row_number().over(own) - 1).cast("long").alias("pos"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
 
@@ -56,22 +56,25 @@ def permutation_p(df: DataFrame, x: str, y: str, by: list[str], order: list[str]
     return out.withColumn("p", (F.col("extreme") + 1) / F.lit(float(reps + 1)))
 
 
-def normal_draw(rep: Column, pos: Column, seed: int) -> Column:
-    """A hashed standard normal (Box-Muller)."""
-    big = F.lit(2147483647)
-    u = (hashed_index(rep, pos, seed, big) + 1) / F.lit(2147483648.0)
-    v = (hashed_index(rep, pos, seed + 7, big) + 1) / F.lit(2147483648.0)
-    return F.sqrt(-2 * F.log(u)) * F.cos(v * 6.283185307179586)
+def scenario_paths(trends: DataFrame, models: DataFrame, errors: DataFrame, by: list[str], years: int, draws: int, offsets: dict[str, float], noise: float, seed: int) -> DataFrame:
+    """Monte Carlo projections of a log-linear model: by, scenario, step and the quantiles q05, q50, q95.
 
-
-def scenario_paths(trend: DataFrame, by: list[str], years: int, draws: int, offsets: dict[str, float], noise: float, seed: int) -> DataFrame:
-    """Monte Carlo paths from (last, slope, sd): quantiles per scenario and step.
-
-    A path is last + slope * step + offset * sd + N(0, noise * sd), floored at 0.
+    ``trends``: by, feature, last, slope, sd (of the detrended feature), mean, scale, coef.  A path of a feature is
+    last + slope * step + offset * sd + N(0, noise * sd).  ``models``: by, intercept.  The response is
+    expm1(intercept + sum of coef * (path - mean) / scale) plus one of the model's own ``errors`` (by, pos
+    from 0, e; drawn anew for each path and step), floored at 0.  Draws are hashed, so any cluster gives
+    the same; a path costs a row per feature, step and scenario, and only quantiles are kept.
     """
-    table = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(float(v)).alias("shift")) for k, v in offsets.items()])).alias("s")
-    grid = trend.select("*", table).select(*trend.columns, "s.scenario", "s.shift")
+    table = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(i).alias("number"), F.lit(float(v)).alias("shift")) for i, (k, v) in enumerate(offsets.items())])).alias("s")
+    numbered = trends.withColumn("f", F.row_number().over(Window.partitionBy(*by).orderBy("feature")) - 1)
+    grid = numbered.select("*", table).select(*numbered.columns, "s.scenario", "s.number", "s.shift")
     grid = grid.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(years)))).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    value = F.col("last") + F.col("slope") * F.col("step") + F.col("shift") * F.col("sd") + normal_draw(F.col("rep"), F.col("step").cast("long"), seed) * noise * F.col("sd")
-    paths = grid.withColumn("value", F.greatest(value, F.lit(0.0)))
+    place = F.col("step") + 100 * F.col("f") + 10_000 * F.col("number")
+    path = F.col("last") + F.col("slope") * F.col("step") + F.col("shift") * F.col("sd") + hashed_normal(F.col("rep"), place, seed) * noise * F.col("sd")
+    parts = grid.withColumn("part", F.col("coef") * (path - F.col("mean")) / F.col("scale"))
+    summed = parts.groupBy(*by, "scenario", "number", "step", "rep").agg(F.sum("part").alias("part"))
+    sized = models.join(errors.groupBy(*by).agg(F.count("*").alias("n_errors")), by)
+    at = hashed_index(F.col("rep"), F.col("step") + 10_000 * F.col("number"), seed + 1, F.col("n_errors"))
+    full = summed.join(sized, by).withColumn("pos", at).join(errors.select(*by, "pos", "e"), [*by, "pos"])
+    paths = full.withColumn("value", F.greatest(F.expm1(F.col("intercept") + F.col("part")) + F.col("e"), F.lit(0.0)))
     return paths.groupBy(*by, "scenario", "step").agg(*[F.percentile("value", F.lit(q)).alias(n) for n, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))])

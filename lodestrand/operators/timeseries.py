@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import fresh
+
 
 def _own(series: list[str], order: list[str]):
     return Window.partitionBy(*series).orderBy(*order)
@@ -38,8 +40,9 @@ def previous(value: str, series: list[str], order: list[str], back: int = 1) ->
 
 def first_maximum(df: DataFrame, value: str, series: list[str], order: list[str]) -> DataFrame:
     """The row of the greatest value of each series, the first one of ties."""
+    r = fresh(df.columns, "__r")
     rank = F.row_number().over(Window.partitionBy(*series).orderBy(F.col(value).desc_nulls_last(), *order))
-    return df.withColumn("__r", rank).where("__r = 1").drop("__r")
+    return df.withColumn(r, rank).where(F.col(r) == 1).drop(r)
 
 
 def longest_run(df: DataFrame, test: Column, series: list[str], order: list[str]) -> DataFrame:
@@ -61,9 +64,11 @@ def fill_short_gaps(df: DataFrame, value: str, position: str, series: list[str],
     before, after = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col(value).isNotNull(), F.col(position))
     at = [F.last(value, True).over(before), F.last(known, True).over(before), F.first(value, True).over(after), F.first(known, True).over(after)]
-    out = df.select("*", *[c.alias(f"__{n}") for c, n in zip(at, ("v0", "p0", "v1", "p1"), strict=True)])
-    line = F.expr(f"__v0 + (__v1 - __v0) * ({position} - __p0) / (__p1 - __p0)")
-    short = F.col(value).isNull() & (F.col("__p1") - F.col("__p0") - 1 <= most)
+    names = [fresh(df.columns, f"__{n}") for n in ("v0", "p0", "v1", "p1")]
+    out = df.select("*", *[c.alias(n) for c, n in zip(at, names, strict=True)])
+    v0, p0, v1, p1 = map(F.col, names)
+    line = v0 + (v1 - v0) * (F.col(position) - p0) / (p1 - p0)
+    short = F.col(value).isNull() & (p1 - p0 - 1 <= most)
     filled = F.coalesce(F.col(value), F.when(short, line))
     if strict:
         filled = F.coalesce(filled, F.raise_error(F.lit("a gap is left")).cast("double"))
@@ -89,3 +94,31 @@ def circular_shifts(df: DataFrame, x: str, y: str, series: list[str], order: lis
     from ..functions.columns import correlation
 
     return left.join(moved, [*series, "at"]).groupBy(*series, "shift").agg(correlation(x, y).alias("r"))
+
+
+def exposure(rows: DataFrame, value: str, by: list[str], date: str, threshold: int, width: int = 7) -> DataFrame:
+    """Each group's days, mean, greatest value and its first day, greatest full ``width``-day mean, days at or above the
+    threshold and the longest run of them: one partitioning by group and one aggregate after its windows.
+
+    ``value`` is in whole thousandths; means are exact to a tenth of one and given in units.
+    """
+    own = _own(by, [date])
+    passed = F.col(value) >= threshold
+    marked = rows.select(*by, date, F.col(value).alias("v"), passed.alias("t"), F.row_number().over(own).alias("k"), F.sum(value).over(own.rowsBetween(1 - width, 0)).alias("sum"))
+    again = F.row_number().over(Window.partitionBy(*by, "t").orderBy(date))
+    runs = marked.withColumn("run", F.col("k") - again)
+    length = F.when(F.col("t"), F.count("*").over(Window.partitionBy(*by, "t", "run")))
+
+    def units(total: Column, n: Column) -> Column:
+        return F.floor((total * 20 + n) / (n * 2)).cast("double") / 10000.0
+
+    cells = [
+        F.count("*").alias("days"),
+        units(F.sum("v"), F.count("*")).alias("mean"),
+        (F.max("v") / 1000.0).alias("high"),
+        F.min(F.struct((-F.col("v")).alias("v"), F.col(date).alias("d")))["d"].alias("high_day"),
+        units(F.max(F.when(F.col("k") >= width, F.col("sum"))), F.lit(width)).alias(f"high{width}"),
+        F.count_if("t").alias(f"n{threshold // 1000}"),
+        F.coalesce(F.max("length"), F.lit(0)).cast("long").alias("longest"),
+    ]
+    return runs.withColumn("length", length).groupBy(*by).agg(*cells)

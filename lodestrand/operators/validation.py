@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import clamp, fresh, ratio
 
 
 def metrics(df: DataFrame, actual: str, predicted: str, by: list[str]) -> DataFrame:
@@ -25,9 +25,10 @@ def baseline_gate(scored: DataFrame, by: list[str], model: str, baselines: list[
 
 def empirical_intervals(df: DataFrame, actual: str, predicted: str, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Rows with an interval from the quantiles of their group's errors (floored at 0) and ``covered``."""
-    limits = df.groupBy(*by).agg(*[F.percentile(F.col(actual) - F.col(predicted), F.lit(q)).alias(n) for n, q in (("__lo", low), ("__hi", high))])
+    lo, hi = fresh(df.columns, "__lo"), fresh(df.columns, "__hi")
+    limits = df.groupBy(*by).agg(*[F.percentile(F.col(actual) - F.col(predicted), F.lit(q)).alias(n) for n, q in ((lo, low), (hi, high))])
     out = df.join(limits, by)
-    lower, upper = F.greatest(F.col(predicted) + F.col("__lo"), F.lit(0.0)), F.col(predicted) + F.col("__hi")
+    lower, upper = F.greatest(F.col(predicted) + F.col(lo), F.lit(0.0)), F.col(predicted) + F.col(hi)
     return out.select(*df.columns, lower.alias("lower"), upper.alias("upper")).withColumn("covered", F.col(actual).between(F.col("lower"), F.col("upper")))
 
 
@@ -36,10 +37,11 @@ def domain_audit(rows: DataFrame, calibration: DataFrame, features: list[str], i
 
     The distance is the largest excess over a side, as a share of the side's span.
     """
-    box = calibration.agg(*[f(c).alias(f"__{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
+    side = {(n, c): fresh(rows.columns, f"__{n}_{c}") for n in ("lo", "hi") for c in features}
+    box = calibration.agg(*[f(c).alias(side[n, c]) for c in features for n, f in (("lo", F.min), ("hi", F.max))])
     excess = []
     for c in features:
-        lo, hi, v = F.col(f"__lo_{c}"), F.col(f"__hi_{c}"), F.col(c)
+        lo, hi, v = F.col(side["lo", c]), F.col(side["hi", c]), F.col(c)
         far = F.greatest(lo - v, v - hi)
         excess.append(F.struct(F.lit(c).alias("feature"), F.when(far > 0, F.when(hi > lo, far / (hi - lo)).otherwise(F.lit(float("inf")))).alias("far")))
     out = rows.join(F.broadcast(box)).select(*ids, F.filter(F.array(*excess), lambda x: x["far"].isNotNull()).alias("out"))  # one row of limits
@@ -60,11 +62,36 @@ def support(direction_ok: Column, significant: Column, *signs_agree: Column) ->
 
 
 def leave_group_out_mean(df: DataFrame, value: str, group: str, cell: str) -> DataFrame:
-    """Mean of the cell without the row's own group; the mean of all other groups where the cell has no other."""
-    totals = df.groupBy(group, cell).agg(F.sum(value).alias(value + "_s"), F.count(value).alias(value + "_n"))
-    s, n = f"{value}_s", f"{value}_n"
-    cells, groups, everything = Window.partitionBy(cell), Window.partitionBy(group), Window.partitionBy(F.lit(1))
-    near = ratio(F.sum(s).over(cells) - F.col(s), (F.sum(n).over(cells) - F.col(n)).cast("double"))
-    far = ratio(F.sum(s).over(everything) - F.sum(s).over(groups), (F.sum(n).over(everything) - F.sum(n).over(groups)).cast("double"))
-    table = totals.select(group, cell, F.coalesce(near, far).alias("climatology"))  # a row per group and cell
+    """Rows with ``climatology``: the mean of the cell without the row's own group; of all other groups where the cell has no other."""
+    totals = df.groupBy(group, cell).agg(F.sum(value).alias("s"), F.count(value).alias("n"))  # a row per group and cell
+    cells, groups = Window.partitionBy(cell), Window.partitionBy(group)
+    everything = totals.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    near = ratio(F.sum("s").over(cells) - F.col("s"), (F.sum("n").over(cells) - F.col("n")).cast("double"))
+    far = ratio(F.col("all_s") - F.sum("s").over(groups), (F.col("all_n") - F.sum("n").over(groups)).cast("double"))
+    table = totals.join(F.broadcast(everything)).select(group, cell, F.coalesce(near, far).alias("climatology"))  # one row
     return df.join(table, [group, cell])
+
+
+def improvement(model: str, baseline: str) -> Column:
+    """How much lower a model's error is than a baseline's, in per cent of the latter."""
+    return 100 * ratio(F.col(baseline) - F.col(model), F.col(baseline))
+
+
+def banded(df: DataFrame, predicted: Column, low: Column, high: Column, floor: float, ceiling: float) -> DataFrame:
+    """Rows with a prediction within physical bounds, whether that changed it, and a band (errors low..high) within them."""
+    kept = clamp(predicted, floor, ceiling)
+    return df.select("*", kept.alias("predicted"), (F.abs(predicted - kept) > 1e-12).alias("clipped"), clamp(kept + low, floor, ceiling).alias("lower"), clamp(kept + high, floor, ceiling).alias("upper"))
+
+
+def audit_summary(audit: DataFrame, calendar: DataFrame, year: str, features: str = "outside") -> DataFrame:
+    """Counts of audited rows by feature, severity and year, with the share of the calendar's rows: kind, key, n, pct.
+
+    ``calendar`` has a row for every audited unit; a year's share is of its own rows, others are of all.
+    """
+    by_feature = audit.select(F.explode(F.split(features, ";")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).withColumn("kind", F.lit("feature"))
+    by_severity = audit.groupBy(F.col("severity").alias("key")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("severity"))
+    every = calendar.agg(F.count("*").alias("of"))
+    overall = by_feature.unionByName(by_severity).join(F.broadcast(every))  # one row
+    own = calendar.groupBy(F.col(year).cast("string").alias("key")).agg(F.count("*").alias("of"))
+    by_year = audit.groupBy(F.col(year).cast("string").alias("key")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("year")).join(own, "key")
+    return overall.unionByName(by_year).select("kind", "key", "n", (100 * F.col("n") / F.col("of")).alias("pct"))

@@ -68,3 +68,42 @@ def ranks(by: str, x: str, y: str, source: str, extra: str = "") -> str:
 
 def corr(x: str, y: str) -> str:
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+
+
+def simpson_sql(f: str, high: str, steps: int = 600) -> str:
+    """SQL of the integral of f (an expression in u) from 0 to ``high``."""
+    weight = f"CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(({high}) / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda k: {weight} * {f.replace('#', f'(({high}) * k / {steps}.0)')})))"
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    """SQL of Student's two-sided tail probability for whole degrees of freedom."""
+    f = f"pow(sin(#), ({df}) - 1)"
+    return f"({simpson_sql(f, f'atan2(sqrt(({df})::DOUBLE), abs({t}))')} / {simpson_sql(f, 'pi() / 2')})"
+
+
+def normal_tail_sql(z: str) -> str:
+    """SQL of a normal value's two-sided tail probability."""
+    return f"(1 - sqrt(2 / pi()) * {simpson_sql('exp(-# * # / 2)', f'least(abs({z}), 12.0)')})"
+
+
+def t_quantile_sql(df: str, z: float = 1.959963984540054) -> str:
+    """SQL of the t with 5 % in both tails, by the expansion around the normal quantile (for dozens of degrees of freedom)."""
+    powers = [z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    return "(" + " + ".join(f"{c!r} / pow({df}, {i})" for i, c in enumerate(powers)) + ")"
+
+
+def uniform_sql(rep: str, pos: str, seed: int, a: int, b: int, c: int, extra: int) -> str:
+    w = f"((({rep}) * {a} + ({pos}) * {b} + {seed + extra}) % 2147483647)"
+    return f"((((({w} * {w}) % 2147483647) * {c} + {w}) % 2147483647 + 1) / 2147483648.0)"
+
+
+def normal_sql(rep: str, pos: str, seed: int) -> str:
+    """SQL of functions.columns.hashed_normal."""
+    u, v = uniform_sql(rep, pos, seed, 7919, 104729, 48271, 0), uniform_sql(rep, pos, seed, 15485863, 32452843, 69621, 12345)
+    return f"(sqrt(-2 * ln({u})) * cos({v} * 2 * pi()))"
+
+
+def index_sql(rep: str, pos: str, seed: int, n: str) -> str:
+    """SQL of functions.columns.hashed_index."""
+    return f"(((({rep}) * 7919 + ({pos}) * 104729 + {seed}) * 48271) % 2147483647) % ({n})"

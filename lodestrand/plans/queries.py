@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import close, correlation, harmonics, month_day, ratio, water_year
 from ..operators import contracts, linear, rankstats, relational, resample, timeseries, validation
-from .base import DAILY, ENV, JOINED, PANEL, corr, daily, environment, joined, panel, ranks, table
+from .base import DAILY, ENV, JOINED, PANEL, corr, daily, environment, index_sql, joined, panel, ranks, t_tail_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -330,12 +330,20 @@ def indicators(spark: SparkSession, d: str) -> DataFrame:
     return joined(spark, d).unpivot(["grp", "m", "y"], ["x1", "x2", "x3"], "indicator", "x")
 
 
-@query()
+@query(f"""
+WITH {JOINED}, long AS (
+  SELECT grp, m, y, 'x1' AS indicator, x1 AS x FROM joined UNION ALL SELECT grp, m, y, 'x2', x2 FROM joined UNION ALL SELECT grp, m, y, 'x3', x3 FROM joined),
+r AS ({ranks("grp, indicator", "x", "y", "long")}), c AS (SELECT grp, indicator, count(*) AS n, {corr("rx", "ry")} AS rho FROM r GROUP BY ALL),
+p AS (SELECT *, {t_tail_sql("rho * sqrt((n - 2) / (1 - rho * rho))", "n - 2")} AS p FROM c),
+k AS (SELECT *, row_number() OVER (ORDER BY p, grp, indicator) AS k, count(*) OVER () AS tests FROM p),
+q AS (SELECT *, least(min(p * tests / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS q FROM k)
+SELECT grp, indicator, n, round(rho, 6) AS rho, round(p, 5) AS p, round(q, 5) AS q, q <= 0.05 AS flagged FROM q""")
 def ranked_indicators(spark, d):
     """The flagship: which indicator is rank-associated with the response, per group, after FDR."""
     tests = rankstats.spearman(indicators(spark, d), "x", "y", ["grp", "indicator"], p=True)
     out = rankstats.benjamini_hochberg(tests, "p", [], ["grp", "indicator"])
-    return out.withColumn("flagged", F.col("q") <= 0.05).orderBy("p", "grp", "indicator")
+    flagged = out.withColumn("flagged", F.col("q") <= 0.05).orderBy("p", "grp", "indicator")
+    return rounded(rounded(flagged, "rho"), "p", "q", to=5)
 
 
 @query(f"""
@@ -551,25 +559,31 @@ def extrapolation_audit(spark, d):
     return rounded(validation.domain_audit(e, e.where(F.col("m") < 1998 * 12), ["x1", "x2", "x3"], ["m"]), "distance")
 
 
+#: Daily means in whole thousandths, so that window means are exact for any order of summation.
+MILLI_DAYS = "days AS (SELECT CAST(o_orderdate AS DATE) AS d, CAST(round(round_even(sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*) / 100000.0, 3) * 1000) AS BIGINT) AS v FROM orders GROUP BY ALL)"
+
+
+def milli_days(spark: SparkSession, d: str) -> DataFrame:
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.count("*") / 100000.0
+    return table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.round(F.bround(cents, 3) * 1000).cast("long").alias("v"))
+
+
+MILLI_MEAN = "CAST((({0}) * 20 + ({1})) // (({1}) * 2) AS DOUBLE) / 10000.0"
+
+
 @query(f"""
-WITH w(window_id, start_md, end_md) AS (VALUES {WINDOWS_SQL}),
-days AS (SELECT CAST(o_orderdate AS DATE) AS d, round_even(avg(o_totalprice) / 1000, 3) AS v FROM orders GROUP BY ALL),
+WITH w(window_id, start_md, end_md) AS (VALUES {WINDOWS_SQL}), {MILLI_DAYS},
 i AS (SELECT window_id, CAST(year(d) AS BIGINT) AS yr, d, v FROM days JOIN w ON month(d) * 100 + day(d) BETWEEN start_md AND end_md),
-r AS (SELECT *, round(avg(v) OVER (PARTITION BY window_id, yr ORDER BY d ROWS 6 PRECEDING), 6) AS v7, row_number() OVER (PARTITION BY window_id, yr ORDER BY d) AS k,
+r AS (SELECT *, sum(v) OVER (PARTITION BY window_id, yr ORDER BY d ROWS 6 PRECEDING) AS v7, row_number() OVER (PARTITION BY window_id, yr ORDER BY d) AS k,
              row_number() OVER (PARTITION BY window_id, yr ORDER BY v DESC, d) AS best FROM i),
-g AS (SELECT *, k - row_number() OVER (PARTITION BY window_id, yr, v >= 200 ORDER BY d) AS run FROM r),
-s AS (SELECT window_id, yr, max(c) AS spell FROM (SELECT window_id, yr, run, count(*) AS c FROM g WHERE v >= 200 GROUP BY ALL) GROUP BY ALL)
-SELECT g.window_id, g.yr, count(*) AS days, round(avg(v), 5) AS mean, max(v) AS high, max(d) FILTER (WHERE best = 1) AS high_day,
-       max(v7) FILTER (WHERE k >= 7) AS high7, count(*) FILTER (WHERE v >= 200) AS n200, coalesce(max(s.spell), 0) AS longest
+g AS (SELECT *, k - row_number() OVER (PARTITION BY window_id, yr, v >= 200000 ORDER BY d) AS run FROM r),
+s AS (SELECT window_id, yr, max(c) AS spell FROM (SELECT window_id, yr, run, count(*) AS c FROM g WHERE v >= 200000 GROUP BY ALL) GROUP BY ALL)
+SELECT g.window_id, g.yr, count(*) AS days, {MILLI_MEAN.format("sum(v)::BIGINT", "count(*)")} AS mean, max(v) / 1000.0 AS high, max(d) FILTER (WHERE best = 1) AS high_day,
+       {MILLI_MEAN.format("(max(v7) FILTER (WHERE k >= 7))::BIGINT", "7")} AS high7, count(*) FILTER (WHERE v >= 200000) AS n200, coalesce(max(s.spell), 0) AS longest
 FROM g LEFT JOIN s USING (window_id, yr) GROUP BY ALL""")
 def exposure_table(spark, d):
-    days = table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.bround(F.avg("o_totalprice") / 1000, 3).alias("v"))
-    rows = relational.window_members(days, windows(spark), month_day(F.col("d"))).select("window_id", F.year("d").cast("long").alias("yr"), "d", "v")
-    key = ["window_id", "yr"]
-    rows = rows.withColumn("v7", r6(timeseries.trailing_mean("v", 7, key, ["d"], full=True)))
-    top = timeseries.first_maximum(rows, "v", key, ["d"]).select(*key, F.col("d").alias("high_day"))
-    stats = rows.groupBy(*key).agg(F.count("*").alias("days"), F.round(F.avg("v"), 5).alias("mean"), F.max("v").alias("high"), F.max("v7").alias("high7"), F.count_if(F.col("v") >= 200).alias("n200"))
-    return stats.join(top, key).join(timeseries.longest_run(rows, F.col("v") >= 200, key, ["d"]), key)
+    rows = relational.window_members(milli_days(spark, d), windows(spark), month_day(F.col("d"))).select("window_id", F.year("d").cast("long").alias("yr"), "d", "v")
+    return timeseries.exposure(rows, "v", ["window_id", "yr"], "d", 200_000)
 
 
 @query(f"""
@@ -590,14 +604,6 @@ def scenario_quantiles(spark, d):
     return long.select("grp", "scenario", "yr", floor(at).alias("projected"), floor(at + F.col("lo")).alias("lower"), floor(at + F.col("hi")).alias("upper"))
 
 
-@query()
-def monte_carlo_scenarios(spark, d):
-    p = panel(spark, d)
-    slope = rankstats.theil_sen(p, "m", "y", ["grp"]).select("grp", F.coalesce("slope", F.lit(0.0)).alias("slope"))
-    flat = rankstats.detrended(p.withColumn("m", F.col("m").cast("double")), ["y"], "m", ["grp"]).groupBy("grp").agg(F.stddev_samp("y_r").alias("sd"), F.max_by("y", "m").alias("last"))
-    return resample.scenario_paths(flat.join(slope, "grp"), ["grp"], 15, 400, {"low": -0.5, "middle": 0.0, "high": 0.5}, 0.35, 20260727)
-
-
 @query(f"""
 WITH {JOINED}, a AS ({ranks("grp", "x1", "y", "joined")}), b AS ({ranks("grp", "x3", "y", "joined")}),
 ra AS (SELECT grp, {corr("rx", "ry")} AS r1 FROM a GROUP BY grp), rb AS (SELECT grp, {corr("rx", "ry")} AS r3 FROM b GROUP BY grp)
@@ -631,10 +637,6 @@ def quality_gate(spark, d):
 # -- resampling
 
 
-def index_sql(rep: str, pos: str, seed: int, n: str) -> str:
-    return f"(((({rep}) * 7919 + ({pos}) * 104729 + {seed}) * 48271) % 2147483647) % ({n})"
-
-
 POSITIONED = """pos AS (SELECT grp, m, x1, y, row_number() OVER (PARTITION BY grp ORDER BY m) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM joined)"""
 
 

@@ -2,26 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import sentinel_to_null
-from ..operators.contracts import require_columns
+from ..operators.contracts import not_empty, require_columns
+
+
+BOM = "\ufeff"
 
 
-def csv_table(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
-    """Header CSV with a fixed schema (a byte order mark is tolerated; malformed rows raise)."""
-    df = spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=True)
-    return require_columns(df, required or [])
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The column names in the first line of a CSV file, without a byte order mark."""
+    first = spark.read.text(path).limit(1).collect()  # one line
+    if not first:
+        raise ValueError(f"{path} is empty")
+    parts = spark.range(1).select(F.from_csv(F.lit(first[0].value.lstrip(BOM)), F.lit(", ".join(f"c{i} string" for i in range(first[0].value.count(",") + 1)))).alias("r")).first().r
+    return [str(c).strip().strip(BOM).strip('"') for c in parts if c is not None]
+
+
+def csv_table(spark: SparkSession, path: str, schema: str, required: list[str] | None = None, where: Column | None = None, filled: bool = False) -> DataFrame:
+    """Header CSV with a fixed schema, its columns found by the names in the file's header.
+
+    A byte order mark is tolerated and extra columns are left out; a required column (all of the
+    schema, if none are named) that the header lacks raises, as do malformed rows.  ``where`` chooses rows (one
+    station, say); with ``filled``, no row left raises.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema).fields}
+    names = header_of(spark, path)
+    missing = [c for c in (required or list(kinds)) if c not in names]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    given = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names)
+    df = spark.read.csv(path, schema=given, header=True, mode="FAILFAST", enforceSchema=True).select(*[F.col(f"`{n}`") if n in names else F.lit(None).cast(k).alias(n) for n, k in kinds.items()])
+    df = df if where is None else df.where(where)
+    return not_empty(df, path) if filled else df
+
+
+def csv_inferred(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
+    """Header CSV whose types are inferred (a second pass over the file), with its required columns checked."""
+    return require_columns(spark.read.csv(path, header=True, inferSchema=True), required or [])
 
 
 def preamble_csv(spark: SparkSession, path: str, first: str, schema: str) -> DataFrame:
-    """CSV after a preamble: rows from the header line, which starts with ``first``, on.
+    """CSV after a preamble: the rows behind the header line, which is the first one to start with ``first``.
 
-    Lines of data start with a digit, so the header and the free text before it need no global order.
+    The header's place comes from the lines' positions in the file (a snapshot is one file of one split);
+    a file without one raises, as do rows that do not fit the schema.  Blank values are null.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith(first) & F.col("value").rlike(r"^\s*\d"))
-    return lines.select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
+    start = lines.where(F.startswith(F.ltrim(F.translate("value", BOM, "")), F.lit(first))).agg(F.min("at").alias("header"))
+    if start.first().header is None:
+        raise ValueError(f"no header that starts with {first!r} in {path}")
+    rows = lines.join(F.broadcast(start)).where((F.col("at") > F.col("header")) & (F.trim("value") != ""))  # one row
+    return rows.select(F.from_csv("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def text_table(spark: SparkSession, path: str, names: dict[str, str], header: str | None = None) -> DataFrame:
@@ -49,9 +86,22 @@ def nested_series(spark: SparkSession, path: str, code: str, missing: float = -9
     return out.where("value IS NOT NULL")
 
 
-def sentinel_csv(spark: SparkSession, path: str, schema: str, value: str, sentinel: float = -9999.0) -> DataFrame:
-    df = csv_table(spark, path, schema)
-    return df.withColumn(value, sentinel_to_null(F.col(value), sentinel))
+def sentinel_csv(spark: SparkSession, path: str, key: str = "Date", sentinel: float = -9999.0) -> DataFrame:
+    """A key and one value: the first column of another name, in which the sentinel is null."""
+    names = header_of(spark, path)
+    value = next((n for n in names if n != key), None)
+    if key not in names or value is None:
+        raise ValueError(f"{path} needs {key} and a value column")
+    df = csv_table(spark, path, f"`{key}` date, `{value}` double")
+    return df.select(key, sentinel_to_null(F.col(f"`{value}`"), sentinel).alias("value"))
+
+
+def json_document(spark: SparkSession, path: str) -> dict:
+    """One JSON document, such as a gate or a manifest."""
+    lines = spark.read.text(path, wholetext=True).collect()  # one small file
+    if len(lines) != 1:
+        raise ValueError(f"{path} is not one document")
+    return json.loads(lines[0].value.lstrip(BOM))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -1,40 +1,132 @@
-"""Sinks: formatted CSV, and a package of tables that is complete when its manifest exists."""
+"""Sinks: CSV and JSON files that appear whole, and packages of tables that are complete when they exist.
+
+Everything is written to a staging folder beside the target and renamed, through Hadoop's file systems.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import BOM, json_document
+
 
-def formatted(df: DataFrame, pattern: str = "%.10g") -> DataFrame:
-    """Doubles as text of a fixed pattern, for CSV that compares byte by byte."""
+def formatted(df: DataFrame, pattern: str = "%.10g", missing: str | None = None) -> DataFrame:
+    """Doubles as text of a fixed pattern (``missing`` for null and NaN), for CSV that compares byte by byte."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.format_string(pattern, c).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+
+    def text(c: str):
+        shown = F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string(pattern, c))
+        return (shown if missing is None else shown.otherwise(F.lit(missing))).alias(c)
+
+    return df.select(*[text(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path, files = _path(spark, name)
+    return files.exists(path)
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    old, files = _path(spark, source)
+    new, _ = _path(spark, target)
+    if files.exists(new):
+        raise FileExistsError(target)
+    if new.getParent() is not None:
+        files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    path, files = _path(spark, name)
+    files.delete(path, True)
+
+
+def _staged(spark: SparkSession, target: str, write) -> None:
+    """Write to a folder beside the target, then rename; nothing is left behind if writing fails."""
+    staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    try:
+        write(staging)
+        _move(spark, staging, target)
+    except BaseException:
+        _drop(spark, staging)
+        raise
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV parts with headers; Spark's committer makes each write all or nothing."""
-    df.write.mode("errorifexists").csv(path, header=True, quoteAll=True)
+    """A folder of CSV parts with headers, all quoted; it appears whole or not at all."""
+    _staged(df.sparkSession, path, lambda staging: df.write.csv(staging, header=True, quoteAll=True))
+
+
+def write_csv_file(df: DataFrame, path: str, bom: bool = True) -> None:
+    """One quoted CSV file with a byte order mark and LF line ends, for small result tables."""
+    spark = df.sparkSession
+    rows = df.select(F.to_csv(F.struct(*df.columns), {"quoteAll": "true"}).alias("value"))
+    head = (BOM if bom else "") + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    whole = spark.createDataFrame([(head,)], "value string").coalesce(1).unionAll(rows.coalesce(1))
+    write_text_file(whole.coalesce(1), path)
+
+
+def write_text_file(lines: DataFrame, path: str) -> None:
+    """The one column of a small table as one text file."""
+    spark, folder = lines.sparkSession, f"{path}.staging-{uuid.uuid4().hex}"
+    try:
+        lines.coalesce(1).write.text(folder, lineSep="\n")
+        parent, files = _path(spark, folder)
+        part = next(f.getPath().toString() for f in files.listStatus(parent) if f.getPath().getName().startswith("part-"))
+        _move(spark, part, path)
+    finally:
+        _drop(spark, folder)
+
+
+def write_json(spark: SparkSession, document: dict, path: str) -> None:
+    """One JSON file, indented, with sorted keys."""
+    write_text_file(spark.createDataFrame([(json.dumps(document, indent=2, sort_keys=True),)], "value string"), path)
+
+
+def keep_manifest(spark: SparkSession, sources: dict[str, dict], path: str, fixed: tuple[str, ...] = ("sha256", "url")) -> dict:
+    """An immutable manifest of sources: created if there is none, else its ``fixed`` entries must be the same.
+
+    Sources that the file has besides are left out of the comparison; one that it lacks, or has otherwise, raises.
+    """
+    if not exists(spark, path):
+        write_json(spark, {"sources": sources}, path)
+        return {"sources": sources}
+    kept = json_document(spark, path)
+    for name, details in sources.items():
+        for entry in fixed:
+            if kept.get("sources", {}).get(name, {}).get(entry) != details.get(entry):
+                raise ValueError(f"{entry} of {name} differs from the immutable manifest")
+    return kept
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str, notes: dict | None = None) -> dict:
-    """Write every table as Parquet, then the manifest: readers take a package that has one.
+    """Write every table as Parquet and a manifest (rows and columns of each) into a new package.
 
-    The manifest holds rows and columns of each table; it is written last through Spark, so it reaches any
-    file system.
+    The package is staged beside the target and renamed at the end, the manifest written last: a failure
+    leaves nothing, and a reader never sees half of it.
     """
     manifest: dict = {"tables": {}, "notes": notes or {}}
-    for name, df in sorted(tables.items()):
-        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
-        written = spark.read.parquet(f"{folder}/{name}")
-        manifest["tables"][name] = {"rows": written.count(), "columns": written.columns}
-    text = json.dumps(manifest, indent=2, sort_keys=True)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/_manifest", lineSep="\n")
+
+    def write(staging: str) -> None:
+        for name, df in sorted(tables.items()):
+            df.write.parquet(f"{staging}/{name}")
+            written = spark.read.parquet(f"{staging}/{name}")
+            manifest["tables"][name] = {"rows": written.count(), "columns": written.columns}
+        write_json(spark, manifest, f"{staging}/MANIFEST.json")
+
+    _staged(spark, folder, write)
     return manifest
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict:
-    lines = spark.read.text(f"{folder}/_manifest", wholetext=True).collect()  # one small file
-    return json.loads(lines[0].value)
+    return json_document(spark, f"{folder}/MANIFEST.json")

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("spark")
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.local.dir": str(folder), "spark.sql.warehouse.dir": str(folder / "warehouse"), "spark.sql.session.timeZone": "UTC"}
-    session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
+    session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

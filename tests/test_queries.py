@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestrand.plans.queries import QUERIES, SQL
+from lodestrand.plans.analyses import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
