@@ -151,7 +151,7 @@ def leaves(packed: DataFrame, n: int, dim: int, tables: int) -> DataFrame:
     return placed.groupBy("t", "cell", sub).agg(F.collect_list(member).alias("members")).select("members")
 
 
-def neighbour_graph(pts: DataFrame, k: int = 20, tables: int = 6, rounds: int = 12, sample: int = 10, settled: float = 0.01) -> DataFrame:
+def neighbour_graph(pts: DataFrame, k: int = 20, tables: int = 6, rounds: int = 12, sample: int = 20, settled: float = 0.005) -> DataFrame:
     """NN-descent: (src, dst, d) with the k nearest found of every point; d is a squared distance, scaled.
 
     A round takes ``sample`` new and ``sample`` old neighbours of a node, and as many reverse ones; rounds end
@@ -182,7 +182,7 @@ def neighbour_graph(pts: DataFrame, k: int = 20, tables: int = 6, rounds: int =
     return graph.select("src", "dst", "d")
 
 
-def search(pts: DataFrame, graph: DataFrame, queries: DataFrame, top: int, pool: int = 64, expand: int = 32, max_rounds: int = 40) -> DataFrame:
+def search(pts: DataFrame, graph: DataFrame, queries: DataFrame, top: int, pool: int = 512, expand: int = 256, max_rounds: int = 40) -> DataFrame:
     """Greedy graph search for ``queries`` (ids of points): query_id, rank, vec_id, score."""
     k = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
     degree = (graph.groupBy("src").count().agg(F.max("count")).first()[0] or 1) * 2
