@@ -67,10 +67,10 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def listed_urls(urls: DataFrame, url: str = "url") -> DataFrame:
-    """A table of URLs to block as listed entries; weaker than any rule, and without a rule name."""
+    """A table of URLs to block as listed entries (a key may repeat); weaker than any rule, and without a rule name."""
     host, path = url_parts(F.col(url))
     key = F.concat(F.lit("u:"), canonical(host, path)).alias("key")
-    entry = urls.where(host != "").select(key).distinct()
+    entry = urls.where(host != "").select(key)
     none = F.lit(None).cast("string").alias("rule")
     return entry.select(F.lit("block").alias("verdict"), none, "key", F.lit(-1).alias("weight"))
 
