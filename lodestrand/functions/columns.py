@@ -177,12 +177,6 @@ def t_quantile(df: np.ndarray, tail: float = 0.05) -> np.ndarray:
     return (low + high) / 2
 
 
-@pandas_udf(DoubleType())
-def normal_probability(z: pd.Series) -> pd.Series:
-    """Two-sided tail probability of a standard normal value."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore").astype(float)
-
-
 def spearman_p(rho: Column, n: Column) -> Column:
     """Asymptotic two-sided p-value of a rank correlation (n - 2 degrees of freedom)."""
     t = rho * F.sqrt(ratio((n - 2).cast("double"), F.greatest(1 - rho * rho, F.lit(1e-300))))
@@ -190,9 +184,17 @@ def spearman_p(rho: Column, n: Column) -> Column:
 
 
 def hashed_index(rep: Column, pos: Column, seed: int, n: Column) -> Column:
-    """A partition-independent pseudo-random index in 0..n-1."""
-    mixed = F.pmod((rep * 7919 + pos * 104729 + F.lit(seed)) * 48271, F.lit(2147483647))
-    return F.pmod(mixed.cast("long"), n.cast("long"))
+    """A partition-independent pseudo-random index in 0..n-1.
+
+    Two rounds of a square and a shift: one square alone leaves a quadratic in the position, of which replicates
+    share the order of their values.
+    """
+    m = F.lit(2147483647).cast("long")
+    x = F.pmod(rep.cast("long") * 7919 + pos.cast("long") * 104729 + F.lit(seed).cast("long"), m)
+    for factor, shift in ((48271, 15), (69621, 13)):
+        y = F.pmod(F.pmod(x * x, m) * factor + x, m)
+        x = y.bitwiseXOR(F.shiftright(y, shift))
+    return F.pmod(x, n.cast("long"))
 
 
 def hashed_normal(rep: Column, pos: Column, seed: int) -> Column:

@@ -28,21 +28,27 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], p: bool = False) -> D
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], ties: list[str], out: str = "q") -> DataFrame:
-    """Step-up adjusted p-values within a family (a family is sorted in one task: a row per test)."""
-    own = Window.partitionBy(*family)
-    r, s = fresh(df.columns, "__r"), fresh(df.columns, "__s")
-    scaled = df.withColumn(r, F.row_number().over(own.orderBy(p, *ties))).withColumn(s, F.col(p) * F.count("*").over(own) / F.col(r))
+    """Step-up adjusted p-values within a family (a family is sorted in one task: a row per test).
+
+    A test without a p-value (null or NaN) is none: it does not count, and its q is null.
+    """
+    tested = finite(F.col(p))
+    own, r, s = Window.partitionBy(*family), fresh(df.columns, "__r"), fresh(df.columns, "__s")
+    scaled = df.withColumn(r, F.row_number().over(own.orderBy(tested.desc(), p, *ties))).withColumn(s, F.when(tested, F.col(p) * F.count_if(tested).over(own) / F.col(r)))
     least = F.min(s).over(own.orderBy(r).rowsBetween(0, Window.unboundedFollowing))
-    return scaled.withColumn(out, F.least(least, F.lit(1.0))).drop(r, s)
+    return scaled.withColumn(out, F.when(tested, F.least(least, F.lit(1.0)))).drop(r, s)
 
 
 def holm(df: DataFrame, p: str, family: list[str], ties: list[str], level: float = 0.05, out: str = "holm") -> DataFrame:
-    """Step-down adjusted p-values within a family, and whether they are below the level."""
-    own = Window.partitionBy(*family)
-    r, s = fresh(df.columns, "__r"), fresh(df.columns, "__s")
-    scaled = df.withColumn(r, F.row_number().over(own.orderBy(p, *ties))).withColumn(s, F.col(p) * (F.count("*").over(own) - F.col(r) + 1))
+    """Step-down adjusted p-values within a family, and whether they are below the level.
+
+    A test without a p-value (null or NaN) does not count; its adjusted value and ``passed`` are null.
+    """
+    tested = finite(F.col(p))
+    own, r, s = Window.partitionBy(*family), fresh(df.columns, "__r"), fresh(df.columns, "__s")
+    scaled = df.withColumn(r, F.row_number().over(own.orderBy(tested.desc(), p, *ties))).withColumn(s, F.when(tested, F.col(p) * (F.count_if(tested).over(own) - F.col(r) + 1)))
     most = F.max(s).over(own.orderBy(r).rowsBetween(Window.unboundedPreceding, 0))
-    return scaled.withColumn(out, F.least(most, F.lit(1.0))).withColumn("passed", F.col(out) < level).drop(r, s)
+    return scaled.withColumn(out, F.when(tested, F.least(most, F.lit(1.0)))).withColumn("passed", F.col(out) < level).drop(r, s)
 
 
 def pairs(df: DataFrame, t: str, v: str, by: list[str]) -> DataFrame:

@@ -106,4 +106,8 @@ def normal_sql(rep: str, pos: str, seed: int) -> str:
 
 def index_sql(rep: str, pos: str, seed: int, n: str) -> str:
     """SQL of functions.columns.hashed_index."""
-    return f"(((({rep}) * 7919 + ({pos}) * 104729 + {seed}) * 48271) % 2147483647) % ({n})"
+    x = f"((({rep})::BIGINT * 7919 + ({pos}) * 104729 + {seed}) % 2147483647)"
+    for factor, shift in ((48271, 15), (69621, 13)):
+        y = f"((({x} * {x}) % 2147483647 * {factor} + {x}) % 2147483647)"
+        x = f"xor({y}, {y} >> {shift})"
+    return f"{x} % ({n})"

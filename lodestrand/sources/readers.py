@@ -24,12 +24,14 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return [str(c).strip().strip(BOM).strip('"') for c in parts if c is not None]
 
 
-def csv_table(spark: SparkSession, path: str, schema: str, required: list[str] | None = None, where: Column | None = None, filled: bool = False) -> DataFrame:
+def csv_table(spark: SparkSession, path: str, schema: str, required: list[str] | None = None, where: Column | None = None, filled: bool = False, last_of: list[str] | None = None) -> DataFrame:
     """Header CSV with a fixed schema, its columns found by the names in the file's header.
 
     A byte order mark is tolerated and extra columns are left out; a required column (all of the
-    schema, if none are named) that the header lacks raises, as do malformed rows.  ``where`` chooses rows (one
-    station, say); with ``filled``, no row left raises.
+    schema, if none are named) that the header lacks raises, as do malformed rows.  In a folder, every file's own
+    header must be the first one's: each task checks the files it reads, and one with other columns or
+    another order raises.  ``where`` chooses rows (one station, say); with ``filled``, no row left raises.
+    ``last_of`` are keys of which the last row stays, in the order of file names and of lines.
     """
     kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema).fields}
     names = header_of(spark, path)
@@ -37,8 +39,13 @@ def csv_table(spark: SparkSession, path: str, schema: str, required: list[str] |
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     given = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names)
-    df = spark.read.csv(path, schema=given, header=True, mode="FAILFAST", enforceSchema=True).select(*[F.col(f"`{n}`") if n in names else F.lit(None).cast(k).alias(n) for n, k in kinds.items()])
+    cells = [F.col(f"`{n}`") if n in names else F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
+    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("__line")
+    df = spark.read.csv(path, schema=given, header=True, mode="FAILFAST", enforceSchema=False)
+    df = df.select(*cells, *([line] if last_of else []))
     df = df if where is None else df.where(where)
+    if last_of:
+        df = df.groupBy(*last_of).agg(F.max_by(F.struct(*[n for n in kinds if n not in last_of]), "__line").alias("__row")).select(*last_of, "__row.*").select(*kinds)
     return not_empty(df, path) if filled else df
 
 

@@ -301,3 +301,38 @@ def test_daily_stream_equals_batch(spark, tmp_path):
     key = lambda r: (str(r.d), r.event_type)
     want = {key(r): (r.n, round(r.mean, 6)) for r in daily_means(events).collect()}
     assert {key(r): (r.n, round(r.mean, 6)) for r in spark.table("daily_stream").collect()} == want
+
+
+@pytest.mark.parametrize("n", [29, 80, 400])
+def test_hashed_replicates_spread_as_they_should(spark, n):
+    """The mean of a bootstrap sample has the deviation s / sqrt(n), a permuted correlation 1 / sqrt(n - 1)."""
+    reps = 4000
+    at = spark.range(reps).select("id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
+    got = at.select("id", hashed_index(F.col("id"), F.col("pos"), 11, F.lit(n)).alias("i"), hashed_index(F.col("id"), F.col("pos"), 5, F.lit(2147483647)).alias("k"))
+    frame = got.orderBy("id", "pos").toPandas()
+    drawn, keys = (frame[c].to_numpy().reshape(reps, n) for c in ("i", "k"))
+    trend = (np.arange(n) - (n - 1) / 2) / math.sqrt((n * n - 1) / 12)
+    assert trend[drawn].mean(axis=1).std() == pytest.approx(1 / math.sqrt(n), rel=0.05)
+    orders = np.argsort(keys, axis=1, kind="stable")
+    assert len({o.tobytes() for o in orders}) > 0.97 * reps
+    assert (trend[orders] * trend).mean(axis=1).std() == pytest.approx(1 / math.sqrt(n - 1), rel=0.06)
+
+
+def test_corrections_leave_out_tests_without_p(spark):
+    df = spark.createDataFrame([("a", None), ("b", 0.01), ("c", 0.02), ("d", float("nan"))], "k string, p double")
+    got = {r.k: (r.q, r.holm, r.passed) for r in rankstats.holm(rankstats.benjamini_hochberg(df, "p", [], ["k"]), "p", [], ["k"]).collect()}
+    assert got == {"a": (None, None, None), "d": (None, None, None), "b": (0.02, 0.02, True), "c": (0.02, 0.02, True)}
+
+
+def test_csv_folders(spark, tmp_path):
+    """Files of one header are one table; another order of columns in a later file raises instead of swapping data."""
+    for name, text in (("good/a.csv", "tmin,tmax\n1,9\n"), ("good/b.csv", "tmin,tmax\n2,8\n"), ("bad/a.csv", "tmin,tmax\n1,9\n"), ("bad/b.csv", "tmax,tmin\n9,1\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    kinds = "tmax double, tmin double"
+    assert sorted(tuple(r) for r in readers.csv_table(spark, str(tmp_path / "good"), kinds).collect()) == [(8.0, 2.0), (9.0, 1.0)]
+    with pytest.raises(Exception, match="header"):
+        readers.csv_table(spark, str(tmp_path / "bad"), kinds).collect()
+    (tmp_path / "d.csv").write_bytes('﻿date,tmin\n2001-01-01,1\n2001-01-02,5\n2001-01-01,\n2001-01-02,6\n'.encode())
+    last = readers.csv_table(spark, str(tmp_path / "d.csv"), "date date, tmin double", last_of=["date"]).collect()
+    assert sorted((str(r.date), r.tmin) for r in last) == [("2001-01-01", None), ("2001-01-02", 6.0)]
