@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from lodestrand.llm.common import fresh, named, read, shared_checkpoints
+from lodestrand.llm.common import fresh, named, read, shared_checkpoints, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +48,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group stays (similarity 0.8 on five words): the one with the smallest id, a null id last.
 
     Rows are judged by numbers of their own, so rows that share an id, or have none, are told apart; ties go
-    to the smaller number.  The numbers follow the scan of ``docs``, written files that give the same
-    ones each time.  Texts without words have no copies.
+    to the smaller number.  The numbers depend on how a scan is split, so the numbered table is
+    written once and all uses read that.  Texts without words have no copies.
     """
     row = fresh(docs.columns, "__row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
     groups = near_dedup.near_duplicates(numbered, doc_id=row, percent=80).select(F.col("doc_id").alias(row), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)
     first = groups.join(numbered.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order).alias("first"))
