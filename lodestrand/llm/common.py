@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -83,6 +83,37 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFra
     return warm.unionByName(left.join(few, keys, "left_anti").join(right, keys, how))
 
 
+def ranges_for(spark: SparkSession, rows: int, each: int = 250_000) -> int:
+    """Partitions of at most about ``each`` small rows, no fewer than a shuffle has."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def placed(rows: DataFrame, key: str, order: list[str], ranges: int) -> DataFrame:
+    """Rows with their place within their key (``at``, from 0, in ``order``, nulls first) and the key's rows (``n``).
+
+    Rows are sorted over ranges, so a key with any share of them is numbered by many tasks: a range counts its rows of
+    each key, and a key's places go on from range to range (a row per key and range is all that is summed).
+    ``rows`` must be a stored table, of which ``order`` tells all rows apart, and have no other column at, n or __seq.
+    """
+    ordered = rows.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order)
+    ordered = stored(ordered.withColumn("__seq", F.monotonically_increasing_id()))
+    part = F.shiftright("__seq", 33).alias("__part")
+    spans = ordered.groupBy(key, part).agg(F.min("__seq").alias("__low"), F.count("*").alias("__rows"))
+    own = Window.partitionBy(key)
+    before = F.coalesce(F.sum("__rows").over(own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(key, "__part", (before - F.col("__low")).alias("__shift"), F.sum("__rows").over(own).alias("n"))
+    found = ordered.withColumn("__part", part).join(spans, [key, "__part"])
+    return found.select(*rows.columns, (F.col("__seq") + F.col("__shift")).alias("at"), "n")
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of an ASCII text, bit by bit."""
+    bits = ", ".join(["-1"] * 8)
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, {bits}]))"
+    turn = "CASE WHEN o >= 0 THEN xor(a, o) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda a, o: {turn}), 4294967295)"
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z and nothing else; pure ASCII strings take the faster built-in."""
     plain = F.length(column) == F.octet_length(column)

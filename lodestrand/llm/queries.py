@@ -6,6 +6,7 @@ from .chat_format import OP6_SQL, op6_chat_format
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .language_id import op7_language
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .near_dedup import op8_near_dedup
 from .neighbours import op1_neighbours
 from .packing import op2_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op5_url_filter": OP5_SQL,
     "op6_chat_format": OP6_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }

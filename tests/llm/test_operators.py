@@ -11,7 +11,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrand.llm import chat_format, common, decontaminate, language_id, line_dedup, near_dedup, neighbours, packing, secret_scan, toxicity, url_filter
+from lodestrand.llm import chat_format, common, decontaminate, language_id, line_dedup, merkle, near_dedup, neighbours, packing, secret_scan, toxicity, url_filter
 from lodestrand.llm.common import cut
 
 DOCS = "doc_id long, text string, __row string, c0 string, n int"
@@ -457,3 +457,26 @@ def test_neighbours_copies(spark, monkeypatch):
     found = neighbours.nearest(pts, pts.where("id % 100 = 0"), top=10).collect()
     got = {q: [(r.vec_id, pytest.approx(r.score)) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100, 200)}
     assert {q: [(i, d) for i, d in near] for q, near in neighbours.brute_force(rows).items()} == got
+
+
+@pytest.mark.parametrize("arity, height, seed", [(2, 10, 1), (2, 2, 2), (3, 1, 3)])
+def test_merkle_manifest(spark, arity, height, seed):
+    """Trees of any arity and block height against brute force: null keys and values, repeated rows, a hot key, many small ones."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["s", None, "é"]), rng.choice(["a", "a", "a", None, "z", f"k{i}"]), rng.choice([i, None]), rng.choice(["text é", "", None])) for i in range(120)]
+    rows += [(7, "s", "a", 1, "same")] * 9 + [(None, None, None, None, None)] * 2 + [(500, "s", "lone", 2, "w " * 200_000)]
+    names = ["doc_id", "source", "lang", "n_chars", "text", "at", "n", "tree", "__seq", "a.b"]
+    df = spark.createDataFrame([(*r, 1, 2, "t", 3, 4) for r in rows], "doc_id long, source string, lang string, n_chars long, text string, at int, n int, tree string, __seq int, `a.b` int")
+    assert df.columns == names
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf_digest([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]))
+    out = merkle.manifest(df, merkle.COLUMNS, "lang", "doc_id", {"tampered": tampered}, arity=arity, height=height)
+    digests = [merkle.as_text(F.col(c)) for c in ("leaf", "subroot", "root")]
+    got = out.select("doc_id", *digests, merkle.proof_digest(F.col("path")), merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, merkle.brute_force(rows, arity)))
+
+
+def test_merkle_of_few_rows(spark):
+    df = spark.createDataFrame([(1, "s", "a", 3, "abc")], "doc_id long, source string, lang string, n_chars long, text string")
+    (row,) = merkle.manifest(df, merkle.COLUMNS, "lang", "doc_id").collect()
+    assert bytes(row.leaf) == bytes(row.subroot) == bytes(row.root) == hashlib.sha256(b"1:11:s1:a1:33:abc").digest() and row.path == []
+    assert merkle.manifest(df.limit(0), merkle.COLUMNS, "lang", "doc_id").count() == 0
