@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP6_SQL, op6_chat_format
+from .conversation_repair import OP13_SQL, op13_conversation_repair
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .language_id import op7_language
 from .line_dedup import OP10_SQL, op10_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op6_chat_format": OP6_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }

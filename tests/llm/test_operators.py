@@ -11,7 +11,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrand.llm import chat_format, common, decontaminate, language_id, line_dedup, merkle, near_dedup, neighbours, packing, secret_scan, toxicity, url_filter
+from lodestrand.llm import chat_format, common, conversation_repair, decontaminate, language_id, line_dedup, merkle, near_dedup, neighbours, packing, secret_scan, toxicity, url_filter
 from lodestrand.llm.common import cut
 
 DOCS = "doc_id long, text string, __row string, c0 string, n int"
@@ -480,3 +480,31 @@ def test_merkle_of_few_rows(spark):
     (row,) = merkle.manifest(df, merkle.COLUMNS, "lang", "doc_id").collect()
     assert bytes(row.leaf) == bytes(row.subroot) == bytes(row.root) == hashlib.sha256(b"1:11:s1:a1:33:abc").digest() and row.path == []
     assert merkle.manifest(df.limit(0), merkle.COLUMNS, "lang", "doc_id").count() == 0
+
+
+def test_automaton_of_repairs():
+    """Edits applied to turns: inserted roles follow the turn before; trailing inserts come last."""
+    turns = [(None, "user", "a?"), (None, "tool", "b."), (None, "system", "x")]
+    events = [("K", None, None), turns[0], ("R", None, None), turns[1], ("ID", None, None), turns[2], ("I", None, None)]
+    assert list(conversation_repair.applied(events)) == [("user", "a?"), ("assistant", "b."), ("user", ""), ("assistant", "")]
+
+
+@pytest.mark.parametrize("chunk, group", [(1024, 32), (3, 2), (2, 2)])
+def test_conversation_repair(spark, monkeypatch, chunk, group):
+    """Chunks and groups of any size against a search over all ways: nulls, ties, repeats, other roles, one long conversation."""
+    monkeypatch.setattr(conversation_repair, "CHUNK", chunk)
+    monkeypatch.setattr(conversation_repair, "GROUP", group)
+    rng = random.Random(chunk)
+    roles, texts = ["user", "assistant", "system", "tool", "", None, "useful"], ["Yes.", "No?", "cut", "", " \x0b\n", None, "é! ", "a\u00a0", "x" * 3000 + "."]
+    rows = [(c, rng.choice([None, *range(6)]), rng.choice(roles[:3] * 3 + roles), rng.choice(texts[:3] * 2 + texts)) for c in [*range(25), None] for _ in range(rng.randrange(1, 9))]
+    rows += [(99, t, "user" if t % 2 else "assistant", f"t{rng.randrange(40)}" + rng.choice(".x")) for t in range(60)]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "conv_id long, turn long, role string, text string, chunk int, key string")
+    turns, found = conversation_repair.repair(df.select("conv_id", "turn", "role", "text"))
+    got = found.join(conversation_repair.repaired_digests(turns, found), "key").collect()
+    assert {r.conv_id: tuple(r[2:]) for r in got} == conversation_repair.brute_force(rows)
+    lines = conversation_repair.repaired_turns(turns, found).orderBy("key", "place").collect()
+    for r in got:
+        own = [f"{x.role}:{x.text}" for x in lines if x.key == r.key]
+        assert hashlib.sha256("\n".join(own).encode()).hexdigest() == r.repaired_sha256
+    turns, found = conversation_repair.repair(df.limit(0).select("conv_id", "turn", "role", "text"))
+    assert found.count() == 0 and conversation_repair.repaired_digests(turns, found).count() == 0
