@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP6_SQL, op6_chat_format
 from .conversation_repair import OP13_SQL, op13_conversation_repair
 from .decontaminate import OP3_SQL, op3_decontaminate
+from .embedding_dedup import op12_embedding_dedup
 from .language_id import op7_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .merkle import OP11_SQL, op11_merkle_manifest
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -11,7 +12,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrand.llm import chat_format, common, conversation_repair, decontaminate, language_id, line_dedup, merkle, near_dedup, neighbours, packing, secret_scan, toxicity, url_filter
+from lodestrand.llm import chat_format, common, conversation_repair, decontaminate, embedding_dedup, language_id, line_dedup, merkle, near_dedup, neighbours, packing, secret_scan, toxicity, url_filter
 from lodestrand.llm.common import cut
 
 DOCS = "doc_id long, text string, __row string, c0 string, n int"
@@ -508,3 +509,41 @@ def test_conversation_repair(spark, monkeypatch, chunk, group):
         assert hashlib.sha256("\n".join(own).encode()).hexdigest() == r.repaired_sha256
     turns, found = conversation_repair.repair(df.limit(0).select("conv_id", "turn", "role", "text"))
     assert found.count() == 0 and conversation_repair.repaired_digests(turns, found).count() == 0
+
+
+@pytest.mark.parametrize("kind, block", [("float", 1000), ("double", 20)])
+def test_near_vectors(spark, monkeypatch, kind, block):
+    """Copies, tight and loose groups, odd rows and several lengths against brute force; blocks and hot keys change nothing."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rng = np.random.default_rng(block)
+
+    def near(v, cosine, n):
+        u = rng.standard_normal((n, len(v)))
+        u -= np.outer(u @ v, v) / (v @ v)
+        return cosine * v + math.sqrt(1 - cosine**2) * np.linalg.norm(v) * u / np.linalg.norm(u, axis=1, keepdims=True)
+
+    x = [*rng.standard_normal((300, 48))]
+    for size, cosine in ((90, 0.99), (30, 0.995), (5, 0.97)):
+        x += [*near(x[size], cosine, size)]
+    x += [x[7] * 3.5, x[8] * 1e-3] + [x[9]] * 60
+    rows = [(int(i), v.astype(np.float32 if kind == "float" else float).tolist()) for i, v in zip(rng.permutation(len(x)), x, strict=True)]
+    rows += [(900, None), (901, []), (902, [0.0] * 48), (903, [float("nan")] * 48), (904, [None] * 48), (None, x[0].tolist()), (None, [5.0] * 48), (7, x[1].tolist()), (905, [1.0, 2.0]), (906, [1.0, 2.0]), (907, [2.0, 4.0]), (908, [1.0])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], f"vec_id long, e array<{kind}>, n int, c int")
+    want = sorted(map(str, embedding_dedup.brute_force([(i, v if v is None or None in v else np.array(v, np.float32 if kind == "float" else float).tolist()) for i, v in rows])))
+    got = sorted(str(tuple(r)) for r in embedding_dedup.near_vectors(df, "vec_id", "e", block=block).collect())
+    assert len(got) == len(want) and sum(a != b for a, b in zip(got, want, strict=True)) <= 0.02 * len(want)
+    assert embedding_dedup.near_vectors(df.limit(0), "vec_id", "e").count() == 0
+
+
+def test_tables_meet_pairs_at_the_threshold():
+    """Codes are balanced, and pairs at the threshold that the index was not measured on meet in some table."""
+    rng = np.random.default_rng(5)
+    index = embedding_dedup.Index(rng.standard_normal((4000, 64)), 50_000, 0.95)
+    x = embedding_dedup.unit(rng.standard_normal((4000, 64)))
+    other = embedding_dedup.unit(index.at_threshold(x, 0.95, rng))
+    assert (x * other).sum(axis=1) == pytest.approx(np.full(4000, 0.95), abs=1e-9)
+    keys = index.keys(x)
+    assert (keys == index.keys(other)).any(axis=1).mean() > 0.99
+    assert np.mean([np.bincount(k & 1, minlength=2).min() / len(k) for k in keys.T]) > 0.45
+    meets = np.mean([(keys[:, t] == np.roll(keys[:, t], 1)).mean() for t in range(index.tables)])
+    assert meets < 1e-3
