@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import StructType
 
 from ..functions.columns import correlation, finite, fresh, ratio, spearman_p
+from ..functions.ranks import kendall_sum, leave_one_out_rho, theil_sen_line
 
 
 def midrank(value: str, by: list[str]) -> Column:
@@ -51,17 +52,44 @@ def holm(df: DataFrame, p: str, family: list[str], ties: list[str], level: float
     return scaled.withColumn(out, F.when(tested, F.least(most, F.lit(1.0)))).withColumn("passed", F.col(out) < level).drop(r, s)
 
 
-def pairs(df: DataFrame, t: str, v: str, by: list[str]) -> DataFrame:
-    """Pairs of rows of a series in order of time (n * (n - 1) / 2 by definition: for annual series)."""
-    early = df.select(*by, F.col(t).alias("t0"), F.col(v).alias("v0"))
-    late = df.select(*by, F.col(t).alias("t1"), F.col(v).alias("v1"))
-    return early.join(late, by).where("t0 < t1")
+def by_series(df: DataFrame, by: list[str], columns: list[str], out: str, run) -> DataFrame:
+    """``run`` on the columns (as double arrays) of each series: one task holds a series, and only these columns of it.
+
+    ``run`` returns a list of tuples in the order of ``out``.  Rows with a value that is not finite are left out.
+    """
+    names = [f"__c{i}" for i in range(len(columns))]
+    good = reduce(lambda a, b: a & b, [finite(F.col(c)) for c in columns])
+    rows = df.where(good).select(*by, *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)])
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by]
+    fields = [f.name for f in StructType.fromDDL(out).fields]
+
+    def each(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found = run(*[frame[n].to_numpy() for n in names])
+        return pd.DataFrame([(*key, *r) for r in found], columns=[*by, *fields])
+
+    return rows.groupBy(*by).applyInPandas(each, ", ".join([*kinds, out]))
 
 
 def kendall(df: DataFrame, t: str, v: str, by: list[str]) -> DataFrame:
-    """Kendall's S and tau-b of a series against time: n, s, ties (pairs of equal values), tau."""
-    pair = pairs(df, t, v, by).groupBy(*by).agg(F.sum(F.signum(F.col("v1") - F.col("v0"))).cast("long").alias("s"), F.count("*").alias("n0"), F.count_if(F.col("v1") == F.col("v0")).alias("ties"))
-    return pair.withColumn("tau", F.col("s") / F.sqrt(F.col("n0") * (F.col("n0") - F.col("ties")).cast("double")))
+    """Kendall's S and tau-b of a series against time: n, s, n0 (pairs of different times), ties (pairs of equal values), tau.
+
+    Pairs are counted by merges (n log n), never made; ``ranges.kendall`` counts a series that is too long for one task.
+    Rows without a finite time and value do not count; tau is null where all times, or all values, are equal.
+    """
+
+    def run(t: np.ndarray, v: np.ndarray) -> list[tuple]:
+        return [kendall_row(len(t), *kendall_sum(t, v))]
+
+    return by_series(df, by, [t, v], KENDALL, run)
+
+
+KENDALL = "n long, s long, n0 long, ties long, tau double"
+
+
+def kendall_row(n: int, s: int, tied_t: int, tied_v: int) -> tuple:
+    every = n * (n - 1) // 2
+    scale = math.sqrt((every - tied_t) * (every - tied_v))
+    return n, s, every - tied_t, tied_v, s / scale if scale else None
 
 
 def mahonian_p(n: int, s: int) -> float:
@@ -83,63 +111,58 @@ def kendall_p(n: int, s: int, tie_sizes: list[int]) -> float:
     if not tie_sizes and n <= 33:
         return mahonian_p(n, s)
     variance = (n * (n - 1) * (2 * n + 5) - sum(k * (k - 1) * (2 * k + 5) for k in tie_sizes)) / 18
-    return 2 * (1 - NormalDist().cdf(abs(s) / math.sqrt(variance)))
+    return math.erfc(abs(s) / math.sqrt(2 * variance)) if variance > 0 else 1.0
 
 
-@pandas_udf(DoubleType())
-def kendall_probability(n: pd.Series, s: pd.Series, tied: pd.Series) -> pd.Series:
-    """``kendall_p`` of each row; ``tied`` is the sum of k (k - 1) (2 k + 5) over the ties."""
-    out = []
-    for count, total, ties in zip(n, s, tied, strict=True):
-        if not ties and count <= 33:
-            out.append(mahonian_p(int(count), int(total)))
-        else:
-            variance = (count * (count - 1) * (2 * count + 5) - ties) / 18
-            out.append(math.erfc(abs(total) / math.sqrt(2 * variance)) if variance > 0 else None)
-    return pd.Series(out, dtype=float)
+def theil_sen(df: DataFrame, t: str, v: str, by: list[str], z: float = 1.959964) -> DataFrame:
+    """Median pairwise slope and its rank confidence limits: n, slope, low, high.
 
+    The order statistics are found by counting (``functions.ranks.ranked_slopes``), so no pair of a series is made.
+    """
 
-def tie_sums(df: DataFrame, v: str, by: list[str]) -> DataFrame:
-    """n and the sum of k (k - 1) (2 k + 5) over the ties of each series."""
-    k = fresh(by, "__k")
-    return df.groupBy(*by, v).agg(F.count("*").alias(k)).groupBy(*by).agg(F.sum(k).alias("n"), F.sum(F.expr(f"{k} * ({k} - 1) * (2 * {k} + 5)")).alias("tied"))
+    def run(t: np.ndarray, v: np.ndarray) -> list[tuple]:
+        return [(len(t), *map(none, theil_sen_line(t, v, z)))]
 
+    return by_series(df, by, [t, v], "n long, slope double, low double, high double", run)
 
-def theil_sen(df: DataFrame, t: str, v: str, by: list[str], z: float = 1.959964) -> DataFrame:
-    """Median pairwise slope and its rank confidence limits: n, slope, low, high.
 
-    The order statistics are picked from the ranked slopes, a sort that spills, so no group is gathered.
-    """
-    slopes = pairs(df, t, v, by).select(*by, F.try_divide(F.col("v1") - F.col("v0"), (F.col("t1") - F.col("t0")).cast("double")).alias("slope")).where("slope IS NOT NULL")
-    own = Window.partitionBy(*by)
-    ranked = slopes.select("*", (F.row_number().over(own.orderBy("slope")) - 1).alias("r"), F.count("*").over(own).alias("m"))
-    spread = F.expr(f"{z}D * sqrt((n * (n - 1) * (2 * n + 5) - tied) / 18.0D)")
-    high = F.least(F.rint((F.col("m") + spread) / 2), F.col("m") - F.lit(1.0)).cast("int")
-    low = F.greatest(F.rint((F.col("m") - spread) / 2) - 1, F.lit(0.0)).cast("int")
-    middle = (F.col("r") == F.expr("(m - 1) div 2")) | (F.col("r") == F.expr("m div 2"))
-    picked = {"slope": F.avg(F.when(middle, F.col("slope"))), "low": F.max(F.when(F.col("r") == low, F.col("slope"))), "high": F.max(F.when(F.col("r") == high, F.col("slope")))}
-    return ranked.join(tie_sums(df, v, by), by).groupBy(*by).agg(F.max("n").alias("n"), *[c.alias(k) for k, c in picked.items()])
+def none(x: float) -> float | None:
+    return None if x != x else float(x)
 
 
 def trend(df: DataFrame, t: str, v: str, by: list[str], ends: int = 5) -> DataFrame:
     """The trend of each series: n, first and last t, tau, p, slope and its limits, intercept, means of the first and last
-    ``ends`` values and their change in per cent."""
-    rows = df.where(finite(F.col(t)) & finite(F.col(v))).select(*by, t, v)
-    tau = kendall(rows, t, v, by).join(tie_sums(rows, v, by), by)
-    tau = tau.select(*by, "tau", kendall_probability(F.col("n").cast("double"), F.col("s").cast("double"), F.col("tied").cast("double")).alias("p"))
-    lines = theil_sen(rows, t, v, by)
-    own = Window.partitionBy(*by)
-    placed = rows.join(lines.select(*by, "slope"), by).select("*", F.row_number().over(own.orderBy(t)).alias("a"), F.row_number().over(own.orderBy(F.desc(t))).alias("b"))
-    mean = {"first_mean": F.avg(F.when(F.col("a") <= ends, F.col(v))), "last_mean": F.avg(F.when(F.col("b") <= ends, F.col(v)))}
-    rest = placed.groupBy(*by).agg(F.min(t).alias("first"), F.max(t).alias("last"), F.percentile(F.col(v) - F.col("slope") * F.col(t), F.lit(0.5)).alias("intercept"), *[c.alias(k) for k, c in mean.items()])
-    return lines.join(tau, by).join(rest, by).withColumn("change_pct", 100 * (ratio(F.col("last_mean"), F.col("first_mean")) - 1))
+    ``ends`` values and their change in per cent; one shuffle by series."""
+
+    def run(t: np.ndarray, v: np.ndarray) -> list[tuple]:
+        order = np.argsort(t, kind="stable")
+        t, v = t[order], v[order]
+        n, s, _, _, tau = kendall_row(len(t), *kendall_sum(t, v))
+        sizes = np.unique(v, return_counts=True)[1]
+        p = kendall_p(n, s, [int(k) for k in sizes if k > 1]) if tau is not None else None
+        slope, low, high = theil_sen_line(t, v, 1.959964)
+        head, tail = float(v[:ends].mean()), float(v[-ends:].mean())
+        change = 100 * (tail / head - 1) if head else None
+        return [(n, t[0], t[-1], tau, p, *map(none, (slope, low, high, float(np.median(v - slope * t)))), head, tail, change)]
+
+    out = by_series(df, by, [t, v], "n long, first double, last double, tau double, p double, slope double, low double, high double, intercept double, first_mean double, last_mean double, change_pct double", run)
+    return out.withColumns({c: F.col(c).cast(df.schema[t].dataType) for c in ("first", "last")})
 
 
 def leave_one_out(df: DataFrame, x: str, y: str, by: list[str], key: str) -> DataFrame:
-    """Rank correlation without each key in turn: by, omitted, rho (n * n rows by definition: for annual series)."""
-    omitted = df.select(*by, F.col(key).alias("omitted")).distinct()
-    rows = df.select(*by, key, x, y).join(omitted, by).where(F.col(key) != F.col("omitted"))
-    return spearman(rows, x, y, [*by, "omitted"]).drop("n")
+    """Rank correlation without each row in turn: by, omitted (its key), rho.
+
+    Sums of midranks are updated in closed form, n log n for a series.  A key names one row of its series; rows without
+    finite values take no part.
+    """
+    place = fresh(df.columns, "__place")
+    named = df.where(finite(F.col(x)) & finite(F.col(y))).withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(key)))
+
+    def run(place: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple]:
+        return [(int(p), none(r)) for p, r in zip(place, leave_one_out_rho(x, y), strict=True)]
+
+    rhos = by_series(named, by, [place, x, y], f"`{place}` int, rho double", run)
+    return named.select(*by, place, F.col(key).alias("omitted")).join(rhos, [*by, place]).select(*by, "omitted", "rho")
 
 
 def leave_one_out_summary(df: DataFrame, x: str, y: str, by: list[str], key: str) -> DataFrame:

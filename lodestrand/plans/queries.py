@@ -384,7 +384,31 @@ WITH {PANEL}, k AS (
   FROM panel a JOIN panel b ON a.grp = b.grp AND a.m < b.m GROUP BY a.grp)
 SELECT grp, s, n0, ties, round(s / sqrt(n0 * (n0 - ties)::DOUBLE), 6) AS tau FROM k""")
 def kendall_tau(spark, d):
-    return rounded(rankstats.kendall(panel(spark, d), "m", "n", ["grp"]), "tau")
+    return rounded(rankstats.kendall(panel(spark, d), "m", "n", ["grp"]), "tau").select("grp", "s", "n0", "ties", "tau")
+
+
+@query(f"""
+WITH {PANEL}, p AS (SELECT grp, m // 3 AS t, CASE WHEN m % 7 <> 0 THEN floor(y / 5000) END AS v FROM panel), f AS (SELECT * FROM p WHERE v IS NOT NULL),
+k AS (SELECT a.grp, CAST(sum(sign(b.v - a.v)) AS BIGINT) AS s, count(*) AS n0 FROM f a JOIN f b ON a.grp = b.grp AND a.t < b.t GROUP BY a.grp),
+c AS (SELECT grp, sum(k)::BIGINT AS n, CAST(sum(k * (k - 1) // 2) AS BIGINT) AS ties FROM (SELECT grp, v, count(*) AS k FROM f GROUP BY ALL) GROUP BY grp)
+SELECT grp, n, s, n0, ties, round(s / sqrt(n0::DOUBLE * (n * (n - 1) // 2 - ties)), 6) AS tau FROM k JOIN c USING (grp)""")
+def kendall_ties(spark, d):
+    """Quarters with several values, equal values and missing ones: tau-b with both ties."""
+    p = panel(spark, d).select("grp", F.floor(F.col("m") / 3).alias("t"), F.when(F.col("m") % 7 != 0, F.floor(F.col("y") / 5000)).alias("v"))
+    return rounded(rankstats.kendall(p, "t", "v", ["grp"]), "tau")
+
+
+@query(f"""
+WITH {TESTS}, c AS (SELECT family, id, CASE WHEN id % 3 <> 0 THEN p END AS p FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS k, count(*) OVER (PARTITION BY family) AS n FROM c WHERE p IS NOT NULL),
+a AS (SELECT family, id, least(min(p * n / k) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS q,
+             least(max((n - k + 1) * p) OVER (PARTITION BY family ORDER BY k ROWS UNBOUNDED PRECEDING), 1) AS holm FROM r)
+SELECT c.family, c.id, round(q, 8) AS q, round(holm, 8) AS holm, holm < 0.05 AS passed FROM c LEFT JOIN a USING (family, id)""")
+def corrections_with_nulls(spark, d):
+    """Tests without a p-value do not count and stay without an adjusted one."""
+    tests = tests_of(spark, d).withColumn("p", F.when(F.col("id") % 3 != 0, F.col("p")))
+    both = rankstats.holm(rankstats.benjamini_hochberg(tests, "p", ["family"], ["id"]), "p", ["family"], ["id"])
+    return rounded(both, "q", "holm", to=8).select("family", "id", "q", "holm", "passed")
 
 
 @query(f"""
