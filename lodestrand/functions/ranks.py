@@ -113,12 +113,12 @@ def ranked_slopes(t: np.ndarray, v: np.ndarray, ranks: list[int], seed: int = 1)
     guesses = np.sort((v[i][apart] - v[j][apart]) / (t[i][apart] - t[j][apart]))
     if not len(guesses):
         return [float("nan")] * len(ranks)
-    total, few, scale = n * (n - 1) // 2 - tied_pairs(t), max(4 * n, 1000), float(np.abs(guesses).mean())
+    limit = (v.max() - v.min()) / np.diff(np.unique(t)).min()
+    total, few, scale = n * (n - 1) // 2 - tied_pairs(t), max(4 * n, 1000), max(float(np.abs(guesses).mean()), 1e-6 * limit) or 1.0
 
     def beside(m: float) -> float:
         return m + (1 + rng.random()) * 1e-9 * max(abs(m), scale)
 
-    limit = (v.max() - v.min()) / np.diff(np.unique(t)).min()
     out = []
     for rank in ranks:
         low, high, below, upto = -2 * limit - 1.0, 2 * limit + 1.0, 0, total
