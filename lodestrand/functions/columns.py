@@ -197,6 +197,16 @@ def hashed_index(rep: Column, pos: Column, seed: int, n: Column) -> Column:
     return F.pmod(x, n.cast("long"))
 
 
+def hashed_indices(rep: np.ndarray, pos: np.ndarray, seed: int, n: int) -> np.ndarray:
+    """``hashed_index`` of arrays (that broadcast against each other)."""
+    m = 2147483647
+    x = (rep.astype(np.int64) * 7919 + pos.astype(np.int64) * 104729 + seed) % m
+    for factor, shift in ((48271, 15), (69621, 13)):
+        y = (x * x % m * factor + x) % m
+        x = y ^ (y >> shift)
+    return x % n
+
+
 def hashed_normal(rep: Column, pos: Column, seed: int) -> Column:
     """A standard normal draw that depends on its arguments alone (Box-Muller on two squared congruences)."""
     m = 2147483647

@@ -28,6 +28,23 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], p: bool = False) -> D
     return out.withColumn("p", spearman_p(F.col("rho"), F.col("n"))) if p else out
 
 
+def quantiles(df: DataFrame, value: str, by: list[str], at: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles (name -> share) of the finite values of each group, and their number ``n``.
+
+    Values are sorted with spill and the neighbours of each place are picked, so no group's values are held in memory.
+    """
+    own = Window.partitionBy(*by)
+    v, r, n = (fresh(by, c) for c in ("__v", "__r", "__n"))
+    rows = df.where(finite(F.col(value))).select(*by, F.col(value).cast("double").alias(v))
+    ranked = rows.select("*", (F.row_number().over(own.orderBy(v)) - 1).alias(r), F.count("*").over(own).alias(n))
+    cells = [F.max(n).alias("n")]
+    for name, q in at.items():
+        place = (F.col(n) - 1) * F.lit(float(q))
+        low, high = (F.max(F.when(F.col(r) == f(place), F.col(v))) for f in (F.floor, F.ceil))
+        cells.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return ranked.groupBy(*by).agg(*cells)
+
+
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], ties: list[str], out: str = "q") -> DataFrame:
     """Step-up adjusted p-values within a family (a family is sorted in one task: a row per test).
 

@@ -1,16 +1,80 @@
 """Resampling with hashed indices: the same draws on any number of partitions.
 
-A replicate of a series is a set of rows (replicates x length rows in all), so the work is spread
-by series and replicate; nothing but statistics leaves the tasks.
+A table of series with up to ``MAX_ROWS`` rows goes to every task, and tasks share out the *numbers* of the replicates:
+nothing but statistics is shuffled, whatever their count.  A larger table stays where it is and its replicates are
+made by joins (replicates x length rows, spread by series and replicate).  Both give the same values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation, hashed_index, hashed_normal
-from .rankstats import midrank
+from ..functions.columns import correlation, finite, hashed_index, hashed_indices, hashed_normal
+from ..functions.ranks import dense, midranks
+from .rankstats import midrank, quantiles
+
+#: Rows that every task may hold (a few numbers each).
+MAX_ROWS = 1_000_000
+#: Drawn values that a task holds at once.
+CELLS = 1_000_000
+
+
+def replicated(df: DataFrame, by: list[str], order: list[str], columns: list[str], reps: int, out: str, run: Callable) -> DataFrame | None:
+    """``run(arrays, first, last)`` for every series and range of replicate numbers: by and ``out`` (None: too many rows).
+
+    ``arrays`` are the columns of one series in order, as doubles; ``run`` returns columns in the order of ``out``.
+    """
+    spark = df.sparkSession
+    local = df.select(*by, *order, *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(columns)]).limit(MAX_ROWS + 1).toPandas()
+    if len(local) > MAX_ROWS:
+        return None
+    local = local.sort_values([*by, *order], kind="stable")
+    parts = [(k if isinstance(k, tuple) else (k,), g) for k, g in local.groupby(by, sort=False, dropna=False)] if by else [((), local)]
+    series = [(key, [g[f"__c{i}"].to_numpy() for i in range(len(columns))]) for key, g in parts if len(g)]
+    tasks = []
+    for i, (_, arrays) in enumerate(series):
+        each = max(1, CELLS // len(arrays[0]))
+        tasks += [(i, at, min(at + each, reps)) for at in range(0, reps, each)]
+    shared = spark.sparkContext.broadcast(series)
+
+    def work(frames):
+        for frame in frames:
+            for i, first, last in zip(frame["i"], frame["first"], frame["last"], strict=True):
+                key, arrays = shared.value[i]
+                found = run(arrays, int(first), int(last))
+                yield pd.DataFrame({**{n: [v] * len(found[0]) for n, v in zip(by, key, strict=True)}, **dict(zip(names, found, strict=True))})
+
+    names = [c.split()[0] for c in out.split(", ")]
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    return spark.createDataFrame(tasks, "i int, first long, last long").mapInPandas(work, kinds + out)
+
+
+def drawn_places(n: int, first: int, last: int, seed: int, block: int = 1) -> np.ndarray:
+    """Places of the drawn rows: a line per replicate (moving blocks of ``block`` rows)."""
+    pos = np.arange(n)
+    at = hashed_indices(np.arange(first, last)[:, None], pos // block, seed, max(n - block + 1, 1)) + pos % block
+    return np.minimum(at, n - 1)
+
+
+def drawn_midranks(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Midranks within each line of drawn rows, by counting: no line is sorted."""
+    place = dense(x)
+    k = place.max() + 1
+    own = place[at] + np.arange(len(at))[:, None] * k
+    counts = np.bincount(own.ravel(), minlength=len(at) * k).reshape(len(at), k)
+    return (np.cumsum(counts, axis=1) - (counts - 1) / 2).ravel()[own]
+
+
+def line_correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pearson correlation of each line of a with that of b (NaN without variance)."""
+    a, b = a - a.mean(axis=-1, keepdims=True), b - b.mean(axis=-1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (a * b).sum(axis=-1) / np.sqrt((a * a).sum(axis=-1) * (b * b).sum(axis=-1))
 
 
 def positioned(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -30,20 +94,62 @@ def drawn(df: DataFrame, by: list[str], order: list[str], reps: int, seed: int,
 
 
 def interval(df: DataFrame, value: str, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Exact percentile limits of finite replicates."""
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("reps"), F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high"))
+    """Exact percentile limits of finite replicates: by, reps, low, high."""
+    return quantiles(df, value, by, {"low": low, "high": high}).withColumnRenamed("n", "reps")
 
 
 def bootstrap_rho(df: DataFrame, x: str, y: str, by: list[str], order: list[str], reps: int, seed: int, block: int = 1) -> DataFrame:
     """Percentile interval of the rank correlation over paired (block) bootstrap samples."""
-    sample = drawn(df, by, order, reps, seed, block)
-    each = [*by, "rep"]
-    ranked = sample.select(*each, midrank(x, each).alias("__x"), midrank(y, each).alias("__y"))
-    return interval(ranked.groupBy(*each).agg(correlation("__x", "__y").alias("rho")), "rho", by)
+
+    df = df.where(finite(F.col(x)) & finite(F.col(y)))
+
+    def run(arrays: list[np.ndarray], first: int, last: int) -> list[np.ndarray]:
+        at = drawn_places(len(arrays[0]), first, last, seed, block)
+        return [np.arange(first, last), line_correlations(*[drawn_midranks(a, at) for a in arrays])]
+
+    rhos = replicated(df, by, order, [x, y], reps, "rep long, rho double", run)
+    if rhos is None:
+        sample, each = drawn(df, by, order, reps, seed, block), [*by, "rep"]
+        ranked = sample.select(*each, midrank(x, each).alias("__x"), midrank(y, each).alias("__y"))
+        rhos = ranked.groupBy(*each).agg(correlation("__x", "__y").alias("rho"))
+    return interval(rhos, "rho", by)
+
+
+def bootstrap_errors(df: DataFrame, error: str, by: list[str], order: list[str], reps: int, seed: int) -> DataFrame:
+    """Mean absolute and root mean square error of every bootstrap sample: by, rep, mae, rmse."""
+
+    df = df.where(finite(F.col(error)))
+
+    def run(arrays: list[np.ndarray], first: int, last: int) -> list[np.ndarray]:
+        e = arrays[0][drawn_places(len(arrays[0]), first, last, seed)]
+        return [np.arange(first, last), np.abs(e).mean(axis=1), np.sqrt((e * e).mean(axis=1))]
+
+    found = replicated(df, by, order, [error], reps, "rep long, mae double, rmse double", run)
+    if found is None:
+        sample = drawn(df, by, order, reps, seed)
+        found = sample.groupBy(*by, "rep").agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse"))
+    return found
 
 
 def permutation_p(df: DataFrame, x: str, y: str, by: list[str], order: list[str], reps: int, seed: int) -> DataFrame:
-    """Two-sided permutation p-value of the rank correlation: (1 + extreme) / (1 + reps)."""
+    """Two-sided permutation p-value of the rank correlation: by, rho, extreme, p = (1 + extreme) / (1 + reps)."""
+
+    df = df.where(finite(F.col(x)) & finite(F.col(y)))
+
+    def run(arrays: list[np.ndarray], first: int, last: int) -> list[np.ndarray]:
+        rx, ry = map(midranks, arrays)
+        observed = line_correlations(rx, ry)
+        keys = hashed_indices(np.arange(first, last)[:, None], np.arange(len(rx)), seed, 2147483647)
+        rhos = line_correlations(rx[np.argsort(keys, axis=1, kind="stable")], ry)
+        return [np.array([observed]), np.array([int((np.abs(rhos) >= abs(observed) - 1e-12).sum())])]
+
+    parts = replicated(df, by, order, [x, y], reps, "rho double, extreme long", run)
+    out = shuffled_p(df, x, y, by, order, reps, seed) if parts is None else parts.groupBy(*by).agg(F.max("rho").alias("rho"), F.sum("extreme").alias("extreme"))
+    return out.withColumn("p", F.when(F.col("rho").isNotNull(), (F.col("extreme") + 1) / F.lit(float(reps + 1))))
+
+
+def shuffled_p(df: DataFrame, x: str, y: str, by: list[str], order: list[str], reps: int, seed: int) -> DataFrame:
+    """The observed rank correlation and the permutations that are as extreme, by joins."""
     ranked = positioned(df.select(*by, *order, midrank(x, by).alias("__x"), midrank(y, by).alias("__y")), by, order)
     observed = ranked.groupBy(*by).agg(correlation("__x", "__y").alias("observed"))
     shuffled = ranked.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
@@ -52,8 +158,7 @@ def permutation_p(df: DataFrame, x: str, y: str, by: list[str], order: list[str]
     moved = shuffled.select(*by, "rep", "__x", place.alias("pos")).join(ranked.select(*by, "pos", "__y"), [*by, "pos"])
     rhos = moved.groupBy(*by, "rep").agg(correlation("__x", "__y").alias("rho"))
     extreme = F.count_if(F.abs("rho") >= F.abs("observed") - 1e-12)
-    out = rhos.join(observed, by).groupBy(*by).agg(F.max("observed").alias("rho"), extreme.alias("extreme"))
-    return out.withColumn("p", (F.col("extreme") + 1) / F.lit(float(reps + 1)))
+    return rhos.join(observed, by).groupBy(*by).agg(F.max("observed").alias("rho"), extreme.alias("extreme"))
 
 
 def scenario_paths(trends: DataFrame, models: DataFrame, errors: DataFrame, by: list[str], years: int, draws: int, offsets: dict[str, float], noise: float, seed: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, fresh, ratio
+from .rankstats import quantiles
 
 
 def metrics(df: DataFrame, actual: str, predicted: str, by: list[str]) -> DataFrame:
@@ -25,8 +26,8 @@ def baseline_gate(scored: DataFrame, by: list[str], model: str, baselines: list[
 
 def empirical_intervals(df: DataFrame, actual: str, predicted: str, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Rows with an interval from the quantiles of their group's errors (floored at 0) and ``covered``."""
-    lo, hi = fresh(df.columns, "__lo"), fresh(df.columns, "__hi")
-    limits = df.groupBy(*by).agg(*[F.percentile(F.col(actual) - F.col(predicted), F.lit(q)).alias(n) for n, q in ((lo, low), (hi, high))])
+    e, lo, hi = (fresh(df.columns, n) for n in ("__e", "__lo", "__hi"))
+    limits = quantiles(df.withColumn(e, F.col(actual) - F.col(predicted)), e, by, {lo: low, hi: high}).drop("n")
     out = df.join(limits, by)
     lower, upper = F.greatest(F.col(predicted) + F.col(lo), F.lit(0.0)), F.col(predicted) + F.col(hi)
     return out.select(*df.columns, lower.alias("lower"), upper.alias("upper")).withColumn("covered", F.col(actual).between(F.col("lower"), F.col("upper")))

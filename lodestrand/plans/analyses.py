@@ -214,9 +214,19 @@ SELECT grp, o1.n, round(o1.rho, 6) AS rho, CASE WHEN o1.rho > 0 THEN 'positive'
 FROM o1 JOIN ci USING (grp) JOIN hm USING (grp) JOIN f_c USING (grp) WHERE f_c.term = 'x1'""")
 def association_bundle(spark, d):
     """Rank correlation, bootstrap interval, permutation p with Holm's correction, and the slope of a log-linear fit."""
+    return associations(spark, d, 200, 200)
+
+
+@query()
+def association_bundle_full(spark, d):
+    """The same at the published counts: 10,000 bootstrap samples and 100,000 permutations of each series."""
+    return associations(spark, d, 10_000, 100_000)
+
+
+def associations(spark: SparkSession, d: str, samples: int, permutations: int) -> DataFrame:
     rows = joined(spark, d)
-    interval = resample.bootstrap_rho(rows, "x1", "y", ["grp"], ["m"], 200, 41).drop("reps")
-    tested = rankstats.holm(resample.permutation_p(rows, "x1", "y", ["grp"], ["m"], 200, 43), "p", [], ["grp"])
+    interval = resample.bootstrap_rho(rows, "x1", "y", ["grp"], ["m"], samples, 41).drop("reps")
+    tested = rankstats.holm(resample.permutation_p(rows, "x1", "y", ["grp"], ["m"], permutations, 43), "p", [], ["grp"])
     slope = linear.ols(rows, ["x1"], "y", ["grp"], "m", log1p=True)[0].where("term = 'x1'").select("grp", "n", F.col("coef").alias("beta"), "percent_effect")
     direction = F.when(F.col("rho") > 0, "positive").when(F.col("rho") < 0, "negative").otherwise("zero")
     out = tested.join(interval, "grp").join(slope, "grp").withColumn("direction", direction)
@@ -301,10 +311,9 @@ SELECT model, count(*) AS reps, round(quantile_cont(mae, 0.025), 3) AS mae_low,
        round(quantile_cont(rmse, 0.025), 3) AS rmse_low, round(quantile_cont(rmse, 0.975), 3) AS rmse_high FROM b GROUP BY model""")
 def error_bootstrap_both(spark, d):
     errors = forecasts(spark, d).select("model", "grp", "m", (F.col("y") - F.col("p")).alias("e"))
-    sample = resample.drawn(errors, ["model"], ["grp", "m"], 200, 37)
-    each = sample.groupBy("model", "rep").agg(F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
-    limits = [F.round(F.percentile(c, F.lit(q)), 3).alias(f"{c}_{n}") for c in ("mae", "rmse") for n, q in (("low", 0.025), ("high", 0.975))]
-    return each.groupBy("model").agg(F.count("*").alias("reps"), *limits)
+    each = resample.bootstrap_errors(errors, "e", ["model"], ["grp", "m"], 200, 37)
+    mae, rmse = (resample.interval(each, c, ["model"]).select("model", "reps", F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high")) for c in ("mae", "rmse"))
+    return rounded(mae.join(rmse.drop("reps"), "model"), "mae_low", "mae_high", "rmse_low", "rmse_high", to=3)
 
 
 @query(f"""

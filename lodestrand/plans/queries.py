@@ -63,9 +63,10 @@ SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 3) AS mean, round(medi
        round(min(c_acctbal), 3) AS low, round(max(c_acctbal), 3) AS high
 FROM customer GROUP BY ALL""")
 def panel_summary(spark, d):
-    cells = {"mean": F.avg, "median": F.median, "low": F.min, "high": F.max}
-    out = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), *[f("c_acctbal").alias(k) for k, f in cells.items()])
-    return rounded(out, *cells, to=3)
+    rows, cells = table(spark, d, "customer"), {"mean": F.avg, "low": F.min, "high": F.max}
+    out = rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), *[f("c_acctbal").alias(k) for k, f in cells.items()])
+    middle = rankstats.quantiles(rows, "c_acctbal", ["c_mktsegment"], {"median": 0.5}).drop("n")
+    return rounded(out.join(middle, "c_mktsegment"), *cells, "median", to=3)
 
 
 @query("""
@@ -74,7 +75,7 @@ SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.025), 6) AS q025, round(qu
 FROM customer GROUP BY ALL""")
 def quantile_type7(spark, d):
     cells = {"q025": 0.025, "q25": 0.25, "q975": 0.975}
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(*[r6(F.percentile("c_acctbal", F.lit(q))).alias(k) for k, q in cells.items()])
+    return rounded(rankstats.quantiles(table(spark, d, "customer"), "c_acctbal", ["c_mktsegment"], cells).drop("n"), *cells)
 
 
 @query("""
@@ -701,6 +702,5 @@ b AS (SELECT sm.model, sm.rep, avg(abs(p.e)) AS mae FROM sm JOIN p ON p.model =
 SELECT model, count(*) AS reps, round(quantile_cont(mae, 0.025), 3) AS low, round(quantile_cont(mae, 0.975), 3) AS high FROM b GROUP BY model""")
 def error_bootstrap_ci(spark, d):
     errors = forecasts(spark, d).select("model", "grp", "m", (F.col("y") - F.col("p")).alias("e"))
-    sample = resample.drawn(errors, ["model"], ["grp", "m"], 200, 31)
-    maes = sample.groupBy("model", "rep").agg(F.avg(F.abs("e")).alias("mae"))
+    maes = resample.bootstrap_errors(errors, "e", ["model"], ["grp", "m"], 200, 31)
     return rounded(resample.interval(maes, "mae", ["model"]), "low", "high", to=3)

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestrand.functions import ranks
-from lodestrand.operators import rankstats
+from lodestrand.operators import rankstats, resample
 
 VALUES = st.lists(st.tuples(st.integers(0, 12), st.integers(-4, 4)), min_size=1, max_size=40)
 
@@ -78,3 +79,37 @@ def test_null_values_do_not_count(spark):
     assert lines == {"a": (3, 1.0), "b": (1, None)}
     whole = rankstats.kendall(df, "t", "v", []).first()
     assert whole.n == 4
+
+
+def test_replicates_by_tasks_equal_replicates_by_joins(spark, monkeypatch):
+    """The same draws whether the series go to the tasks or stay; ties, a constant series, blocks."""
+    rng = np.random.default_rng(4)
+    rows = [(g, i, float(rng.integers(0, 9)) if g != "c" else 1.0, float(rng.normal())) for g, n in (("a", 31), ("b", 12), ("c", 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, t int, x double, y double")
+
+    def results():
+        out = [resample.bootstrap_rho(df, "x", "y", ["g"], ["t"], 60, 3, block=b) for b in (1, 4)]
+        out += [resample.permutation_p(df, "x", "y", ["g"], ["t"], 60, 5), resample.bootstrap_errors(df, "y", ["g"], ["t"], 40, 7).groupBy("g").agg(F.sum("mae").alias("mae"), F.max("rmse").alias("rmse"))]
+        return [sorted(str([x if x is None or isinstance(x, str) else round(x, 9) for x in r]) for r in o.collect()) for o in out]
+
+    local = results()
+    monkeypatch.setattr(resample, "MAX_ROWS", 10)
+    assert results() == local
+
+
+def test_published_counts_of_replicates(spark):
+    """A hundred thousand permutations and ten thousand samples: p and interval near theory."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=29)
+    df = spark.createDataFrame([("a", i, float(v), float(w)) for i, (v, w) in enumerate(zip(x, 0.4 * x + rng.normal(size=29), strict=True))], "g string, t int, x double, y double")
+    row = resample.permutation_p(df, "x", "y", ["g"], ["t"], 100_000, 1).first()
+    want = rankstats.spearman(df, "x", "y", ["g"], p=True).first()
+    assert row.rho == pytest.approx(want.rho) and row.p == pytest.approx(want.p, rel=0.1, abs=0.003)
+    ci = resample.bootstrap_rho(df, "x", "y", ["g"], ["t"], 10_000, 2).first()
+    assert ci.reps == 10_000 and (ci.high - ci.low) / 3.92 == pytest.approx((1 - want.rho**2) / 27**0.5, rel=0.3)
+
+
+def test_quantiles(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (4, 1, 2)] + [("b", 7.0), ("b", None), ("c", None)], "g string, v double")
+    got = {r.g: (r.n, r.low, r.mid) for r in rankstats.quantiles(df, "v", ["g"], {"low": 0.025, "mid": 0.5}).collect()}
+    assert got == {"a": (3, pytest.approx(1.05), 2.0), "b": (1, 7.0, 7.0)}
