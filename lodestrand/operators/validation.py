@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,48 @@ def banded(df: DataFrame, predicted: Column, low: Column, high: Column, floor: f
     return df.select("*", kept.alias("predicted"), (F.abs(predicted - kept) > 1e-12).alias("clipped"), clamp(kept + low, floor, ceiling).alias("lower"), clamp(kept + high, floor, ceiling).alias("upper"))
 
 
+#: The counters of an audit: by each key, and by keys crossed.
+AUDIT_SETS = (("season",), ("month",), ("year",), ("severity",), ("window",), ("feature",), ("season", "year"), ("season", "severity"), ("season", "feature"), ("window", "severity"), ("window", "year"), ("feature", "severity"), ("month", "severity"))
+
+
+def audit_counters(days: DataFrame, windows: DataFrame, sets: tuple[tuple[str, ...], ...] = AUDIT_SETS, months: tuple[int, int] = (6, 10)) -> DataFrame:
+    """Counts of audited days by every key and cross of keys, in one aggregate over grouping sets: kind, key, n, of, pct.
+
+    ``days`` has every day of the calendar: d, outside (names, ;, null if inside) and severity (null if inside).
+    A day counts once in its month, year, season and severity, and once in each feature outside and each of the declared
+    ``windows`` (window_id, start_md, end_md) it lies in.  ``of`` are the calendar days of the same keys; a set with
+    feature or severity, which only audited days have, is set against the days of its other keys.
+    """
+    from ..functions.columns import month_day
+    from .relational import window_members
+
+    season = F.month("d").between(*months)
+    base = days.select(
+        "d", F.year("d").cast("string").alias("year"), F.date_format("d", "MM-MMM").alias("month"), F.when(season, "season").otherwise("rest").alias("season"),
+        "severity", F.split("outside", ";").alias("names"), F.col("outside").isNotNull().cast("long").alias("out"),
+    )
+    member = window_members(base, windows, month_day(F.col("d"))).select(*base.columns, F.col("window_id").alias("window"))
+    rows = base.withColumn("window", F.lit(None).cast("string")).unionByName(member)
+    # A day stands for itself (no feature) and for each feature: the first counts where no feature is asked for.
+    long = rows.select("*", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("names", F.array().cast("array<string>")))).alias("feature"))
+    keys = ["feature", "month", "season", "severity", "window", "year"]
+    marked = long.select(*keys, "out", F.col("feature").isNull().alias("itself"), F.col("window").isNull().alias("whole"))
+    one = F.when(F.col("itself"), 1).otherwise(0)
+    sums = {f"{w}_{k}": F.sum(F.when(F.col("whole") == (w == "day"), v).otherwise(0)).alias(f"{w}_{k}") for w in ("day", "window") for k, v in (("n", one * F.col("out")), ("of", one), ("f", 1 - one))}
+    counted = marked.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(F.grouping_id().alias("id"), *sums.values())
+    number = {s: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s) for s in sets}
+
+    def of_set(value) -> Column:
+        return F.coalesce(*[F.when(F.col("id") == number[s], value(s)) for s in sets])
+
+    n = of_set(lambda s: F.col(("window" if "window" in s else "day") + ("_f" if "feature" in s else "_n")))
+    # Days of the same calendar keys: over all severities and features of the set, the days without them included.
+    of = F.sum(of_set(lambda s: F.col("window_of" if "window" in s else "day_of"))).over(Window.partitionBy("id", "month", "season", "window", "year"))
+    named = of_set(lambda s: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in s]))
+    out = counted.select(of_set(lambda s: F.lit("+".join(s))).alias("kind"), of_set(lambda s: F.concat_ws(" ", *s)).alias("key"), n.alias("n"), of.alias("of"), named.alias("named"))
+    return out.where("named AND n > 0").select("kind", "key", "n", "of", (100 * F.col("n") / F.col("of")).alias("pct"))
+
+
 def audit_summary(audit: DataFrame, calendar: DataFrame, year: str, features: str = "outside") -> DataFrame:
     """Counts of audited rows by feature, severity and year, with the share of the calendar's rows: kind, key, n, pct.
 

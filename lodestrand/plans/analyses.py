@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import detrended_sd, holds_text, log_checked, month_day, number_text, percent_effect, recode, same_text, singleton
-from ..operators import contracts, linear, rankstats, relational, resample, timeseries, validation
+from ..functions.columns import detrended_sd, harmonics, holds_text, log_checked, month_day, number_text, percent_effect, recode, same_text, singleton
+from ..operators import contracts, linear, models, rankstats, relational, resample, timeseries, validation
 from .base import DAILY, ENV, JOINED, PANEL, corr, daily, environment, index_sql, joined, normal_sql, normal_tail_sql, panel, ranks, t_quantile_sql, t_tail_sql, table
 from .queries import BASELINES, MILLI_DAYS, MILLI_MEAN, POSITIONED, QUERIES, SQL, WINDOWS_SQL, forecasts, milli_days, query, r6, rounded, tests_of, windows
 
@@ -233,6 +233,35 @@ def associations(spark: SparkSession, d: str, samples: int, permutations: int) -
     return rounded(rounded(out, "rho", "low", "high", "p", "holm", "beta"), "percent_effect", to=4).select("grp", "n", "rho", "direction", "low", "high", "p", "holm", "passed", "beta", "percent_effect")
 
 
+def influence_sql(source: str, p: str = "") -> str:
+    """CTEs of a ridge fit (alpha 10) of ln(1 + y) on x2, with its diagnostics ({p}id)."""
+    return f"""{p}i0 AS (SELECT grp, m, ln(1 + y) AS v, x2 AS x FROM {source}),
+{p}i1 AS (SELECT grp, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(v) AS mv, count(*) * covar_pop(x, v) / stddev_pop(x) / (count(*) + 10.0) AS b FROM {p}i0 GROUP BY grp),
+{p}i2 AS (SELECT grp, m, n, v, b, mv + b * (x - mx) / sx AS f, v - mv - b * (x - mx) / sx AS e, 1.0 / n + ((x - mx) / sx) ** 2 / (n + 10.0) AS h FROM {p}i0 JOIN {p}i1 USING (grp)),
+{p}i3 AS (SELECT grp, sum(e * e) / (max(n) - 2) AS mse FROM {p}i2 GROUP BY grp), {p}id AS (SELECT {p}i2.*, e * e * h / (2 * mse * (1 - h) ** 2) AS cook FROM {p}i2 JOIN {p}i3 USING (grp))"""
+
+
+@query(f"WITH {JOINED}, {influence_sql('joined')} SELECT grp, m, round(v, 6) AS observed, round(f, 6) AS fitted, round(e, 6) AS residual, round(h, 6) AS leverage, round(cook, 6) AS cook FROM id")
+def ridge_diagnostics_one(spark, d):
+    return rounded(models.ridge_influence(joined(spark, d), ["x2"], "y", ["grp"], "m", 10.0, log1p=True)[0], "observed", "fitted", "residual", "leverage", "cook")
+
+
+@query(f"""
+WITH {JOINED}, {influence_sql('joined')}, t AS (SELECT grp, m FROM id QUALIFY row_number() OVER (PARTITION BY grp ORDER BY cook DESC, m) = 1),
+less AS (SELECT j.* FROM joined j ANTI JOIN t ON t.grp = j.grp AND t.m = j.m), {influence_sql('less', 'r_')}
+SELECT i1.grp, 'x2' AS term, t.m AS omitted, round(i1.b, 6) AS full_coef, round(r_i1.b, 6) AS refit_coef, round(abs(r_i1.b - i1.b), 6) AS change, sign(i1.b) <> sign(r_i1.b) AS sign_changed
+FROM i1 JOIN r_i1 USING (grp) JOIN t USING (grp)""")
+def ridge_refit_one(spark, d):
+    out = models.ridge_influence(joined(spark, d), ["x2"], "y", ["grp"], "m", 10.0, log1p=True)[2]
+    return rounded(out, "full_coef", "refit_coef", "change").select("grp", "term", "omitted", "full_coef", "refit_coef", "change", "sign_changed")
+
+
+@query()
+def ridge_influence_summary(spark, d):
+    """Three predictors: durbin_watson, Shapiro-Wilk of the residuals, the most influential row, inflation."""
+    return models.ridge_influence(joined(spark, d), ["x1", "x2", "x3"], "y", ["grp"], "m", 10.0, log1p=True)[1]
+
+
 # -- rolling validation
 
 
@@ -247,22 +276,46 @@ def rolling_sql(source: str, x: str, name: str, by: str = "grp") -> str:
 SCORES = "count(*) AS n, avg(abs(p - y)) AS mae, sqrt(avg((p - y) ** 2)) AS rmse, 1 - sum((p - y) ** 2) / (var_pop(y) * count(*)) AS r2"
 
 
+def nested_sql(x: str, name: str) -> str:
+    """SQL of the rolling-origin predictions of a ridge on one predictor whose alpha the last six predictions choose."""
+    return f"""SELECT grp, m, y, {name} AS model, a AS alpha, p FROM (SELECT *, avg(abs(p - y)) OVER (PARTITION BY grp, a ORDER BY m ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS score FROM ({RIDGE_ONE.replace('x1', x)}))
+    WHERE k >= 12 QUALIFY row_number() OVER (PARTITION BY grp, m ORDER BY score, a) = 1"""
+
+
+RIDGE_ONE = """SELECT grp, m, y, a, k, greatest(exp(sy / k + b * (x1 - sx / k)) - 1, 0) AS p FROM (
+  SELECT *, CASE WHEN sxx / k - (sx / k) ** 2 > 0 THEN (sxy - sx * sy / k) / ((sxx - sx * sx / k) + a * (sxx / k - (sx / k) ** 2)) END AS b FROM (
+    SELECT grp, m, y, x1, count(*) OVER w AS k, sum(x1) OVER w AS sx, sum(ln(1 + y)) OVER w AS sy, sum(x1 * x1) OVER w AS sxx, sum(x1 * ln(1 + y)) OVER w AS sxy
+    FROM joined WINDOW w AS (PARTITION BY grp ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), (SELECT unnest([0.1, 1.0, 10.0, 100.0]::DOUBLE[]) AS a) WHERE k >= 6)"""
+ALPHAS = [0.1, 1.0, 10.0, 100.0]
+MODELS = {"log_x1": (["x1"], [0.0]), "log_x2": (["x2"], [0.0]), "log_x3": (["x3"], [0.0]), "ridge_x1": (["x1"], ALPHAS), "ridge_x2": (["x2"], ALPHAS)}
+WIDE_MODELS = {"two_ols": (["x1", "x2"], [0.0]), "other_two_ols": (["x2", "x3"], [0.0]), "three_ols": (["x1", "x2", "x3"], [0.0]), "two_ridge": (["x1", "x3"], ALPHAS), "three_ridge": (["x1", "x2", "x3"], ALPHAS)}
+BASE_MODELS = ["expanding_mean", "previous"]
+
+
+def model_scores(predictions: DataFrame) -> DataFrame:
+    """Scores of each group's models, and whether a model beats its group's best baseline on both errors."""
+    scored = validation.metrics(predictions, "actual", "predicted", ["grp", "model"])
+    gate = validation.baseline_gate(scored, ["grp"], "model", BASE_MODELS).select("grp", "model", "beats")
+    return rounded(rounded(scored.join(gate, ["grp", "model"], "left"), "mae", "rmse", to=2), "r2", to=5).select("grp", "model", "n", "mae", "rmse", "r2", "beats")
+
+
 @query(f"""
 WITH {JOINED}, f AS (SELECT grp, m, y, avg(y) OVER w AS expanding, lag(y) OVER (PARTITION BY grp ORDER BY m) AS previous, row_number() OVER (PARTITION BY grp ORDER BY m) AS k
   FROM joined WINDOW w AS (PARTITION BY grp ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS ({rolling_sql("joined", "x1", "'log_x1'")} UNION ALL {rolling_sql("joined", "x2", "'log_x2'")}
-      UNION ALL SELECT grp, m, y, 'expanding', expanding FROM f WHERE k > 12 UNION ALL SELECT grp, m, y, 'previous', previous FROM f WHERE k > 12),
-s AS (SELECT grp, model, {SCORES} FROM l GROUP BY ALL), b AS (SELECT grp, min(mae) AS bm, min(rmse) AS br FROM s WHERE model IN ('expanding', 'previous') GROUP BY grp)
-SELECT grp, model, n, round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(r2, 5) AS r2, CASE WHEN model NOT IN ('expanding', 'previous') THEN mae < bm AND rmse < br END AS beats FROM s JOIN b USING (grp)""")
+l AS ({rolling_sql("joined", "x1", "'log_x1'")} UNION ALL {rolling_sql("joined", "x2", "'log_x2'")} UNION ALL {rolling_sql("joined", "x3", "'log_x3'")}
+      UNION ALL SELECT grp, m, y, model, p FROM ({nested_sql("x1", "'ridge_x1'")}) UNION ALL SELECT grp, m, y, model, p FROM ({nested_sql("x2", "'ridge_x2'")})
+      UNION ALL SELECT grp, m, y, 'expanding_mean', expanding FROM f WHERE k > 12 UNION ALL SELECT grp, m, y, 'previous', previous FROM f WHERE k > 12),
+s AS (SELECT grp, model, {SCORES} FROM l GROUP BY ALL), b AS (SELECT grp, min(mae) AS bm, min(rmse) AS br FROM s WHERE model IN ('expanding_mean', 'previous') GROUP BY grp)
+SELECT grp, model, n, round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(r2, 5) AS r2, CASE WHEN model NOT IN ('expanding_mean', 'previous') THEN mae < bm AND rmse < br END AS beats FROM s JOIN b USING (grp)""")
 def rolling_models(spark, d):
-    """Rolling-origin fits and baselines in one table, scored, and whether a fit beats its group's best baseline."""
-    rows = joined(spark, d)
-    fits = [linear.rolling_ridge(rows, [x], "y", ["grp"], "m", [0.0], least=12).select("grp", "m", F.col("actual").alias("y"), F.lit(f"log_{x}").alias("model"), F.col("predicted").alias("p")) for x in ("x1", "x2")]
-    wide = rows.select("grp", "m", "y", timeseries.expanding_mean("y", ["grp"], ["m"]).alias("expanding"), timeseries.previous("y", ["grp"], ["m"]).alias("previous"), F.row_number().over(Window.partitionBy("grp").orderBy("m")).alias("k"))
-    base = wide.where("k > 12").unpivot(["grp", "m", "y"], ["expanding", "previous"], "model", "p")
-    scored = validation.metrics(fits[0].unionByName(fits[1]).unionByName(base), "y", "p", ["grp", "model"])
-    gate = validation.baseline_gate(scored, ["grp"], "model", ["expanding", "previous"]).select("grp", "model", "beats")
-    return rounded(rounded(scored.join(gate, ["grp", "model"], "left"), "mae", "rmse", to=2), "r2", to=5).select("grp", "model", "n", "mae", "rmse", "r2", "beats")
+    """Seven rolling-origin models in one window pass, scored."""
+    return model_scores(models.model_table(joined(spark, d), MODELS, "y", ["grp"], "m"))
+
+
+@query()
+def rolling_models_wide(spark, d):
+    """The same with several predictors a model (least squares and ridge)."""
+    return model_scores(models.model_table(joined(spark, d), WIDE_MODELS, "y", ["grp"], "m"))
 
 
 @query(f"""
@@ -275,12 +328,6 @@ def rolling_by_lag(spark, d):
     return rounded(out, "mae", "rmse", to=2).select("grp", "lag", "is_primary", "n", "mae", "rmse")
 
 
-RIDGE_ONE = """SELECT grp, m, y, a, k, greatest(exp(sy / k + b * (x1 - sx / k)) - 1, 0) AS p FROM (
-  SELECT *, CASE WHEN sxx / k - (sx / k) ** 2 > 0 THEN (sxy - sx * sy / k) / ((sxx - sx * sx / k) + a * (sxx / k - (sx / k) ** 2)) END AS b FROM (
-    SELECT grp, m, y, x1, count(*) OVER w AS k, sum(x1) OVER w AS sx, sum(ln(1 + y)) OVER w AS sy, sum(x1 * x1) OVER w AS sxx, sum(x1 * ln(1 + y)) OVER w AS sxy
-    FROM joined WINDOW w AS (PARTITION BY grp ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), (SELECT unnest([0.1, 1.0, 10.0, 100.0]::DOUBLE[]) AS a) WHERE k >= 6)"""
-
-
 @query(f"""
 WITH {JOINED}, t AS ({RIDGE_ONE}), s AS (SELECT *, avg(abs(p - y)) OVER (PARTITION BY grp, a ORDER BY m ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS score FROM t)
 SELECT grp, m, floor(y) AS actual, round(p, 2) AS predicted, a AS alpha FROM s WHERE k >= 12 QUALIFY row_number() OVER (PARTITION BY grp, m ORDER BY score, a) = 1""")
@@ -303,6 +350,26 @@ def leave_group_out_ridge_one(spark, d):
     return rounded(rounded(out, "rmse", "mae", to=3), "r2")
 
 
+def held_out_sql(rows: str, by: str, fold: str, x: str, y: str, alphas: list[float]) -> str:
+    """CTEs of ridge fits on one predictor to all folds but each (ho_h: the rows, a, p) and of the best alpha (ho_c) and its full fit (ho_f)."""
+    sums = f"count(*) AS k, sum({x}) AS sx, sum({y}) AS sy, sum({x} * {x}) AS sxx, sum({x} * {y}) AS sxy"
+    slope = "(sxy - sx * sy / k) / ((sxx - sx * sx / k) + a * (sxx / k - (sx / k) ** 2))"
+    return f"""ho_g AS (SELECT {by}, {fold}, {sums} FROM {rows} GROUP BY ALL),
+ho_o AS (SELECT {by}, {fold}, {", ".join(f"sum({c}) OVER (PARTITION BY {by}) - {c} AS {c}" for c in ("k", "sx", "sy", "sxx", "sxy"))} FROM ho_g),
+ho_a AS (SELECT unnest({alphas}::DOUBLE[]) AS a),
+ho_b AS (SELECT *, {slope} AS b FROM ho_o, ho_a), ho_h AS (SELECT r.*, a, b.sy / b.k + b.b * (r.{x} - b.sx / b.k) AS p FROM {rows} r JOIN ho_b b USING ({by}, {fold})),
+ho_c AS (SELECT {by}, a FROM (SELECT {by}, a, sqrt(avg((p - {y}) ** 2)) AS rmse FROM ho_h GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY rmse, a DESC) = 1),
+ho_f AS (SELECT *, {slope} AS b FROM (SELECT {by}, {sums} FROM {rows} GROUP BY {by}) JOIN ho_c USING ({by}))"""
+
+
+@query(f"""
+WITH {JOINED}, r AS (SELECT *, (m - 1) // 12 AS yr FROM joined), {held_out_sql("r", "grp", "yr", "x1", "y", [0.1, 1.0, 10.0, 100.0])}
+SELECT grp, m, a AS alpha, round(p, 3) AS held_out FROM ho_h""")
+def held_out_ridge_one(spark, d):
+    rows = joined(spark, d).withColumn("yr", F.floor((F.col("m") - 1) / 12).cast("long"))
+    return rounded(models.held_out(rows, ["x1"], "y", "yr", ALPHAS, ["grp"]), "held_out", to=3).select("grp", "m", "alpha", "held_out")
+
+
 @query(f"""
 WITH {BASELINES}, q AS (SELECT model, y - p AS e, row_number() OVER (PARTITION BY model ORDER BY grp, m) - 1 AS pos, count(*) OVER (PARTITION BY model) AS n FROM l),
 sm AS (SELECT q.model, k.rep, {index_sql("k.rep", "q.pos", 37, "q.n")} AS at FROM q, (SELECT unnest(range(0, 200)) AS rep) k),
@@ -326,23 +393,24 @@ def ensemble_medians(spark, d):
 
 @query(f"""
 WITH w(window_id, start_md, end_md) AS (VALUES {WINDOWS_SQL}),
-o AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS yr, CAST(month(o_orderdate) AS BIGINT) AS mo, month(o_orderdate) * 100 + day(o_orderdate) AS md, o_totalprice AS v FROM orders),
+o AS (SELECT 1 AS one, CAST(year(o_orderdate) AS BIGINT) AS yr, CAST(month(o_orderdate) AS BIGINT) AS mo, month(o_orderdate) * 100 + day(o_orderdate) AS md,
+             cos((dayofyear(o_orderdate) - 1) * 2 * pi() / 365.2425) AS x, o_totalprice AS v FROM orders),
 c AS (SELECT yr, mo, sum(v) AS s, count(v) AS n FROM o GROUP BY ALL),
 k AS (SELECT yr, mo, coalesce((sum(s) OVER (PARTITION BY mo) - s) / nullif(sum(n) OVER (PARTITION BY mo) - n, 0),
-                (sum(s) OVER () - sum(s) OVER (PARTITION BY yr)) / nullif(sum(n) OVER () - sum(n) OVER (PARTITION BY yr), 0)) AS seasonal,
-             (sum(s) OVER () - sum(s) OVER (PARTITION BY yr)) / nullif(sum(n) OVER () - sum(n) OVER (PARTITION BY yr), 0) AS overall FROM c),
-i AS (SELECT window_id, o.*, seasonal, overall FROM o JOIN k USING (yr, mo) JOIN w ON md BETWEEN start_md AND end_md),
-s AS (SELECT window_id, count(*) AS n, count(DISTINCT yr) AS years, sqrt(avg((seasonal - v) ** 2)) AS rmse, avg(abs(seasonal - v)) AS mae, avg(seasonal - v) AS bias, sqrt(avg((overall - v) ** 2)) AS base FROM i GROUP BY window_id)
+                (sum(s) OVER () - sum(s) OVER (PARTITION BY yr)) / nullif(sum(n) OVER () - sum(n) OVER (PARTITION BY yr), 0)) AS seasonal FROM c),
+{held_out_sql("o", "one", "yr", "x", "v", [10.0])},
+i AS (SELECT window_id, h.*, seasonal FROM ho_h h JOIN k USING (yr, mo) JOIN w ON md BETWEEN start_md AND end_md),
+s AS (SELECT window_id, count(*) AS n, count(DISTINCT yr) AS years, sqrt(avg((p - v) ** 2)) AS rmse, avg(abs(p - v)) AS mae, avg(p - v) AS bias, sqrt(avg((seasonal - v) ** 2)) AS base FROM i GROUP BY window_id)
 SELECT window_id, n, years, round(rmse, 2) AS rmse, round(mae, 2) AS mae, round(bias, 2) AS bias, round(base, 2) AS baseline_rmse, round(100 * (base - rmse) / base, 4) AS improvement_pct FROM s""")
 def window_validation(spark, d):
-    """Held-out predictions within each window of the year against a plainer baseline."""
-    cells = [F.year("o_orderdate").cast("long").alias("yr"), F.month("o_orderdate").cast("long").alias("mo"), month_day(F.col("o_orderdate")).alias("md"), F.col("o_totalprice").alias("v")]
+    """A model's held-out predictions within each window of the year against the held-out climatology."""
+    cells = [F.year("o_orderdate").cast("long").alias("yr"), F.month("o_orderdate").cast("long").alias("mo"), month_day(F.col("o_orderdate")).alias("md"), harmonics(F.col("o_orderdate"), 1)[1].alias("x"), F.col("o_totalprice").alias("v")]
     rows = table(spark, d, "orders").select(*cells)
-    seasonal = validation.leave_group_out_mean(rows, "v", "yr", "mo").withColumnRenamed("climatology", "seasonal").withColumn("all", F.lit(1))
-    both = validation.leave_group_out_mean(seasonal, "v", "yr", "all").withColumnRenamed("climatology", "overall")
+    predicted = models.held_out(rows, ["x"], "v", "yr", [10.0])
+    both = validation.leave_group_out_mean(predicted, "v", "yr", "mo")
     inside = relational.window_members(both, windows(spark), F.col("md"))
-    own = validation.metrics(inside, "v", "seasonal", ["window_id"]).select("window_id", "n", "rmse", "mae", "bias")
-    base = validation.metrics(inside, "v", "overall", ["window_id"]).select("window_id", F.col("rmse").alias("baseline_rmse"))
+    own = validation.metrics(inside, "v", "held_out", ["window_id"]).select("window_id", "n", "rmse", "mae", "bias")
+    base = validation.metrics(inside, "v", "climatology", ["window_id"]).select("window_id", F.col("rmse").alias("baseline_rmse"))
     years = inside.groupBy("window_id").agg(F.count_distinct("yr").alias("years"))
     out = own.join(base, "window_id").join(years, "window_id").withColumn("improvement_pct", validation.improvement("rmse", "baseline_rmse"))
     return rounded(rounded(out, "rmse", "mae", "bias", "baseline_rmse", to=2), "improvement_pct", to=4)
@@ -351,20 +419,17 @@ def window_validation(spark, d):
 # -- daily products
 
 
-DAILY_FIT = f"""{DAILY}, f AS (SELECT event_type, regr_slope(v, n) AS b, regr_intercept(v, n) AS a FROM daily GROUP BY event_type),
-e AS (SELECT event_type, quantile_cont(v - a - b * n, 0.025) AS lo, quantile_cont(v - a - b * n, 0.975) AS hi FROM daily JOIN f USING (event_type) GROUP BY event_type)"""
-
-
 @query(f"""
-WITH {DAILY_FIT}, p AS (SELECT event_type, d, a + b * n AS raw, least(greatest(a + b * n, 47.0), 53.0) AS p, lo, hi FROM daily JOIN f USING (event_type) JOIN e USING (event_type))
-SELECT event_type, d, round(p, 5) AS predicted, abs(raw - p) > 1e-12 AS clipped, round(least(greatest(p + lo, 47.0), 53.0), 5) AS lower, round(least(greatest(p + hi, 47.0), 53.0), 5) AS upper FROM p""")
+WITH {DAILY}, r AS (SELECT event_type, d, v, day(d) % 5 AS fold, n::DOUBLE AS x FROM daily), {held_out_sql("r", "event_type", "fold", "x", "v", [0.1, 1.0, 10.0, 100.0])},
+e AS (SELECT event_type, quantile_cont(v - p, 0.025) AS lo, quantile_cont(v - p, 0.975) AS hi FROM ho_h JOIN ho_c USING (event_type, a) GROUP BY event_type),
+q AS (SELECT event_type, d, a, sy / k + b * (x - sx / k) AS raw, least(greatest(sy / k + b * (x - sx / k), 47.0), 53.0) AS p, lo, hi FROM r JOIN ho_f USING (event_type) JOIN e USING (event_type))
+SELECT event_type, d, a AS alpha, round(p, 5) AS predicted, abs(raw - p) > 1e-12 AS clipped, round(least(greatest(p + lo, 47.0), 53.0), 5) AS lower, round(least(greatest(p + hi, 47.0), 53.0), 5) AS upper FROM q""")
 def daily_prediction(spark, d):
-    rows = daily(spark, d).withColumn("x", F.col("n").cast("double")).drop("n")
-    fits = linear.simple_ols(rows, "x", "v", ["event_type"])
-    band = fits.groupBy("event_type").agg(*[F.percentile("residual", F.lit(q)).alias(n) for n, q in (("lo", 0.025), ("hi", 0.975))])
-    raw = F.col("intercept") + F.col("slope") * F.col("x")
-    out = validation.banded(fits.join(band, "event_type"), raw, F.col("lo"), F.col("hi"), 47.0, 53.0)
-    return rounded(out, "predicted", "lower", "upper", to=5).select("event_type", "d", "predicted", "clipped", "lower", "upper")
+    """Predictions within physical bounds, their band from the errors of held-out days."""
+    rows = daily(spark, d).withColumn("x", F.col("n").cast("double")).withColumn("fold", F.dayofmonth("d") % 5).drop("n")
+    fits = models.banded_predictions(rows, ["x"], "v", "fold", ALPHAS, ["event_type"])
+    out = validation.banded(fits, F.col("raw"), F.col("lo"), F.col("hi"), 47.0, 53.0)
+    return rounded(out, "predicted", "lower", "upper", to=5).select("event_type", "d", "alpha", "predicted", "clipped", "lower", "upper")
 
 
 @query(f"""
@@ -409,6 +474,42 @@ def extrapolation_summary(spark, d):
     return rounded(validation.audit_summary(audit, e, "yr"), "pct")
 
 
+#: Whole numbers of each day, and the box of the first years.
+AUDIT_DAYS = """ad AS (SELECT CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*) AS BIGINT) AS v, count(*) AS c FROM orders GROUP BY ALL),
+ab AS (SELECT min(v) AS a1, max(v) AS b1, min(c) AS a2, max(c) AS b2 FROM ad WHERE year(d) < 1996),
+af AS (SELECT d, greatest(a1 - v, v - b1)::DOUBLE / (b1 - a1) AS f1, greatest(a2 - c, c - b2)::DOUBLE / nullif(b2 - a2, 0) AS f2 FROM ad, ab),
+au AS (SELECT d, strftime(d, '%Y') AS year, strftime(d, '%m-%b') AS month, month(d) * 100 + day(d) AS md, CASE WHEN month(d) BETWEEN 6 AND 10 THEN 'season' ELSE 'rest' END AS season,
+  list_filter([CASE WHEN f1 > 0 THEN 'v' END, CASE WHEN f2 > 0 THEN 'c' END], lambda z: z IS NOT NULL) AS names, greatest(f1, f2) AS far FROM af),
+al AS (SELECT *, far > 0 AS out, CASE WHEN far <= 0 THEN NULL WHEN far <= 0.05 THEN 'minor' WHEN far <= 0.2 THEN 'moderate' ELSE 'large' END AS severity FROM au)"""
+AUDIT_SQL_KEYS = ["feature", "month", "season", "severity", "win", "year"]
+
+
+def audit_sql() -> str:
+    sets = [[k.replace("window", "win") for k in s] for s in validation.AUDIT_SETS]
+    each = []
+    for s in sets:
+        side = "win" if "win" in s else "day"
+        number = sum(1 << (len(AUDIT_SQL_KEYS) - 1 - i) for i, k in enumerate(AUDIT_SQL_KEYS) if k not in s)
+        named, key, kind = " AND ".join(f"{k} IS NOT NULL" for k in s), " || ' ' || ".join(s), "+".join(s).replace("win", "window")
+        own = " AND ".join(f"o.{k} = c.{k}" for k in s if k not in ("feature", "severity")) or "true"
+        each.append(f"SELECT '{kind}' AS kind, {key} AS key, {side}_{'f' if 'feature' in s else 'n'} AS n, (SELECT sum({side}_of)::BIGINT FROM c o WHERE o.id = {number} AND {own}) AS \"of\" FROM c WHERE id = {number} AND {named}")
+    counts = ", ".join(f"count(*) FILTER (WHERE win IS {'' if w == 'day' else 'NOT '}NULL AND {t}) AS {w}_{n}" for w in ("day", "win") for n, t in (("n", "feature IS NULL AND out"), ("of", "feature IS NULL"), ("f", "feature IS NOT NULL")))
+    long = "FROM {} , LATERAL (SELECT unnest(list_prepend(NULL, names)) AS feature) f"
+    return f"""WITH w(window_id, start_md, end_md) AS (VALUES {WINDOWS_SQL}), {AUDIT_DAYS},
+x AS (SELECT al.*, NULL::VARCHAR AS win, feature {long.format("al")} UNION ALL SELECT al.*, window_id, feature {long.format("al JOIN w ON md BETWEEN start_md AND end_md")}),
+c AS (SELECT {", ".join(AUDIT_SQL_KEYS)}, GROUPING({", ".join(AUDIT_SQL_KEYS)}) AS id, {counts} FROM x GROUP BY GROUPING SETS ({", ".join("(" + ", ".join(s) + ")" for s in sets)})),
+u AS ({" UNION ALL ".join(each)}) SELECT kind, key, n, "of", round(100.0 * n / "of", 6)::DOUBLE AS pct FROM u WHERE n > 0"""
+
+
+@query(audit_sql())
+def audit_counters(spark, d):
+    """Days outside the first year's box by feature, severity, month, year, season and window, and crossed, in one aggregate."""
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    days = table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.floor(cents / F.count("*")).cast("double").alias("v"), F.count("*").cast("double").alias("c"))
+    audit = validation.domain_audit(days, days.where(F.year("d") < 1996), ["v", "c"], ["d"]).select("d", "outside", "severity")
+    return rounded(validation.audit_counters(days.select("d").join(audit, "d", "left"), windows(spark)), "pct")
+
+
 @query(f"""
 WITH w(window_id, start_md, end_md) AS (VALUES {WINDOWS_SQL}), {MILLI_DAYS}, r AS (SELECT min(d) AS a, max(d) AS b FROM days),
 c AS (SELECT yr, window_id, make_date(yr, start_md // 100, start_md % 100) AS s, make_date(yr, end_md // 100, end_md % 100) AS e FROM w, (SELECT DISTINCT CAST(year(d) AS BIGINT) AS yr FROM days)),
