@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import detrended_sd, harmonics, holds_text, log_checked, month_day, number_text, percent_effect, recode, same_text, singleton
 from ..operators import contracts, linear, models, rankstats, relational, resample, timeseries, validation
 from .base import DAILY, ENV, JOINED, PANEL, corr, daily, environment, index_sql, joined, normal_sql, normal_tail_sql, panel, ranks, t_quantile_sql, t_tail_sql, table
-from .queries import BASELINES, MILLI_DAYS, MILLI_MEAN, POSITIONED, QUERIES, SQL, WINDOWS_SQL, forecasts, milli_days, query, r6, rounded, tests_of, windows
+from .queries import BASELINES, MILLI_DAYS, MILLI_MEAN, POSITIONED, QUERIES, SQL, TESTS, WINDOWS_SQL, forecasts, milli_days, query, r6, rounded, tests_of, windows
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -734,6 +734,33 @@ def plausibility_gate(spark, d):
     return contracts.gate_table(table(spark, d, "lineitem"), gates)
 
 
+@query(f"""
+WITH o AS (SELECT count(*) FILTER (WHERE NOT o_totalprice > 0) AS a, count(*) FILTER (WHERE NOT year(o_orderdate) BETWEEN 1995 AND 2001) AS b, count(DISTINCT o_orderpriority) AS c FROM orders),
+l AS (SELECT count(*) FILTER (WHERE NOT l_discount BETWEEN 0 AND 0.05) AS a, count(*) AS b FROM lineitem), {TESTS},
+r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS k, count(*) OVER (PARTITION BY family) AS n FROM t),
+h AS (SELECT family, id, p, least(max((n - k + 1) * p) OVER (PARTITION BY family ORDER BY k ROWS UNBOUNDED PRECEDING), 1) AS holm FROM r)
+SELECT 'amount_positive' AS check_id, 'range' AS category, 'orders' AS "table", a::DOUBLE AS value, a = 0 AS passed FROM o
+UNION ALL SELECT 'years', 'range', 'orders', b, b = 0 FROM o UNION ALL SELECT 'priorities', 'domain', 'orders', c, c = 5 FROM o
+UNION ALL SELECT 'small discounts', 'plausibility', 'lineitem', a, a = 0 FROM l UNION ALL SELECT 'enough rows', 'coverage', 'lineitem', b, b >= 1000 FROM l
+UNION ALL SELECT 'customers known', 'reference', '*', count(*), count(*) = 0 FROM orders ANTI JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT 'customer and day once', 'identity', '*', count(*), count(*) = 0 FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1)
+UNION ALL SELECT 'holm derived again', 'identity', '*', count(*), count(*) = 0 FROM h WHERE id % 50 = 7 AND least(holm + 0.01, 1) > holm + 1e-9""")
+def multi_input_gate(spark, d):
+    """A declared check set over five inputs: one scan a table, cross-table queries, all results at once."""
+    inputs = {name: table(spark, d, name) for name in ("orders", "lineitem", "customer")}
+    raw = tests_of(spark, d)
+    right = rankstats.holm(raw, "p", ["family"], ["id"])
+    inputs |= {"raw": raw, "published": right.withColumn("holm", F.when(F.col("id") % 50 == 7, F.least(F.col("holm") + 0.01, F.lit(1.0))).otherwise(F.col("holm")))}
+    rows = {"orders": {"amount_positive": ("range", F.col("o_totalprice") > 0), "years": ("range", F.year("o_orderdate").between(1995, 2001))}, "lineitem": {"small discounts": ("plausibility", F.col("l_discount").between(0, 0.05))}}
+    totals = {"orders": {"priorities": ("domain", F.count_distinct("o_orderpriority"), lambda v: v == 5)}, "lineitem": {"enough rows": ("coverage", F.count("*"), lambda v: v >= 1000)}}
+    across = {
+        "customers known": ("reference", contracts.lacking("orders", "customer", {"o_custkey": "c_custkey"})),
+        "customer and day once": ("identity", contracts.repeated("orders", ["o_custkey", "o_orderdate"])),
+        "holm derived again": ("identity", contracts.differing("published", ["family", "id"], ["holm"], lambda t: rankstats.holm(t["raw"], "p", ["family"], ["id"]))),
+    }
+    return contracts.check_tables(inputs, rows, totals, across).drop("detail")
+
+
 @query("""
 WITH p(n_regionkey, n) AS (VALUES (0, 5), (1, 5), (2, 6)), o AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ALL)
 SELECT p.n_regionkey, CAST(p.n AS BIGINT) AS published, o.n AS ours, coalesce(o.n = p.n, false) AS agrees FROM p LEFT JOIN o USING (n_regionkey)""")

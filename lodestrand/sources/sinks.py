@@ -6,12 +6,17 @@ Everything is written to a staging folder beside the target and renamed, through
 from __future__ import annotations
 
 import json
+import platform
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import BOM, json_document
+from ..operators.contracts import CrossChecks, RowChecks, TotalChecks, check_tables
+from .readers import BOM, file_digests, json_document
 
 
 def formatted(df: DataFrame, pattern: str = "%.10g", missing: str | None = None) -> DataFrame:
@@ -109,24 +114,69 @@ def keep_manifest(spark: SparkSession, sources: dict[str, dict], path: str, fixe
     return kept
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str, notes: dict | None = None) -> dict:
-    """Write every table as Parquet and a manifest (rows and columns of each) into a new package.
+def _listed(spark: SparkSession, folder: str, name: str) -> dict[str, str]:
+    """SHA-256 of every part of a table of a package."""
+    parts = file_digests(spark, f"{folder}/{name}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256")
+    return {r.file: r.sha256 for r in parts.collect()}  # a row per file
 
-    The package is staged beside the target and renamed at the end, the manifest written last: a failure
-    leaves nothing, and a reader never sees half of it.
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str, notes: dict | None = None, seeds: dict | None = None) -> dict:
+    """Write every table as Parquet and a manifest into a new package.
+
+    The manifest has the rows, columns and the SHA-256 of every part of each table, the versions that made them, the
+    ``seeds`` and ``notes``.  The package is staged beside the target and renamed at the end, the manifest written
+    last: a failure leaves nothing, and a reader never sees half of it.
     """
-    manifest: dict = {"tables": {}, "notes": notes or {}}
+    versions = {"spark": spark.version, "python": platform.python_version(), "numpy": np.__version__, "pandas": pd.__version__, "pyarrow": pa.__version__}
+    manifest: dict = {"tables": {}, "versions": versions, "seeds": seeds or {}, "notes": notes or {}}
 
     def write(staging: str) -> None:
         for name, df in sorted(tables.items()):
             df.write.parquet(f"{staging}/{name}")
             written = spark.read.parquet(f"{staging}/{name}")
-            manifest["tables"][name] = {"rows": written.count(), "columns": written.columns}
+            manifest["tables"][name] = {"rows": written.count(), "columns": written.columns, "files": _listed(spark, staging, name)}
         write_json(spark, manifest, f"{staging}/MANIFEST.json")
 
     _staged(spark, folder, write)
     return manifest
 
 
+def validate_package(spark: SparkSession, folder: str, rows: RowChecks | None = None, totals: TotalChecks | None = None, across: CrossChecks | None = None) -> DataFrame:
+    """Every check of a published package, from its files alone: check_id, category, table, value, passed, detail.
+
+    Each part must have the manifest's SHA-256, none may be missing or besides; a table must have its rows and columns;
+    then the declared checks (``contracts.check_tables``) run on the tables whose parts are as published: one with other
+    bytes is not read, and checks that need it fail with that as their detail.
+    """
+    manifest = read_manifest(spark, folder)
+    found, tables = [], {}
+    for name, told in sorted(manifest["tables"].items()):
+        have = _listed(spark, folder, name) if exists(spark, f"{folder}/{name}") else {}
+        wrong = sorted(f"{f} {'is missing' if f not in have else 'is not listed' if f not in told['files'] else 'has other bytes'}" for f in {*have, *told["files"]} if have.get(f) != told["files"].get(f))
+        found.append(("parts as published", "digest", name, float(len(wrong)), not wrong, "; ".join(wrong) or None))
+        if not wrong:
+            tables[name] = spark.read.parquet(f"{folder}/{name}")
+            n = tables[name].count()
+            found.append(("rows as published", "schema", name, float(n), n == told["rows"], None))
+            found.append(("columns as published", "schema", name, float(len(tables[name].columns)), tables[name].columns == told["columns"], None))
+
+    class Held(dict):
+        def __missing__(self, name):
+            raise KeyError(name)
+
+    held, runnable = Held(tables), {}
+    for i, (category, bad) in (across or {}).items():
+        try:
+            bad(held)
+            runnable[i] = (category, bad)
+        except KeyError as missing:
+            found.append((i, category, "*", None, False, f"{missing.args[0]} is not as published"))
+    own = [{t: c for t, c in (checks or {}).items() if t in tables} for checks in (rows, totals)]
+    for t in sorted({*(rows or {}), *(totals or {})} - set(tables)):
+        found += [(i, c[0], t, None, False, "the table is not as published") for checks in (rows, totals) for i, c in (checks or {}).get(t, {}).items()]
+    out = spark.createDataFrame(found, "check_id string, category string, table string, value double, passed boolean, detail string")
+    return out.unionByName(check_tables(tables, *own, runnable)) if any(own) or runnable else out
+
+
 def read_manifest(spark: SparkSession, folder: str) -> dict:
     return json_document(spark, f"{folder}/MANIFEST.json")
