@@ -133,6 +133,11 @@ def _kinds(df: DataFrame, columns: list[str]) -> str:
     return "".join(f"`{c}` {types[c]}, " for c in columns)
 
 
+def keys_of(frame: pd.DataFrame, by: list[str]) -> list[tuple]:
+    """The key of each row; an empty one without key columns."""
+    return list(zip(*[frame[c] for c in by], strict=True)) if by else [()] * len(frame)
+
+
 def checked_gram(g: np.ndarray) -> np.ndarray:
     """A Gram matrix that a fit can use: more rows than terms, no constant feature, not singular; else it raises."""
     n, size = g[0, 0], len(g) - 1

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_checked, ratio
-from .linear import _kinds, gram, ridge_from_gram, shapiro_wilk, unpack_gram, vif
+from .linear import _kinds, gram, keys_of, ridge_from_gram, shapiro_wilk, unpack_gram, vif
 from .timeseries import durbin_watson
 
 
@@ -49,7 +49,7 @@ def held_out(df: DataFrame, features: list[str], target: str, group: str, alphas
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, cells, every in zip(frame[[*by, group]].itertuples(index=False, name=None), frame["gram"], frame["__total"], strict=True):
+            for key, cells, every in zip(keys_of(frame, [*by, group]), frame["gram"], frame["__total"], strict=True):
                 g = unpack_gram(np.asarray(every) - np.asarray(cells), size)
                 out += [(*key, float(a), checked_ridge(g, a).tolist()) for a in alphas]
             yield pd.DataFrame(out, columns=[*by, group, "alpha", "__coef"])
@@ -71,7 +71,7 @@ def ridge_path(df: DataFrame, features: list[str], target: str, by: list[str], a
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [(*key, float(a), checked_ridge(unpack_gram(np.asarray(cells), size), a).tolist()) for key, cells in zip(frame[by].itertuples(index=False, name=None), frame["gram"], strict=True) for a in alphas]
+            out = [(*key, float(a), checked_ridge(unpack_gram(np.asarray(cells), size), a).tolist()) for key, cells in zip(keys_of(frame, by), frame["gram"], strict=True) for a in alphas]
             yield pd.DataFrame(out, columns=[*by, "alpha", "coef"])
 
     return gram(df, features, target, by).mapInPandas(solve, _kinds(df, by) + "alpha double, coef array<double>")
@@ -200,7 +200,7 @@ def ridge_influence(df: DataFrame, features: list[str], target: str, by: list[st
     def refit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, cells, row, beta in zip(frame[[*by, "omitted"]].itertuples(index=False, name=None), frame["gram"], frame["row"], frame["beta"], strict=True):
+            for key, cells, row, beta in zip(keys_of(frame, [*by, "omitted"]), frame["gram"], frame["row"], frame["beta"], strict=True):
                 line = np.r_[1.0, row[1:], row[0]]
                 again = standard(unpack_gram(np.asarray(cells), size) - np.outer(line, line))[3]
                 out += [(*key, c, float(a), float(b)) for c, a, b in zip(features, beta, again, strict=True)]

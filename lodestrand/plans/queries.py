@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import close, correlation, harmonics, month_day, ratio, water_year
-from ..operators import contracts, linear, rankstats, relational, resample, timeseries, validation
+from ..operators import contracts, linear, ranges, rankstats, relational, resample, timeseries, validation
 from .base import DAILY, ENV, JOINED, PANEL, corr, daily, environment, index_sql, joined, panel, ranks, t_tail_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,6 +307,29 @@ def durbin_watson(spark, d):
     return rounded(timeseries.durbin_watson(rows, "e", ["grp"], ["m"]), "durbin_watson").join(lag1, "grp")
 
 
+#: Blocks of a week and a half, so that the tables' series of a month are several blocks.
+SHORT = 10
+
+
+@query(SQL["trailing_mean"])
+def ranged_trailing_mean(spark, d):
+    """The same with each series over several tasks."""
+    out = ranges.trailing_mean(daily(spark, d), "v", 7, ["event_type"], ["d"], "mean7", block=SHORT)
+    return rounded(out, "mean7", to=5).select("event_type", "d", "mean7")
+
+
+@query(SQL["longest_spell"])
+def ranged_longest_spell(spark, d):
+    return ranges.longest_run(daily(spark, d), F.col("v") >= 25, ["event_type"], ["d"], block=SHORT)
+
+
+@query(SQL["gap_fill"])
+def ranged_gap_fill(spark, d):
+    gone = F.dayofmonth("d").isin(4, 5, 11, 17, 18, 19, 20)
+    rows = daily(spark, d).select("event_type", F.datediff("d", F.lit("2024-01-01").cast("date")).cast("long").alias("p"), F.when(~gone, F.col("v")).alias("v"))
+    return rounded(ranges.fill_short_gaps(rows, "v", "p", ["event_type"], block=SHORT), "filled", to=7)
+
+
 @query(f"""
 WITH {DAILY}, r AS (
   SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY d) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n, v, CAST(n AS DOUBLE) AS c FROM daily),
@@ -399,6 +422,13 @@ def kendall_ties(spark, d):
     return rounded(rankstats.kendall(p, "t", "v", ["grp"]), "tau")
 
 
+@query(SQL["kendall_ties"])
+def ranged_kendall(spark, d):
+    """The same with each series over several tasks."""
+    p = panel(spark, d).select("grp", F.floor(F.col("m") / 3).alias("t"), F.when(F.col("m") % 7 != 0, F.floor(F.col("y") / 5000)).alias("v"))
+    return rounded(ranges.kendall(p, "t", "v", ["grp"], block=SHORT), "tau")
+
+
 @query(f"""
 WITH {TESTS}, c AS (SELECT family, id, CASE WHEN id % 3 <> 0 THEN p END AS p FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS k, count(*) OVER (PARTITION BY family) AS n FROM c WHERE p IS NOT NULL),
