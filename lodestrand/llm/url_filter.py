@@ -31,6 +31,8 @@ CHUNK = 1024
 MAX_FILTER_BYTES = 64 << 20
 #: Tables of more rows than this are joined by shuffle instead of broadcast.
 MAX_BROADCAST_ROWS = 300_000
+#: As much for the bytes of their texts.
+MAX_BROADCAST_BYTES = 64 << 20
 
 #: The rules of the registered query (verdict, host and path prefix).
 RULES = [
@@ -87,11 +89,15 @@ def _block(key: Column, n_blocks: int) -> Column:
 
 
 def bloom_filter(entries: DataFrame, n_blocks: int) -> DataFrame:
-    """The filter in packed rows: chunk, and the bits of its CHUNK blocks in order."""
-    blocks = entries.select(_block(F.col("key"), n_blocks).alias("block"), _mask(F.col("key")).alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("bits"))
-    placed = blocks.select(F.expr(f"block div {CHUNK}").alias("chunk"), F.pmod("block", F.lit(CHUNK)).cast("int").alias("at"), "bits")
-    held = placed.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("own"))  # CHUNK entries at most
-    return held.select("chunk", F.transform(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.coalesce(F.element_at("own", i), F.lit(0).cast("long"))).alias("bits"))
+    """The filter in packed rows: chunk, and the bits of its CHUNK blocks in order.
+
+    Every block gets a row without bits, so a chunk's blocks are all there and a sort brings them into their places.
+    """
+    every = entries.sparkSession.range(-(-n_blocks // CHUNK) * CHUNK).select(F.col("id").alias("block"), F.lit(0).cast("long").alias("bits"))
+    keyed = entries.select(_block(F.col("key"), n_blocks).alias("block"), _mask(F.col("key")).alias("bits"))
+    blocks = keyed.unionByName(every).groupBy("block").agg(F.bit_or("bits").alias("bits"))
+    held = blocks.groupBy(F.expr(f"block div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("block", "bits"))).alias("own"))  # CHUNK entries
+    return held.select("chunk", F.col("own.bits").alias("bits"))
 
 
 def _could_list(shapes: list, host: Column, path: Column) -> Column:
@@ -109,7 +115,8 @@ def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     listed = cut(entries.groupBy("key").agg(order).select("key", "best.weight", "best.rule", "best.verdict"))
     rule_host = F.regexp_extract("rule", "^[^/]*", 0)
     shape = F.struct(F.size(F.split(rule_host, r"\.")).alias("labels"), (F.length("rule") - F.length(rule_host)).alias("chars"))
-    counted = listed.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("rule").isNotNull(), shape)).alias("shapes")).first()  # a shape per form of rule
+    size = F.octet_length("key") + F.coalesce(F.octet_length("rule"), F.lit(0))
+    counted = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.collect_set(F.when(F.col("rule").isNotNull(), shape)).alias("shapes")).first()  # a shape per form of rule
     n_blocks = max(1, counted["n"] * BITS_PER_KEY // 64)
 
     def sized(df: DataFrame, small: bool) -> DataFrame:
@@ -124,13 +131,14 @@ def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     bits = F.element_at("bits", (F.pmod("block", F.lit(CHUNK)) + 1).cast("int"))
     met = tried.join(sized(bloom_filter(listed, n_blocks), n_blocks * 8 <= MAX_FILTER_BYTES), "chunk")
     possible = met.where(bits.bitwiseAND(mask) == mask).select("host", "path", "key")
-    if counted["n"] <= MAX_BROADCAST_ROWS:
+    if counted["n"] <= MAX_BROADCAST_ROWS and counted["bytes"] <= MAX_BROADCAST_BYTES:
         exact = possible.join(F.broadcast(listed), "key")
     else:
         once = cut(possible.distinct())
         exact = join_unique(once, listed, ["key"], hot_keys(once.groupBy("key").agg(F.count("*").alias("n")), ["key"], once.count()))
     found = cut(exact.groupBy("host", "path").agg(F.max(F.struct("weight", "rule", "verdict")).alias("best")))
-    if found.count() <= MAX_BROADCAST_ROWS:
+    fits = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0)).alias("bytes")).first()
+    if fits["n"] <= MAX_BROADCAST_ROWS and fits["bytes"] <= MAX_BROADCAST_BYTES:
         out = judged.join(F.broadcast(found), ["host", "path"], "left")
     else:
         urls = judged.groupBy("host", "path").agg(F.count("*").alias("n"))
