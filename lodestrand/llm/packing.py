@@ -7,8 +7,9 @@ the fullest sequence with room) and then improved: among all underfull sequences
 or a two-for-one exchange is made when it raises the sum of squared fills, until no exchange helps or
 the group has no more sequences than its tokens need; sequences that become empty go.  What the groups
 leave (sequences less than ``LOOSE`` full) is dealt into groups again, whole sequences together, and
-the local search goes on among those, level by level, until one group holds all that is left or a
-level no longer halves the number of groups.  No task grows with the input.
+the local search goes on among those, level by level, until one group holds all that is left, or after
+the first level that did not halve the number of groups.  Groups are counted from the pieces, which are written
+once, so a document of any number of pieces is dealt over groups like others.  No task grows with the input.
 
 Tokenizing: the tokenizer drops white space and never joins text across it, so a text is split
 at blanks and line ends, and each distinct chunk is encoded once for each task (the table of known chunks
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, stored
 
 MAX_CHUNKS = 600_000
 #: Marks that stand behind words; an apostrophe is none, for it starts contractions.
@@ -287,24 +288,22 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
 
         return cut(dealt.groupBy("part").applyInPandas(place, SCHEMA))
 
-    groups = max(1, -(-docs.count() // group_size))
-    dealt = pieces(docs, doc_id, text, length, tokenizer, end_id).withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
+    cuts = stored(pieces(docs, doc_id, text, length, tokenizer, end_id))
+    groups = max(1, -(-cuts.count() // group_size))
+    dealt = cuts.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
     done, loose = [], placed(dealt, 0)
     for level in range(1, 64):
         if groups == 1:
             break
         done.append(loose.where(F.col("fill") >= LOOSE * length))
         rest = loose.where(F.col("fill") < LOOSE * length)
-        left = max(1, -(-rest.count() // group_size))
-        if left * 2 > groups:
-            done.append(rest)
-            loose = None
-            break
-        groups = left
+        before, groups = groups, max(1, -(-rest.count() // group_size))
         loose = placed(rest.drop("offset", "fill").withColumn("part", F.pmod(F.xxhash64("sequence_id"), F.lit(groups))), level)
+        if groups * 2 > before:
+            break
     out = loose
     for part in done:
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out.drop("row", "fill")
 
 
