@@ -205,7 +205,7 @@ def temporal_sensitivity(df: DataFrame, x: str, y: str, t: str, by: list[str], t
     cells = lagged.groupBy(*by).agg(F.count("*").alias("n"), correlation("rx", "ry").alias("rho"), correlation("rx_r", "ry_r").alias("rho_detrended"), *lag1)
     triggered = (F.abs("lag1_rx_r") >= trigger) | (F.abs("lag1_ry_r") >= trigger)
     shifts = circular_shifts(flat, "rx_r", "ry_r", by, ["t"]).join(cells.select(*by, "rho_detrended"), by)
-    extreme = shifts.groupBy(*by).agg((F.count_if(F.abs("r") >= F.abs("rho_detrended") - 1e-12) / F.count("*")).alias("p_shift"))
+    extreme = shifts.groupBy(*by).agg((F.count_if(F.abs("r") >= F.abs("rho_detrended") - 1e-11) / F.count("*")).alias("p_shift"))
     direction = F.when(F.signum("rho") == F.signum("rho_detrended"), "retained").otherwise("reversed")
     change = 100 * ratio(F.abs("rho_detrended") - F.abs("rho"), F.abs("rho"))
     out = cells.join(extreme, by).withColumns({"triggered": triggered, "direction": direction, "magnitude_change_pct": change})

@@ -6,6 +6,8 @@ ordered as a whole, which is the definition of these operators; Spark sorts it w
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,16 +86,45 @@ def durbin_watson(df: DataFrame, residual: str, series: list[str], order: list[s
 def circular_shifts(df: DataFrame, x: str, y: str, series: list[str], order: list[str]) -> DataFrame:
     """Correlation of x with y shifted round by every offset 0..n-1: series, shift, r.
 
-    Every offset pairs with every row by definition (n * n rows for a series of n): meant for annual series.
+    All offsets of a series come from a few Fourier transforms (n log n), so no pair of rows is made.  A row without one of
+    the values keeps its place and takes no part in the offsets that need it.
     """
-    own, all_rows = _own(series, order), Window.partitionBy(*series)
-    rows = df.select(*series, x, y, (F.row_number().over(own) - 1).cast("long").alias("pos"), F.count("*").over(all_rows).alias("n"))
-    left = rows.select(*series, x, "pos", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("shift"))
-    left = left.withColumn("at", F.pmod(F.col("pos") - F.col("shift"), F.col("n")))
-    moved = rows.select(*series, F.col("pos").alias("at"), y)
-    from ..functions.columns import correlation
-
-    return left.join(moved, [*series, "at"]).groupBy(*series, "shift").agg(correlation(x, y).alias("r"))
+    place = fresh(df.columns, "__place")
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in series)
+    rows = df.select(*series, F.row_number().over(_own(series, order)).alias(place), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+
+    def each(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(place)
+        r = shifted_correlations(frame["__x"].to_numpy(float), frame["__y"].to_numpy(float))
+        out = {c: [v] * len(r) for c, v in zip(series, key, strict=True)}
+        return pd.DataFrame({**out, "shift": np.arange(len(r)), "r": r})
+
+    found = rows.groupBy(*series).applyInPandas(each, kinds + "shift long, r double")
+    return found.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+
+
+def shifted_correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pearson correlation of x[i] with y[i - shift] (round) for every shift, over the pairs of finite values."""
+
+    def centred(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = np.isfinite(v)
+        level = v[good].mean() if good.any() else 0.0
+        return np.where(good, v - level, 0.0), good.astype(float)
+
+    (x, has_x), (y, has_y) = centred(x), centred(y)
+
+    def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.fft.irfft(np.fft.rfft(a) * np.conj(np.fft.rfft(b)), len(a))
+
+    n, sx, sy = np.rint(over(has_x, has_y)), over(x, has_y), over(has_x, y)
+    sxx, syy, sxy = over(x * x, has_y), over(has_x, y * y), over(x, y)
+    both = has_x * has_y == 1  # no shift: exactly, since tests compare with it
+    if both.any():
+        n[0], sx[0], sy[0], sxx[0], syy[0], sxy[0] = both.sum(), x[both].sum(), y[both].sum(), (x[both] ** 2).sum(), (y[both] ** 2).sum(), (x[both] * y[both]).sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        flat = (vx <= 1e-12 * (x * x).sum()) | (vy <= 1e-12 * (y * y).sum())
+        return np.where(flat, np.nan, (sxy - sx * sy / n) / np.sqrt(vx * vy))
 
 
 def exposure(rows: DataFrame, value: str, by: list[str], date: str, threshold: int, width: int = 7) -> DataFrame:

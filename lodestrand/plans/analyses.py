@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import detrended_sd, harmonics, holds_text, log_checked, month_day, number_text, percent_effect, recode, same_text, singleton
-from ..operators import contracts, linear, models, rankstats, relational, resample, timeseries, validation
+from ..functions.columns import checked_range, detrended_sd, harmonics, holds_text, log_checked, month_day, number_text, percent_effect, recode, same_text, singleton
+from ..operators import contracts, hypotheses, linear, models, rankstats, relational, resample, timeseries, validation
 from .base import DAILY, ENV, JOINED, PANEL, corr, daily, environment, index_sql, joined, normal_sql, normal_tail_sql, panel, ranks, t_quantile_sql, t_tail_sql, table
 from .queries import BASELINES, MILLI_DAYS, MILLI_MEAN, POSITIONED, QUERIES, SQL, TESTS, WINDOWS_SQL, forecasts, milli_days, query, r6, rounded, tests_of, windows
 
@@ -262,6 +262,34 @@ def ridge_influence_summary(spark, d):
     return models.ridge_influence(joined(spark, d), ["x1", "x2", "x3"], "y", ["grp"], "m", 10.0, log1p=True)[1]
 
 
+# -- hypotheses
+
+
+@query(f"""
+WITH {JOINED}, {POSITIONED}, s AS (SELECT p.grp, k.rep, {index_sql("k.rep", "p.pos", 62, "p.n")} AS at FROM pos p, (SELECT unnest(range(0, 200)) AS rep) k),
+b AS (SELECT s.grp, s.rep, p.x1, p.y FROM s JOIN pos p ON p.grp = s.grp AND p.pos = s.at), r AS ({ranks("grp, rep", "x1", "y", "b")}),
+ci AS (SELECT grp, quantile_cont(rho, 0.025) AS low, quantile_cont(rho, 0.975) AS high FROM (SELECT grp, rep, {corr("rx", "ry")} AS rho FROM r GROUP BY ALL) GROUP BY grp),
+r1 AS ({ranks("grp", "x1", "y", "joined", ", m")}), p1 AS (SELECT grp, rx, ry, row_number() OVER (PARTITION BY grp ORDER BY m) - 1 AS pos FROM r1),
+o1 AS (SELECT grp, {corr("rx", "ry")} AS rho FROM p1 GROUP BY grp), r3 AS ({ranks("grp", "x3", "y", "joined")}), o3 AS (SELECT grp, {corr("rx", "ry")} AS rho FROM r3 GROUP BY grp),
+h AS (SELECT p1.grp, k.rep, p1.rx, row_number() OVER (PARTITION BY p1.grp, k.rep ORDER BY {index_sql("k.rep", "p1.pos", 61, "2147483647")}, p1.pos) - 1 AS at FROM p1, (SELECT unnest(range(0, 200)) AS rep) k),
+c2 AS (SELECT h.grp, h.rep, {corr("h.rx", "p1.ry")} AS rho FROM h JOIN p1 ON p1.grp = h.grp AND p1.pos = h.at GROUP BY ALL),
+pp AS (SELECT c2.grp, (count(*) FILTER (WHERE abs(c2.rho) >= abs(o1.rho) - 1e-12) + 1) / 201.0 AS p FROM c2 JOIN o1 USING (grp) GROUP BY c2.grp),
+k AS (SELECT pp.*, row_number() OVER (ORDER BY p, grp) AS k, count(*) OVER () AS tests FROM pp),
+hm AS (SELECT grp, p, least(max((tests - k + 1) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 1) AS holm FROM k),
+{ols_sql('x1', p='f_')}, t AS (SELECT grp, m FROM f_g QUALIFY row_number() OVER (PARTITION BY grp ORDER BY cook DESC, m) = 1),
+less AS (SELECT j.* FROM joined j ANTI JOIN t ON t.grp = j.grp AND t.m = j.m), rl AS ({ranks("grp", "x1", "y", "less")}), ol AS (SELECT grp, {corr("rx", "ry")} AS rho FROM rl GROUP BY grp),
+z AS (SELECT grp, o1.rho, low, high, hm.p, holm, holm < 0.9 AS passed, f_c.coef AS beta, o3.rho AS rho_alternative, ol.rho AS rho_without, t.m AS omitted, sign(o1.rho) = 1 AS matched
+      FROM o1 JOIN ci USING (grp) JOIN hm USING (grp) JOIN f_c USING (grp) JOIN o3 USING (grp) JOIN ol USING (grp) JOIN t USING (grp) WHERE f_c.term = 'x1')
+SELECT grp, round(rho, 6) AS rho, round(low, 6) AS low, round(high, 6) AS high, round(p, 6)::DOUBLE AS p, round(holm, 6)::DOUBLE AS holm, passed, round(beta, 6) AS beta, round(rho_alternative, 6) AS rho_alternative,
+       round(rho_without, 6) AS rho_without, omitted, matched, CASE WHEN matched AND passed AND sign(rho_alternative) = sign(rho) AND sign(rho_without) = sign(rho) THEN 'supported' ELSE 'not supported' END AS status,
+       CASE WHEN matched AND passed THEN 'supported' ELSE 'not supported' END AS mechanism_status FROM z""")
+def hypothesis_family(spark, d):
+    """Status of a family of hypotheses from Holm's p, an alternative predictor and the most influential row (a generous level, for these tables)."""
+    out = hypotheses.hypothesis_status(joined(spark, d), "x1", "y", ["grp"], "m", 1, "x3", 200, 200, 61, level=0.9)
+    names = ["rho", "low", "high", "p", "holm", "beta", "rho_alternative", "rho_without"]
+    return rounded(out, *names).select("grp", *names[:5], "passed", *names[5:], "omitted", "matched", "status", "mechanism_status")
+
+
 # -- rolling validation
 
 
@@ -391,6 +419,26 @@ def ensemble_medians(spark, d):
     return rounded(middle.groupBy("grp").agg(F.count("*").alias("rows"), F.avg("p").alias("middle_mean"), F.max("p").alias("middle_max")), "middle_mean", "middle_max", to=3)
 
 
+TWO_SUMS = "count(*) AS k, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11, sum(x2 * x2) AS s22, sum(x1 * x2) AS s12, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y"
+
+
+@query(f"""
+WITH {JOINED}, r AS (SELECT *, (m - 1) // 12 AS yr FROM joined), g AS (SELECT grp, yr, {TWO_SUMS} FROM r GROUP BY ALL),
+o AS (SELECT grp, yr, {", ".join(f"sum({c}) OVER (PARTITION BY grp) - {c} AS {c}" for c in ("k", "s1", "s2", "sy", "s11", "s22", "s12", "s1y", "s2y"))} FROM g),
+c AS (SELECT *, s11 - s1 * s1 / k AS c11, s22 - s2 * s2 / k AS c22, s12 - s1 * s2 / k AS c12, s1y - s1 * sy / k AS c1y, s2y - s2 * sy / k AS c2y FROM o),
+e AS (SELECT *, c11 * (1 + 10.0 / k) AS d1, c22 * (1 + 10.0 / k) AS d2 FROM c),
+b AS (SELECT *, (d2 * c1y - c12 * c2y) / (d1 * d2 - c12 * c12) AS b1, (d1 * c2y - c12 * c1y) / (d1 * d2 - c12 * c12) AS b2, c1y / d1 AS b0 FROM e),
+h AS (SELECT grp, y, sy / k + b1 * (x1 - s1 / k) + b2 * (x2 - s2 / k) AS p2, sy / k + b0 * (x1 - s1 / k) AS p1 FROM r JOIN b USING (grp, yr)),
+l AS (SELECT grp, 'full' AS model, y, p2 AS p FROM h UNION ALL SELECT grp, 'subset', y, p1 FROM h)
+SELECT grp, model, count(*) AS n, round(sqrt(avg((p - y) ** 2)), 3) AS rmse, round(avg(abs(p - y)), 3) AS mae, round(avg(p - y), 3) AS bias FROM l GROUP BY ALL""")
+def feature_subsets(spark, d):
+    """A model and one on a subset of its features: the same folds, alpha and errors."""
+    rows = joined(spark, d).withColumn("yr", F.floor((F.col("m") - 1) / 12).cast("long"))
+    parts = [models.held_out(rows, features, "y", "yr", [10.0], ["grp"]).withColumn("model", F.lit(name)) for name, features in (("full", ["x1", "x2"]), ("subset", ["x1"]))]
+    scored = validation.metrics(parts[0].unionByName(parts[1]), "y", "held_out", ["grp", "model"])
+    return rounded(scored, "rmse", "mae", "bias", to=3).select("grp", "model", "n", "rmse", "mae", "bias")
+
+
 @query(f"""
 WITH w(window_id, start_md, end_md) AS (VALUES {WINDOWS_SQL}),
 o AS (SELECT 1 AS one, CAST(year(o_orderdate) AS BIGINT) AS yr, CAST(month(o_orderdate) AS BIGINT) AS mo, month(o_orderdate) * 100 + day(o_orderdate) AS md,
@@ -709,6 +757,16 @@ def text_format(spark, d):
     return table(spark, d, "orders").select("o_orderkey", price.alias("price"), label.alias("label"), F.startswith("o_orderpriority", F.lit("1")).alias("urgent"), F.size(F.filter(flags, lambda z: z)).cast("long").alias("n_true"), F.array_contains(F.array("o_orderstatus", F.lit("X")), "F").alias("has_f"))
 
 
+@query("""
+SELECT l_returnflag, count(*) AS n, round(sum(l_discount), 4) AS discounts, round(max(l_tax), 4) AS top FROM lineitem
+WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY ALL""")
+def range_gate(spark, d):
+    """Rows of two years; a discount or tax outside its bounds would make the query fail."""
+    rows = table(spark, d, "lineitem").where(F.col("l_shipdate").cast("date").between("1996-01-01", "1997-12-31"))
+    discount, tax = checked_range(F.col("l_discount"), 0, 1, "discount"), checked_range(F.col("l_tax"), 0, 1, "tax")
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(discount), 4).alias("discounts"), F.round(F.max(tax), 4).alias("top"))
+
+
 # -- gates
 
 
