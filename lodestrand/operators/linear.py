@@ -43,6 +43,21 @@ def ridge_from_gram(g: np.ndarray, alpha: float) -> np.ndarray:
     return np.r_[target_mean - mean @ beta, beta]
 
 
+def checked_ridge(g: np.ndarray, alpha: float) -> np.ndarray:
+    """(intercept, raw slopes) of a Gram matrix; too few rows, a constant feature or a singular system raise."""
+    n, p = g[0, 0], len(g) - 2
+    if n <= p:
+        raise ValueError(f"{int(n)} rows are too few for {p} features")
+    mean = g[0, 1:-1] / n
+    cov = g[1:-1, 1:-1] / n - np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(cov), 0))
+    if (spread <= 1e-12 * np.maximum(1, np.abs(mean))).any():
+        raise ValueError("a feature is constant")
+    if p and np.linalg.cond(cov / np.outer(spread, spread) + alpha / n * np.eye(p)) > 1e12:
+        raise ValueError("the regression matrix is singular")
+    return ridge_from_gram(g, alpha)
+
+
 def ridge(df: DataFrame, features: list[str], target: str, by: list[str], alpha: float) -> DataFrame:
     """Ridge coefficients of each group: by, term, coef (alpha 0: least squares)."""
     size, terms = len(features) + 2, ["intercept", *features]
@@ -71,7 +86,8 @@ def leave_group_out_ridge(df: DataFrame, features: list[str], target: str, group
     """Held-out errors of ridge fits without each group in turn: alpha, rmse, mae, r2, best.
 
     A fold's Gram matrix is the total less the group's own, so the data are read once for the sums
-    and once for the predictions; coefficients (groups x alphas) join back by group.
+    and once for the predictions; coefficients (groups x alphas) join back by group.  A fold that cannot be
+    fitted (too few rows, a constant feature, a singular system) raises.
     """
     size = len(features) + 2
     own = gram(df, features, target, [group])
@@ -84,7 +100,7 @@ def leave_group_out_ridge(df: DataFrame, features: list[str], target: str, group
             rows = []
             for key, cells, all_cells in zip(frame[group], frame["gram"], frame["total"], strict=True):
                 g = unpack_gram(np.asarray(all_cells) - np.asarray(cells), size)
-                rows += [(key, a, list(ridge_from_gram(g, a))) for a in alphas]
+                rows += [(key, a, list(checked_ridge(g, a))) for a in alphas]
             yield pd.DataFrame(rows, columns=[group, "alpha", "coef"])
 
     fits = paired.mapInPandas(solve, f"`{group}` {kind}, alpha double, coef array<double>")

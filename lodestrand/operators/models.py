@@ -10,25 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_checked, ratio
-from .linear import _kinds, gram, keys_of, ridge_from_gram, shapiro_wilk, unpack_gram, vif
+from .linear import _kinds, checked_ridge, gram, keys_of, shapiro_wilk, unpack_gram, vif
 from .timeseries import durbin_watson
 
 
-def checked_ridge(g: np.ndarray, alpha: float) -> np.ndarray:
-    """(intercept, raw slopes) of a Gram matrix; too few rows, a constant feature or a singular system raise."""
-    n, p = g[0, 0], len(g) - 2
-    if n <= p:
-        raise ValueError(f"{int(n)} rows are too few for {p} features")
-    mean = g[0, 1:-1] / n
-    cov = g[1:-1, 1:-1] / n - np.outer(mean, mean)
-    spread = np.sqrt(np.maximum(np.diag(cov), 0))
-    if (spread <= 1e-12 * np.maximum(1, np.abs(mean))).any():
-        raise ValueError("a feature is constant")
-    if p and np.linalg.cond(cov / np.outer(spread, spread) + alpha / n * np.eye(p)) > 1e12:
-        raise ValueError("the regression matrix is singular")
-    return ridge_from_gram(g, alpha)
-
-
 def _scored(coef, features: list[str]):
     return coef[0] + sum((F.col(c) * coef[i + 1] for i, c in enumerate(features)), F.lit(0.0))
 

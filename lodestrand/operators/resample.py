@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, finite, hashed_index, hashed_indices, hashed_normal
@@ -168,18 +168,27 @@ def scenario_paths(trends: DataFrame, models: DataFrame, errors: DataFrame, by:
     last + slope * step + offset * sd + N(0, noise * sd).  ``models``: by, intercept.  The response is
     expm1(intercept + sum of coef * (path - mean) / scale) plus one of the model's own ``errors`` (by, pos
     from 0, e; drawn anew for each path and step), floored at 0.  Draws are hashed, so any cluster gives
-    the same; a path costs a row per feature, step and scenario, and only quantiles are kept.
+    the same; a path costs a row per step and scenario, and only quantiles are kept.
     """
     table = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(i).alias("number"), F.lit(float(v)).alias("shift")) for i, (k, v) in enumerate(offsets.items())])).alias("s")
     numbered = trends.withColumn("f", F.row_number().over(Window.partitionBy(*by).orderBy("feature")) - 1)
-    grid = numbered.select("*", table).select(*numbered.columns, "s.scenario", "s.number", "s.shift")
-    grid = grid.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(years)))).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    place = F.col("step") + 100 * F.col("f") + 10_000 * F.col("number")
-    path = F.col("last") + F.col("slope") * F.col("step") + F.col("shift") * F.col("sd") + hashed_normal(F.col("rep"), place, seed) * noise * F.col("sd")
-    parts = grid.withColumn("part", F.col("coef") * (path - F.col("mean")) / F.col("scale"))
-    summed = parts.groupBy(*by, "scenario", "number", "step", "rep").agg(F.sum("part").alias("part"))
-    sized = models.join(errors.groupBy(*by).agg(F.count("*").alias("n_errors")), by)
+    parts = F.sort_array(F.collect_list(F.struct("f", "last", "slope", "sd", "mean", "scale", "coef"))).alias("parts")  # an entry per feature
+    sized = models.join(numbered.groupBy(*by).agg(parts), by).join(errors.groupBy(*by).agg(F.count("*").alias("n_errors")), by)
+    grid = sized.select("*", table).select(*by, "intercept", "parts", "n_errors", "s.scenario", "s.number", "s.shift")
+    grid = grid.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(years))))
+    # Paths are made where the rows are: nothing is shuffled before the quantiles.
+    grid = grid.repartition(*by, "scenario", "step").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+
+    def part(p: Column) -> Column:
+        place = F.col("step") + 100 * p["f"] + 10_000 * F.col("number")
+        path = p["last"] + p["slope"] * F.col("step") + F.col("shift") * p["sd"] + hashed_normal(F.col("rep"), place, seed) * noise * p["sd"]
+        return p["coef"] * (path - p["mean"]) / p["scale"]
+
+    total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + part(p))
     at = hashed_index(F.col("rep"), F.col("step") + 10_000 * F.col("number"), seed + 1, F.col("n_errors"))
-    full = summed.join(sized, by).withColumn("pos", at).join(errors.select(*by, "pos", "e"), [*by, "pos"])
-    paths = full.withColumn("value", F.greatest(F.expm1(F.col("intercept") + F.col("part")) + F.col("e"), F.lit(0.0)))
-    return paths.groupBy(*by, "scenario", "step").agg(*[F.percentile("value", F.lit(q)).alias(n) for n, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))])
+    drawn_ = grid.select(*by, "scenario", "step", (F.col("intercept") + total).alias("level"), at.alias("pos"))
+    most = errors.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
+    listed = errors.select(*by, "pos", "e")
+    full = drawn_.join(F.broadcast(listed) if most <= MAX_ROWS else listed, [*by, "pos"])
+    paths = full.withColumn("value", F.greatest(F.expm1("level") + F.col("e"), F.lit(0.0)))
+    return paths.groupBy(*by, "scenario", "step").agg(*[F.percentile("value", F.lit(q)).alias(n) for n, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))])  # as many values as draws
