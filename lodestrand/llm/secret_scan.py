@@ -46,10 +46,9 @@ FORMS = (
     re.compile(r"://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@"),
 )
 SIGN = re.compile(r"[=:]")
-#: The name before a sign, and the value behind it: quoted, or up to a blank.
-NAME = re.compile(r"([^\W\d_][\w.-]*)[\"'`\])]*[ \t]*$")
+#: The value behind a sign: quoted, or up to a blank.
 QUOTED = r"\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`"
-VALUE = re.compile(rf"[=:>]*[ \t]*(?:{QUOTED}|([^\s\"'`<>]+))")
+VALUE = re.compile(rf"[=:>]*+[ \t]*+(?:{QUOTED}|([^\s\"'`<>]+))")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORD = re.compile(r"[^\W\d_]+")
 LETTERS = re.compile(r"[a-z]{3,}")
@@ -75,6 +74,27 @@ def _value(m: re.Match, query: bool = False) -> tuple[int, int]:
     return a, b
 
 
+def name_before(text: str, end: int) -> tuple[int, int] | None:
+    """Where the name before a sign is, however long: letters, digits, ``_.-`` from a letter on, then closing marks and blanks.
+
+    A name's characters belong to the sign behind it alone, so all names of a text take one walk.
+    """
+    while end and text[end - 1] in " \t":
+        end -= 1
+    while end and text[end - 1] in "\"'`])":
+        end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+        start -= 1
+    while start < end and not text[start].isalpha():
+        start += 1
+    return (start, end) if start < end else None
+
+
+def names_credential(name: str) -> bool:
+    return not CREDENTIALS.isdisjoint([*(w.lower() for w in WORD.findall(CAMEL.sub(" ", name))), name.lower()])
+
+
 def find_candidates(text: str) -> list[tuple[int, int, bool]]:
     """Start, end and whether the form alone tells, by start; of two that overlap the more telling one."""
     found: list[tuple[int, int, bool]] = []
@@ -84,11 +104,11 @@ def find_candidates(text: str) -> list[tuple[int, int, bool]]:
     for m in SIGN.finditer(text):
         if m.start() < after:
             continue
-        name = NAME.search(text, max(0, m.start() - 60), m.start())
-        if name and not CREDENTIALS.isdisjoint(w.lower() for w in WORD.findall(CAMEL.sub(" ", name[1])) + [name[1].lower()]):
+        name = name_before(text, m.start())
+        if name and names_credential(text[slice(*name)]):
             value = VALUE.match(text, m.end())
             if value:
-                a, b = _value(value, text[name.start() - 1 : name.start()] in ("?", "&"))
+                a, b = _value(value, text[name[0] - 1 : name[0]] in ("?", "&"))
                 if a < b and text[a:b].lower() not in CREDENTIALS:
                     found.append((a, b, False))
                     after = b
@@ -281,3 +301,93 @@ def brute_force(text: str) -> set[tuple[int, int]]:
             out.add((at, end))
         at = max(end, at + 1)
     return out
+
+
+def plain_candidates(text: str) -> list[tuple[int, int, bool]]:
+    """What find_candidates returns, by walking from letter to letter and trying every place, for tests."""
+    found: list[tuple[int, int, bool]] = []
+    for form in FORMS:
+        at = 0
+        while at < len(text):
+            m = form.match(text, at)
+            if m:
+                found.append((*m.span(form.groups), True))
+            at = m.end() if m and m.end() > at else at + 1
+
+    def quoted(at: int) -> tuple[int, int] | None:
+        mark, i = text[at], at + 1
+        while i < len(text) and text[i] != mark:
+            if text[i] == "\n" or (text[i] == "\\" and mark != "`" and (i + 1 == len(text) or text[i + 1] == "\n")):
+                return None
+            i += 2 if text[i] == "\\" and mark != "`" else 1
+        return (at + 1, i) if at + 1 < i < len(text) else None
+
+    def bare(at: int) -> int:
+        while at < len(text) and not text[at].isspace() and text[at] not in "\"'`<>":
+            at += 1
+        return at
+
+    def shortened(a: int, b: int, query: bool = False) -> tuple[int, int]:
+        if query and "&" in text[a:b]:
+            b = a + text[a:b].index("&")
+        while b > a and text[b - 1] in ".,;:!?)]}":
+            b -= 1
+        return a, b
+
+    at = 0
+    for sign, c in enumerate(text):
+        if c not in "=:" or sign < at:
+            continue
+        end = sign
+        while end and text[end - 1] in " \t":
+            end -= 1
+        while end and text[end - 1] in "\"'`])":
+            end -= 1
+        start = end
+        for i in range(end - 1, -1, -1):
+            if not (text[i].isalnum() or text[i] in "_.-"):
+                break
+            start = i if text[i].isalpha() else start
+        name = text[start:end]
+        parts, word = [], ""
+        for i, x in enumerate(name):
+            if not x.isalpha() or (x.isupper() and x.isascii() and i and name[i - 1].islower() and name[i - 1].isascii()):
+                parts.append(word)
+                word = ""
+            word += x if x.isalpha() else ""
+        if not name or CREDENTIALS.isdisjoint([w.lower() for w in (*parts, word, name)]):
+            continue
+        i = sign + 1
+        while i < len(text) and text[i] in "=:>":
+            i += 1
+        while i < len(text) and text[i] in " \t":
+            i += 1
+        if i == len(text):
+            continue
+        span = quoted(i) if text[i] in "\"'`" else shortened(i, bare(i), start > 0 and text[start - 1] in "?&")
+        if span and span[0] < span[1] and text[slice(*span)].lower() not in CREDENTIALS:
+            found.append((*span, False))
+            at = span[1]
+    at = 0
+    while at < len(text):
+        m = SPACED.match(text, at)
+        if m:
+            found.append((*_value(m), False))
+        at = m.end() if m else at + 1
+    key, at = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"), 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in key:
+            end += 1
+        if end - at >= 16:
+            tail = end
+            while tail < len(text) and text[tail] == "=":
+                tail += 1
+            fits = tail - end in (1, 2) and not (tail < len(text) and text[tail] in key)
+            found.append((at, tail if fits else end, False))
+        at = max(end, at + 1)
+    out: list[tuple[int, int, bool]] = []
+    for one in found:
+        if one[0] < one[1] and all(one[1] <= o[0] or o[1] <= one[0] for o in out):
+            out.append(one)
+    return sorted(out)

@@ -1,14 +1,16 @@
 """Registered queries against their SQL, and the stages of the pipeline."""
 
+import hashlib
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrand.llm import decontaminate, line_dedup, near_dedup, neighbours, packing, toxicity
+from lodestrand.llm import decontaminate, line_dedup, near_dedup, neighbours, packing, secret_scan, toxicity
 from lodestrand.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +91,7 @@ def test_registered_toxicity(spark, docs):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
     held = got[got.held_out].merge(labels, on="doc_id")
     assert (held[held.toxic == 0].predicted == 0).mean() >= 0.97
+    assert (held[held.toxic == 1].predicted == 1).mean() >= 0.5
 
 
 def test_toxicity_scores_equal_a_plain_walk_through_the_cascade(spark, docs):
@@ -122,6 +125,26 @@ def test_registered_secret_scan(spark, docs):
     assert found == want
 
 
+def test_secret_scan_equals_a_plain_scan(spark, docs):
+    """The whole query against candidates found letter by letter, features counted plainly and the forest asked one by one."""
+    got = {(r.doc_id, r.start): r for r in QUERIES["op4_secret_scan"](spark, SF).collect()}
+    seen: dict = {}
+    for t in docs.text:
+        for w in set(secret_scan.LETTERS.findall((t or "").lower())):
+            seen[w] = seen.get(w, 0) + 1
+    dictionary = {w for w, n in seen.items() if n >= max(3, len(docs) // 2000)}
+    model = secret_scan.train(spark, secret_scan.findings_frame(spark, secret_scan.labelled_findings(dictionary)))
+    want = 0
+    for doc, text in zip(docs.doc_id, docs.text, strict=True):
+        for a, b, known in secret_scan.plain_candidates(text or ""):
+            own = secret_scan.features(text[max(0, a - 40) : a], text[a:b], text[b : b + 40], dictionary, known)
+            row, want = got[doc, a], want + 1
+            assert (row.n_chars, row.sha256) == (b - a, hashlib.sha256(text[a:b].encode()).hexdigest())
+            score = model.predictProbability(Vectors.dense(own))[1]
+            assert row.score == pytest.approx(score) and row.secret == (score >= 0.5)
+    assert want == len(got) > 0
+
+
 def naive_pipeline(spark):
     """What the pipeline keeps, by brute force on the smallest tables (scores and packing from their operators)."""
     table = spark.read.parquet(f"{SF}/documents.parquet")
