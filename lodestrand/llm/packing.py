@@ -12,8 +12,8 @@ the first level that did not halve the number of groups.  Groups are counted fro
 once, so a document of any number of pieces is dealt over groups like others.  No task grows with the input.
 
 Tokenizing: the tokenizer drops white space and never joins text across it, so a text is split
-at blanks and line ends, and each distinct chunk is encoded once for each task (the table of known chunks
-is emptied when it reaches ``MAX_CHUNKS``).
+at blanks and line ends, and each distinct chunk is encoded once for each Python worker, whose tasks share the
+table of known chunks (it is emptied when it reaches ``MAX_CHUNKS``).
 
 Defined cases: a null or empty text is the end token alone; a null id is kept; repeated rows are packed
 each for itself; texts of any length are cut whole; equal lengths go by row and piece, where rows are
@@ -109,13 +109,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_KEPT: dict[str, ChunkTokenizer] = {}
+
+
+def kept_tokenizer(path: str) -> ChunkTokenizer:
+    """The one of this process: a Python worker runs many tasks, and what it knows of chunks serves them all."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = ChunkTokenizer(path)
+    return _KEPT[path]
+
+
 def pieces(docs: DataFrame, doc_id: str, text: str, length: int, tokenizer: str, end_id: int) -> DataFrame:
     """One row per piece: row number, doc_id, piece, start, length, ids_crc32."""
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
     end = np.array([end_id], "<u4")
 
     def cut_up(batches):
-        encoder = ChunkTokenizer(tokenizer_path(tokenizer))
+        encoder = kept_tokenizer(tokenizer_path(tokenizer))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
