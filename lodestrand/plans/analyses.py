@@ -653,9 +653,9 @@ def static_scenarios(spark, d):
         fit = coefficients.groupBy("grp").pivot("term", ["const", x]).agg(F.first("coef")).withColumnsRenamed({"const": "a", x: "b"})
         own = Window.partitionBy("grp")
         z = rows.select("grp", ((F.col(x) - F.avg(x).over(own)) / F.stddev_samp(x).over(own)).alias("z"))
-        at = z.groupBy("grp").agg(*[F.percentile("z", F.lit(q)).alias(n) for n, q in (("low", 0.1), ("middle", 0.5), ("high", 0.9))]).unpivot(["grp"], ["low", "middle", "high"], "scenario", "z")
+        at = rankstats.quantiles(z, "z", ["grp"], {"low": 0.1, "middle": 0.5, "high": 0.9}).unpivot(["grp"], ["low", "middle", "high"], "scenario", "z")
         held = linear.rolling_ridge(rows, [x], "y", ["grp"], "m", [0.0], least=12)
-        band = held.groupBy("grp").agg(*[F.percentile(F.col("actual") - F.col("predicted"), F.lit(q)).alias(n) for n, q in (("lo", 0.025), ("hi", 0.975))])
+        band = rankstats.quantiles(held.withColumn("e", F.col("actual") - F.col("predicted")), "e", ["grp"], {"lo": 0.025, "hi": 0.975}).drop("n")
         point = F.expm1(F.col("a") + F.col("b") * F.col("z"))
         cells = [F.greatest(c, F.lit(0.0)).alias(n) for n, c in (("projected", point), ("lower", point + F.col("lo")), ("upper", point + F.col("hi")))]
         parts.append(at.join(fit, "grp").join(band, "grp").select("grp", "scenario", *cells))

@@ -650,9 +650,9 @@ SELECT grp, scenario, CAST(yr AS BIGINT) AS yr, round(greatest(a + b * x, 0), 2)
 FROM f JOIN q USING (grp) JOIN e USING (grp), (SELECT unnest(range(2026, 2041)) AS yr)""")
 def scenario_quantiles(spark, d):
     fits = linear.simple_ols(joined(spark, d), "x2", "y", ["grp"])
-    cells = [F.percentile("x2", F.lit(q)).alias(n) for n, q in (("low", 0.1), ("middle", 0.5), ("high", 0.9))]
-    band = [F.percentile("residual", F.lit(q)).alias(n) for n, q in (("lo", 0.025), ("hi", 0.975))]
-    each = fits.groupBy("grp").agg(F.max("slope").alias("b"), F.max("intercept").alias("a"), *cells, *band)
+    cells = rankstats.quantiles(fits, "x2", ["grp"], {"low": 0.1, "middle": 0.5, "high": 0.9}).drop("n")
+    band = rankstats.quantiles(fits, "residual", ["grp"], {"lo": 0.025, "hi": 0.975}).drop("n")
+    each = fits.groupBy("grp").agg(F.max("slope").alias("b"), F.max("intercept").alias("a")).join(cells, "grp").join(band, "grp")
     long = each.unpivot(["grp", "a", "b", "lo", "hi"], ["low", "middle", "high"], "scenario", "x").withColumn("yr", F.explode(F.sequence(F.lit(2026).cast("long"), F.lit(2040).cast("long"))))
     at = F.col("a") + F.col("b") * F.col("x")
     floor = lambda c: F.round(F.greatest(c, F.lit(0.0)), 2)
