@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,6 +107,39 @@ def placed(rows: DataFrame, key: str, order: list[str], ranges: int) -> DataFram
     return found.select(*rows.columns, (F.col("__seq") + F.col("__shift")).alias("at"), "n")
 
 
+def placed_in_order(rows: DataFrame, key: str, order: list[str], ranges: int) -> DataFrame:
+    """As ``placed``, without ``n``, for wide rows: they shuffle once, into their ranges, where a key's rows are counted as they pass.
+
+    Only a range's first key can go on from earlier ranges, so what is joined has a row per range at most.  ``rows`` may
+    be a scan with narrow steps; ``key`` is a string and never null.
+    """
+    at = rows.columns.index(key)
+
+    def count(batches):
+        last, n = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(at).to_numpy(zero_copy_only=False)
+            starts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
+            sizes = np.diff(np.r_[starts, len(keys)])
+            place = np.arange(len(keys)) - np.repeat(starts, sizes)
+            if keys[0] == last:
+                place[: sizes[0]] += n
+            last, n = keys[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int64())], [*b.schema.names, "__place"])
+
+    dealt = rows.repartitionByRange(ranges, key, *order).sortWithinPartitions(key, *order).withColumn("__part", F.spark_partition_id())
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    ordered = stored(dealt.mapInArrow(count, kinds + ", __place long"))
+    own = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = ordered.groupBy(key, "__part").agg(F.count("*").alias("__rows"))
+    heads = spans.select(F.col(key).alias("__head"), "__part", F.sum("__rows").over(own).alias("__before")).where("__before > 0")
+    found = ordered.join(F.broadcast(heads), "__part", "left")  # a row per range
+    ahead = F.when(F.col(key) == F.col("__head"), F.col("__before")).otherwise(0)
+    return found.select(*rows.columns, (F.col("__place") + ahead).alias("at"))
+
+
 def crc_sql(text: str) -> str:
     """DuckDB SQL of the unsigned crc32 of an ASCII text, bit by bit."""
     bits = ", ".join(["-1"] * 8)

@@ -7,7 +7,7 @@ ASCII-least audit.  Edits: Keep costs 0, Rerole to user or assistant 2, Delete 3
 Insert an empty user or assistant turn 2; a truncated turn that stays adds 1.  State and letter give the role, so an
 audit tells the repaired conversation.
 
-A conversation may hold any share of all rows: turns get their places by a sort over ranges (``placed``) and are folded
+A conversation may hold any share of all rows: turns get their places by a sort over ranges (``placed_in_order``) and are folded
 in chunks of ``CHUNK`` turns.  A chunk after the first is folded from each of the four states, and chunks, then
 groups of ``GROUP`` of them, compose like matrices of (cost, audit) until one is left.  Repeats are found by windows
 over a turn's digest within a chunk, then over the chunks' first ones.  The audit is one value of a conversation's row.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_sql, placed, ranges_for, read, stored
+from .common import crc_sql, placed_in_order, ranges_for, read, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 CHUNK = 1024
@@ -40,14 +40,14 @@ WAY = "struct<" + ",".join(f"{s}:struct<cost:bigint,audit:string>" for s in STAT
 
 
 def flagged(rows: DataFrame, ranges: int) -> DataFrame:
-    """Turns in their places, with their first fault: key, conv_id, at, n, turn, role, text, initial, fault (null for none).
+    """Turns in their places: key, conv_id, turn, role, text, tie, at.
 
     ``rows`` (conv_id, turn, role, text) must be a scan or a stored table, narrowly transformed.
     """
     key = F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("+"), F.col("conv_id").cast("string")))
     blank = [F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")]
     turns = rows.select(key.alias("key"), "conv_id", "turn", *blank, F.monotonically_increasing_id().alias("tie"))
-    return placed(turns, "key", ["turn", "role", "text", "tie"], ranges)
+    return placed_in_order(turns, "key", ["turn", "role", "text", "tie"], ranges)
 
 
 def faults(turns: DataFrame) -> DataFrame:
