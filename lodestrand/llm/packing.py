@@ -13,7 +13,7 @@ once, so a document of any number of pieces is dealt over groups like others.  N
 
 Tokenizing: the tokenizer drops white space and never joins text across it, so a text is split
 at blanks and line ends, and each distinct chunk is encoded once for each Python worker, whose tasks share the
-table of known chunks (it is emptied when it reaches ``MAX_CHUNKS``).
+table of known chunks: two generations of half of ``MAX_CHUNKS``, of which the older one goes when the other is full.
 
 Defined cases: a null or empty text is the end token alone; a null id is kept; repeated rows are packed
 each for itself; texts of any length are cut whole; equal lengths go by row and piece, where rows are
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read, stored
 
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 700_000
 #: Marks that stand behind words; an apostrophe is none, for it starts contractions.
 MARKS = ".,!?;:|"
 
@@ -56,6 +56,9 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {"": b""}
+        #: The generation before: what it has is taken over when it is met again.
+        self.older: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,9 +77,7 @@ class ChunkTokenizer:
                 self.words.update((w, self._ids(w)) for w in part)
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > MAX_CHUNKS:
-            self.known, self.words = {"": b""}, {"": b""}
-        known, words, simple, fresh = self.known, self.words, [], set()
+        known, words, older, simple, fresh = self.known, self.words, self.older_words, [], set()
         for chunk in chunks:
             word = chunk.rstrip(MARKS)
             # Python lower-cases some letters by their place in a word, the tokenizer does not.
@@ -84,7 +85,10 @@ class ChunkTokenizer:
             if word.isalpha() and (word.isascii() or word.lower().isalpha() and is_normalized("NFC", word)):
                 simple.append((chunk, low, chunk[len(word) :]))
                 if low not in words:
-                    fresh.add(low)
+                    if low in older:
+                        words[low] = older[low]
+                    else:
+                        fresh.add(low)
             else:
                 known[chunk] = self._ids(chunk)
         self._add_words(list(fresh))
@@ -96,9 +100,14 @@ class ChunkTokenizer:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text, without special tokens."""
         chunked = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > MAX_CHUNKS // 2:
+            self.older, self.older_words = self.known, self.words
+            self.known, self.words = {"": b""}, {"": b""}
         missing = set().union(*chunked).difference(self.known)
-        if missing:
-            self._learn(missing if len(self.known) + len(missing) <= MAX_CHUNKS else set().union(*chunked))
+        again = missing.intersection(self.older)
+        self.known.update((c, self.older[c]) for c in again)
+        if len(again) < len(missing):
+            self._learn(missing - again)
         lookup = self.known.__getitem__
         return [np.frombuffer(b"".join(map(lookup, chunks)), "<u4") for chunks in chunked]
 
