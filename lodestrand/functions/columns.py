@@ -219,6 +219,18 @@ def hashed_normal(rep: Column, pos: Column, seed: int) -> Column:
     return F.sqrt(-2 * F.log(u)) * F.cos(v * (2 * math.pi))
 
 
+def hashed_normals(rep: np.ndarray, pos: np.ndarray, seed: int) -> np.ndarray:
+    """``hashed_normal`` of arrays (that broadcast against each other)."""
+    m = 2147483647
+
+    def uniform(a: int, b: int, c: int, extra: int) -> np.ndarray:
+        w = (np.asarray(rep, np.int64) * a + np.asarray(pos, np.int64) * b + seed + extra) % m
+        return ((w * w % m * c + w) % m + 1) / float(m + 1)
+
+    u, v = uniform(7919, 104729, 48271, 0), uniform(15485863, 32452843, 69621, 12345)
+    return np.sqrt(-2 * np.log(u)) * np.cos(v * (2 * math.pi))
+
+
 def number_range(spark: SparkSession, n: int, name: str, partitions: int | None = None, start: int = 0) -> DataFrame:
     """``n`` whole numbers from ``start`` (years, say)."""
     return spark.range(start, start + n, 1, partitions).withColumnRenamed("id", name)

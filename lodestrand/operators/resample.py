@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation, finite, hashed_index, hashed_indices, hashed_normal
+from ..functions.columns import correlation, finite, hashed_index, hashed_indices, hashed_normal, hashed_normals
 from ..functions.ranks import dense, midranks
 from .rankstats import midrank, quantiles
 
@@ -176,7 +176,32 @@ def scenario_paths(trends: DataFrame, models: DataFrame, errors: DataFrame, by:
     sized = models.join(numbered.groupBy(*by).agg(parts), by).join(errors.groupBy(*by).agg(F.count("*").alias("n_errors")), by)
     grid = sized.select("*", table).select(*by, "intercept", "parts", "n_errors", "s.scenario", "s.number", "s.shift")
     grid = grid.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(years))))
-    # Paths are made where the rows are: nothing is shuffled before the quantiles.
+    most = errors.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
+    if most > MAX_ROWS:
+        return _joined_paths(grid, errors, by, draws, noise, seed)
+    listed = errors.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "e"))).alias("l")).select(*by, F.col("l.e").alias("errors"))
+    kinds = "".join(f"`{c}` {grid.schema[c].dataType.simpleString()}, " for c in [*by, "scenario", "step"])
+
+    def work(frames):
+        reps = np.arange(draws)
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                level = np.full(draws, r["intercept"])
+                for q in r["parts"]:
+                    place = r["step"] + 100 * q["f"] + 10_000 * r["number"]
+                    path = q["last"] + q["slope"] * r["step"] + r["shift"] * q["sd"] + hashed_normals(reps, np.int64(place), seed) * noise * q["sd"]
+                    level += q["coef"] * (path - q["mean"]) / q["scale"]
+                at = hashed_indices(reps, np.int64(r["step"] + 10_000 * r["number"]), seed + 1, len(r["errors"]))
+                value = np.maximum(np.expm1(level) + np.asarray(r["errors"], float)[at], 0.0)
+                out.append((*[r[c] for c in [*by, "scenario", "step"]], *map(float, np.quantile(value, [0.05, 0.5, 0.95]))))
+            yield pd.DataFrame(out, columns=[*by, "scenario", "step", "q05", "q50", "q95"])
+
+    return grid.join(listed, by).repartition(*by, "scenario", "step").mapInPandas(work, kinds + "q05 double, q50 double, q95 double")
+
+
+def _joined_paths(grid: DataFrame, errors: DataFrame, by: list[str], draws: int, noise: float, seed: int) -> DataFrame:
+    """The same for more errors than a task may hold: a row per path, joined with its error."""
     grid = grid.repartition(*by, "scenario", "step").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
 
     def part(p: Column) -> Column:
@@ -186,9 +211,7 @@ def scenario_paths(trends: DataFrame, models: DataFrame, errors: DataFrame, by:
 
     total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + part(p))
     at = hashed_index(F.col("rep"), F.col("step") + 10_000 * F.col("number"), seed + 1, F.col("n_errors"))
-    drawn_ = grid.select(*by, "scenario", "step", (F.col("intercept") + total).alias("level"), at.alias("pos"))
-    most = errors.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
-    listed = errors.select(*by, "pos", "e")
-    full = drawn_.join(F.broadcast(listed) if most <= MAX_ROWS else listed, [*by, "pos"])
+    levels = grid.select(*by, "scenario", "step", (F.col("intercept") + total).alias("level"), at.alias("pos"))
+    full = levels.join(errors.select(*by, "pos", "e"), [*by, "pos"])
     paths = full.withColumn("value", F.greatest(F.expm1("level") + F.col("e"), F.lit(0.0)))
     return paths.groupBy(*by, "scenario", "step").agg(*[F.percentile("value", F.lit(q)).alias(n) for n, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))])  # as many values as draws
