@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -119,6 +120,60 @@ def test_chunk_tokenizer_equals_the_tokenizer(texts):
         assert got.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+class CountedTokenizer:
+    """A tokenizer that lists the texts it encodes whole."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.whole = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode(self, text, **how):
+        self.whole.append(text)
+        return self.tokenizer.encode(text, **how)
+
+    def encode_batch_fast(self, texts, **how):
+        self.whole += texts
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_words_with_any_marks_behind_them_are_not_encoded_one_by_one():
+    rng = random.Random(8)
+    marks = ["***", "&&&", "$$$", ",%%%", ")", ".", ""]
+    words = ["".join(rng.choices("abcdeéèñüÉT", k=9)) for _ in range(3000)]
+    texts = [" ".join(w + rng.choice(marks) for w in words[i : i + 100]) for i in range(0, 3000, 100)]
+    encoder = packing.ChunkTokenizer(packing.tokenizer_path("word_bpe_49k.json"))
+    plain = encoder.tokenizer
+    encoder.tokenizer = CountedTokenizer(plain)
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert got.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(encoder.tokenizer.whole) < 50
+
+
+def test_chunk_tokenizer_of_every_letter_and_of_special_tokens():
+    encoder = packing.ChunkTokenizer(packing.tokenizer_path("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    texts = [f"a{c}b! {c}. {c}{c}! H{c}," for c in letters]
+    texts += ["<|endoftext|>", "a<|endoftext|>! <|endoftext .", "<|ENDOFTEXT|>", "<|startoftext|>.", "ΟΔΟΣ, ΣΑΣ", "a\tb\x0bc\x0cd\re\x1cf\x85g\xa0h", "H\u0331! h\u0331!", None, "", " \n"]
+    want = encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [t for t, got, w in zip(texts, encoder.encode(texts), want, strict=True) if got.tolist() != w.ids] == []
+
+
+def test_tokenizing_by_slices_and_with_emptied_tables(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_BYTES", 40)
+    monkeypatch.setattr(packing, "MAX_CHUNKS", 5)
+    texts = [None, "", "one two, three! 4", "x" * 100, "y z " * 30, None, "two (three) one", "é***"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = list(packing.slices(batch, 0))
+    assert len(parts) > 5 and all(p.num_rows for p in parts) and pa.Table.from_batches(parts).column(0).to_pylist() == texts
+    assert list(packing.slices(batch.slice(0, 0), 0)) == []
+    encoder = packing.ChunkTokenizer(packing.tokenizer_path("word_bpe_49k.json"))
+    got = [ids.tolist() for p in parts for ids in encoder.encode(p.column(0))]
+    assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(encoder.words.texts) + len(encoder.whole.texts) < 12
+
+
 def test_packing(spark):
     texts = corpus(5, 80)
     tokenizer = packing.ChunkTokenizer(packing.tokenizer_path("word_bpe_49k.json")).tokenizer
