@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +163,20 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+#: Texts pass through a Python worker in slices of up to about so many bytes; a longer one by itself.
+SLICE_BYTES = 1_000_000
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of one column, so that neither a worker nor Spark, which takes back
+    what is made of each slice, holds a whole batch of texts; no slice is empty."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(size // most)) + 1
+    for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -26,10 +26,11 @@ import hashlib
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, fresh, read
+from .common import as_bytes, by_bytes, cut, fresh, read
 
 #: Word bytes are 0-9, a-z (A-Z lower-cased) and all non-ASCII bytes; the rest separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -109,18 +110,31 @@ def patterns_of(rows: list, width: int) -> dict:
     return {n: {p: frozenset(i) for p, i in own.items()} for n, own in out.items()}
 
 
-def _mark(tables: list[WuManber], own: list[bytes]) -> tuple[list[dict], list[str]]:
-    """Runs of hit words, and the items found."""
+def _mark(tables: list[WuManber], text: bytes | None) -> tuple[int, list[dict], list[str]]:
+    """The number of words, runs of hit words, and the items found.  The words of one text are held at a time."""
+    own = words(text)
     hit, got = bytearray(len(own)), set()
     for table in tables:
         table.search(own, hit, got)
-    return _runs(hit) if got else [], sorted(got)
+    return len(own), _runs(hit) if got else [], sorted(got)
 
 
 def _runs(hit: bytearray) -> list[dict]:
     return [{"start": m.start(), "end": m.end()} for m in re.finditer(b"\x01+", hit)]
 
 
+RUN_LIST, ID_LIST = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
+
+
+def marked(tables: list[WuManber], batches, at: int, names: list[str]):
+    """Batches with the words, runs and items of the texts in column ``at`` behind their columns."""
+    for batch in batches:
+        for part in by_bytes(batch, at):
+            got = [_mark(tables, raw) for raw in as_bytes(part.column(at))]
+            new = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), RUN_LIST, ID_LIST))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], names)
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_words: int = 250_000) -> DataFrame:
     """All rows of ``docs`` with three more columns: the number of words, the runs of hit words (start, end)
     and the ids, as strings, of items with a window in the text."""
@@ -128,7 +142,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     slices = cut(item_slices(items, item_id, item_text, width, max(1, block_words // 8)))
     blocks = max(1, -(-(slices.agg(F.sum("n")).first()[0] or 0) // block_words))
     block = F.pmod(F.xxhash64("i", "part"), F.lit(blocks))
-    run = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     plain = [f"c{i}" for i in range(len(names) + 3)]
     kinds = [f.dataType.simpleString() for f in docs.schema.fields] + ["long", RUNS, "array<string>"]
     schema = ", ".join(f"{p} {k}" for p, k in zip(plain, kinds, strict=True))
@@ -136,12 +149,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
 
     def whole(shared):
         def scan(batches):
-            tables = [WuManber(n, p) for n, p in shared.value.items()]
-            for batch in batches:
-                own = [words(raw) for raw in as_bytes(batch.column(at))]
-                got = [_mark(tables, w) for w in own]
-                new = [pa.array(list(map(len, own)), pa.int64()), pa.array([g[0] for g in got], pa.list_(run)), pa.array([g[1] for g in got], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], plain)
+            return marked([WuManber(n, p) for n, p in shared.value.items()], batches, at, plain)
 
         return scan
 
@@ -152,10 +160,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     def some(shared):
         def scan(batches):
             tables = [WuManber(n, p) for n, p in shared.value.items()]
-            for batch in batches:
-                got = [(row, *_mark(tables, words(raw))) for row, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)]
-                got = [g for g in got if g[2]]
-                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], k) for i, k in enumerate((pa.int64(), pa.list_(run), pa.list_(pa.string())))], ["row", "runs", "ids"])
+            for batch in marked(tables, batches, 1, ["row", "t", "n", "runs", "ids"]):
+                yield batch.filter(pc.greater(pc.list_value_length(batch.column("ids")), 0)).select(["row", "runs", "ids"])
 
         return scan
 
@@ -172,7 +178,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     hits = hits.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
 
     def finish(batches):
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in by_bytes(whole_batch, at)):
             count, runs = [], []
             for raw, own in zip(as_bytes(batch.column(at)), batch.column(len(names)).to_pylist(), strict=True):
                 hit = bytearray(len(words(raw)))
@@ -180,8 +186,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
                     hit[r["start"] : r["end"]] = b"\x01" * (r["end"] - r["start"])
                 count.append(len(hit))
                 runs.append(_runs(hit))
-            ids = pa.array([i or [] for i in batch.column(len(names) + 1).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(count, pa.int64()), pa.array(runs, pa.list_(run)), ids], plain)
+            ids = pa.array([i or [] for i in batch.column(len(names) + 1).to_pylist()], ID_LIST)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(count, pa.int64()), pa.array(runs, RUN_LIST), ids], plain)
 
     return numbered.join(hits, "row", "left").select(*plain[:-3], "runs", "ids").mapInArrow(finish, schema).toDF(*names, *ends)
 

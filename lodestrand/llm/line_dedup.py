@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, fresh, hot_keys, join_unique, read
+from .common import as_bytes, by_bytes, cut, fresh, hot_keys, join_unique, read
 
 STRIP = b" \t\n\x0b\x0c\r"
 SLICE_BITS = 1 << 16
@@ -124,7 +124,8 @@ def twice_filter(docs: DataFrame, text: str, min_chars: int, max_bits: int) -> n
     def mark(batches):
         marker = Marker(bits, min_chars)
         for batch in batches:
-            marker.add(as_bytes(batch.column(0)))
+            for part in by_bytes(batch, 0):
+                marker.add(as_bytes(part.column(0)))
         rows: dict[int, list[bytes]] = {}
         for part, twice, at in marker.slices():
             rows.setdefault(part, [b"", b""])[twice] = at
@@ -165,7 +166,7 @@ def repeated_keys(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray, m
             first.clear()
             return out
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1)):
             for i, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 keys = list({k for k in line_keys(raw)[1] if _usable(k, min_chars)})
                 if keys:
@@ -208,27 +209,35 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         table = {bytes(r.key): r.first_doc for r in gone.withColumnRenamed("first", "first_doc").toLocalIterator()}
         shared = spark.sparkContext.broadcast(table)
 
+        at = 1 + docs.columns.index(text)
+
         def drop(batches):
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-                yield _append(batch, [_kept(t, i, shared.value, keep_first) for i, t in zip(ids, texts, strict=True)])
+            return without_lines(shared.value, batches, at, keep_first)
     else:
         return _dedup_by_join(docs, doc_id, text, bitmap, gone, min_chars, keep_first)
-    return _with_kept(docs, doc_id, text, drop)
+    return _with_kept(docs, doc_id, drop)
 
 
-def _append(batch: pa.RecordBatch, got: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def without_lines(gone: dict[bytes, int], batches, at: int, keep_first: bool):
+    """Batches (id, *every column) without the id, and behind them the lines, those dropped and what stays of the texts in column ``at``."""
+    for batch in batches:
+        for part in by_bytes(batch, at):
+            ids, texts = part.column(0).to_pylist(), as_bytes(part.column(at))
+            yield _append(part.columns[1:], [_kept(t, i, gone, keep_first) for i, t in zip(ids, texts, strict=True)])
+
+
+def _append(columns: list[pa.Array], got: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     new = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary()).cast(pa.string())]
-    return pa.RecordBatch.from_arrays([*batch.columns[2:], *new], [f"c{i}" for i in range(batch.num_columns + 1)])
+    return pa.RecordBatch.from_arrays([*columns, *new], [f"c{i}" for i in range(len(columns) + 3)])
 
 
-def _with_kept(docs: DataFrame, doc_id: str, text: str, fn) -> DataFrame:
-    """Run ``fn`` over (id, text, *every column) and put the columns' names and types back."""
+def _with_kept(docs: DataFrame, doc_id: str, fn) -> DataFrame:
+    """Run ``fn`` over (id, *every column) and put the columns' names and types back."""
     names = docs.columns
     given = docs.toDF(*[f"c{i}" for i in range(len(names))])
     kinds = [f.dataType.simpleString() for f in docs.schema.fields]
     schema = ", ".join([f"c{i} {k}" for i, k in enumerate([*kinds, "long", "long", "string"])])
-    fed = given.select(F.col(f"c{names.index(doc_id)}").cast("long").alias("i"), F.col(f"c{names.index(text)}").alias("t"), *given.columns)
+    fed = given.select(F.col(f"c{names.index(doc_id)}").cast("long").alias("i"), *given.columns)
     return fed.mapInArrow(fn, schema).toDF(*names, *[fresh(names, n) for n in ("__lines", "__dropped", "__kept")])
 
 
@@ -240,7 +249,7 @@ def _dedup_by_join(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray,
     numbered = cut(docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()))
 
     def lines(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1)):
             out: list[tuple[int, bytes]] = []
             for row, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 keys = list({k for k in line_keys(raw)[1] if _usable(k, min_chars)})
@@ -253,11 +262,11 @@ def _dedup_by_join(docs: DataFrame, doc_id: str, text: str, bitmap: np.ndarray,
     per_doc = hits.groupBy("row").agg(F.collect_list(F.struct("key", "first")).alias("gone"))  # one document's own lines
 
     def drop(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_bytes(whole, 1)):
             got = []
             for i, t, pairs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 got.append(_kept(t, i, {p["key"]: p["first"] for p in pairs or []}, keep_first))
-            yield _append(batch.select([0, 1, *range(3, batch.num_columns)]), got)
+            yield _append(batch.columns[3:], got)
 
     joined = numbered.join(per_doc, "row", "left")
     kinds = [f.dataType.simpleString() for f in docs.schema.fields] + ["long", "long", "string"]

@@ -30,7 +30,7 @@ import re
 import string
 import zlib
 from bisect import bisect_left, insort
-from itertools import chain, pairwise
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, stored
+from .common import by_bytes, cut, read, stored
 
 MAX_CHUNKS = 600_000
 #: Texts are tokenized together up to about so many bytes; a longer one by itself.
@@ -149,11 +149,7 @@ class ChunkTokenizer:
 
 def slices(batch: pa.RecordBatch, column: int):
     """A batch in slices of about ``SLICE_BYTES`` of one column; no slice is empty."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    cuts = np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1
-    for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
-        if a < b:
-            yield batch.slice(a, b - a)
+    return by_bytes(batch, column, SLICE_BYTES)
 
 
 def tokenizer_path(name: str) -> str:

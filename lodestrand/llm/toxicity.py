@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, fresh, read
+from .common import by_bytes, crc_fold, fresh, read
 
 #: The grammar's word lists (English, German, French, Spanish).
 INSULTS = "idiot moron stupid loser pathetic worthless scum disgusting trash clown imbecile dumb fool dummkopf abschaum trottel versager crétin ordure débile imbécile escoria basura estúpido".split()
@@ -260,6 +260,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return terms, fit(known, "t", "y", terms)
 
 
+def scored(terms: dict[str, int], weights: np.ndarray, batches, at: int, names: list[str]):
+    """Batches with the scores of the texts in column ``at`` behind their columns."""
+    grammar = Grammar(terms)
+    for batch in batches:
+        for part in by_bytes(batch, at):
+            got = np.array([grammar.patterns(t) for t in part.column(at).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(got, weights))], names)
+
+
 def score_texts(docs: DataFrame, text: str, terms: dict[str, int], weights: np.ndarray) -> DataFrame:
     """All rows of ``docs``, with the score as the last column."""
     names, at = docs.columns, docs.columns.index(text)
@@ -268,10 +277,7 @@ def score_texts(docs: DataFrame, text: str, terms: dict[str, int], weights: np.n
     shared = docs.sparkSession.sparkContext.broadcast((terms, weights))
 
     def run(batches):
-        grammar = Grammar(shared.value[0])
-        for batch in batches:
-            got = np.array([grammar.patterns(t) for t in batch.column(at).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(got, shared.value[1]))], plain)
+        return scored(*shared.value, batches, at, plain)
 
     schema = ", ".join(f"{p} {k}" for p, k in zip(plain, kinds, strict=True))
     return docs.toDF(*plain[:-1]).mapInArrow(run, schema).toDF(*names, fresh(names, "__score"))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -92,6 +93,40 @@ def test_line_dedup_keeps_the_first(spark, max_keys, monkeypatch):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("operator", ["toxicity", "line_dedup", "decontaminate"])
+def test_a_batch_of_texts_is_never_held_whole(spark, monkeypatch, operator):
+    """A worker holds slices of a batch, the words of one text at a time, and hands Spark slices; rows stay as they are."""
+    rng = random.Random(11)
+    words, head = [f"w{i}" for i in range(500)], "this line stands in every document"
+    texts = [f"{head}\n{' '.join(rng.choices(words, k=420))}" for _ in range(4000)]
+    texts[7], texts[9], texts[3999] = None, "", "you are a pathetic idiot"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    steps, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, fn, *schema: steps.append((self, fn)) or plain(self, fn, *schema))
+    if operator == "toxicity":
+        toxicity.score_texts(docs, "text", {}, np.r_[toxicity.BASE, toxicity.PRIOR])
+    elif operator == "line_dedup":
+        line_dedup.dedup_lines(docs, keep_first=True)
+    else:
+        item = " ".join(texts[2000].split()[50:65])
+        decontaminate.find_contamination(docs, spark.createDataFrame([("a", item), ("b", head)], "item_id string, text string"))
+    fed, fn = steps[-1]
+    [batch] = fed.toArrow().combine_chunks().to_batches()
+    tracemalloc.start()
+    sizes, at = [], next(i for i, f in enumerate(batch.schema) if pa.types.is_string(f.type)) - batch.num_columns
+    for out in fn(iter([batch])):
+        sizes.append(sum(len(t or "") for t in out.column(out.num_columns + at - (3 if operator != "toxicity" else 1)).to_pylist()))
+        del out
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == sum(len(t or "") for t in texts) > 6_000_000
+    assert max(sizes) < 2 * common.SLICE_BYTES
+    assert peak < 6_000_000
+    whole = pa.Table.from_batches(fn(iter([batch])))
+    assert whole.num_rows == len(texts)
+    assert whole.equals(pa.Table.from_batches(fn(batch.slice(i, 90) for i in range(0, len(texts), 90))))
+
+
 def test_decontaminate(spark):
     rng = random.Random(4)
     texts = corpus(3, 40)
